@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .catalog import ORACLES, QUERIES
 
-FAMILIES = ("detection",)
+FAMILIES = ("detection", "anomaly")
 
 
 def _load() -> None:
