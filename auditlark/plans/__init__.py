@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .catalog import ORACLES, QUERIES
 
-FAMILIES = ("detection", "anomaly")
+FAMILIES = ("detection", "anomaly", "ingest", "intel", "web", "content")
 
 
 def _load() -> None:

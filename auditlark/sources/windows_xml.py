@@ -65,7 +65,7 @@ def parse_winevt_raw(rows: DataFrame, xml: str = "xml", channel: str = "channel"
     def tag(name: str) -> Column:
         return F.trim(F.regexp_extract(text, f"<{name}[^>]*>([^<]*)</{name}>", 1))
 
-    values = F.transform(F.regexp_extract_all(text, F.lit(r"<Data(?:[^>]*)>([^<]*)</Data>"), F.lit(1)), F.trim)
+    values = F.transform(F.regexp_extract_all(text, F.lit(r"<Data(?:[^>]*)>([^<]*)</Data>"), F.lit(1)), lambda v: F.trim(v))
     detail = F.substring(F.array_join(F.filter(values, lambda v: v != ""), "; "), 1, 300)
     provider = F.regexp_extract(text, r'<Provider[^>]*Name="([^"]+)"', 1)
     either = lambda c, other: F.when(c == "", other).otherwise(c)
