@@ -107,7 +107,7 @@ def per_minute(rows: DataFrame, sites: DataFrame, as_of_us: int, *, minutes: int
         .agg(F.count("*").alias("n"))
     )
     calendar = sites.select(
-        F.col("name").alias("site"), F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).cast("long").alias("age")
+        F.col("name").alias("site"), F.explode(F.expr(f"sequence(0L, {minutes - 1}L)")).alias("age")
     )
     label = F.date_format(F.timestamp_micros(F.lit(as_of_us) - F.col("age") * 60 * US), "HH:mm")
     return calendar.join(counts, ["site", "age"], "left").select(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .catalog import ORACLES, QUERIES
 
-FAMILIES = ("detection", "anomaly", "ingest", "intel", "web", "content")
+FAMILIES = ("detection", "anomaly", "ingest", "intel", "web", "content", "ledger", "governance")
 
 
 def _load() -> None:

@@ -63,7 +63,9 @@ def indicator_csv(lines: DataFrame, *, line: str = "line", order: str = "line_id
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
     # The extra field is present exactly when the line has all six columns.
     record = F.from_csv(F.concat("_l", F.lit(",end")), THREATFOX_COLUMNS, options)
-    rows = _content(lines, line).select(order, record.alias("c")).select(order, "c.*").where("rest IS NOT NULL")
+    # The generator keeps later filters from repeating the CSV parse.
+    rows = _content(lines, line).select(order, F.explode(F.array(record)).alias("c")).select(order, "c.*")
+    rows = rows.where("rest IS NOT NULL")
     raw, kind = F.trim("ioc"), F.lower(F.trim("ioc_type"))
     address = F.trim(F.substring_index(raw, ":", 1))
     value = (
@@ -79,7 +81,8 @@ def indicator_csv(lines: DataFrame, *, line: str = "line", order: str = "line_id
     threat = F.coalesce(F.nullif(F.trim("threat_type"), F.lit("")), F.lit(default_threat))
     family = F.coalesce(F.trim("malware"), F.lit(""))
     text = F.concat(F.lit(f"{name}: "), threat, F.when(family != "", F.concat(F.lit(" ("), family, F.lit(")"))).otherwise(""))
-    typed = rows.select(order, value.alias("ioc"), typ.alias("ioc_type"), F.substring(text, 1, 400).alias("description"))
+    fields = F.struct(value.alias("ioc"), typ.alias("ioc_type"), F.substring(text, 1, 400).alias("description"))
+    typed = rows.select(order, F.explode(F.array(fields)).alias("f")).select(order, "f.*")
     return _finish(typed, order).withColumn("feed_name", F.lit(name)).withColumn("threat_type", F.lit(default_threat))
 
 
