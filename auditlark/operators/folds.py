@@ -9,15 +9,14 @@ any quiet gap longer than the window, so each gap-free run is folded alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
-from .windows import Total, floor_div, row_blocks, running_totals, US
+from .windows import Total, floor_div, group_starts, ordered_scan, row_blocks, running_totals, US
 
 
 def case_transitions(steps: DataFrame, *, block_rows: int = 50_000) -> DataFrame:
@@ -31,51 +30,62 @@ def case_transitions(steps: DataFrame, *, block_rows: int = 50_000) -> DataFrame
     ranked = running_totals(steps, ["case_id"], {"step": Total(F.lit(1))})
     blocks = row_blocks(ranked, "step", block_rows, 0)
 
-    def replay(status: str, wanted: Sequence[str]) -> list[str]:
-        out = []
-        for target in wanted:
-            if (status, target) in allowed:
-                status = target
-            out.append(status)
-        return out
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        wanted = pdf.sort_values("step")["to_status"].tolist()
-        ends = [replay(s, wanted)[-1] for s in states]
-        return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "ends": [ends]})
-
     case_type = steps.schema["case_id"].dataType.simpleString()
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ignore_index=True)
-        status, starts = "open", []
-        for ends in pdf["ends"]:
-            starts.append(status)
-            status = ends[states.index(status)]
-        return pd.DataFrame({"case_id": pdf["case_id"], "block": pdf["block"], "start": starts})
+    group = ["case_id", "block"]
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per block, the state every start state ends in; emitted when the block is complete."""
+        last, key, ends = None, None, list(states)
+        for pdf in batches:
+            done = []
+            starts, last = group_starts(pdf, group, last)
+            for case, block, target, new in zip(pdf["case_id"], pdf["block"], pdf["to_status"], starts):
+                if new:
+                    if key is not None:
+                        done.append((*key, ends))
+                    key, ends = (case, block), list(states)
+                ends = [target if (s, target) in allowed else s for s in ends]
+            yield pd.DataFrame(done, columns=["case_id", "block", "ends"])
+        if key is not None:
+            yield pd.DataFrame([(*key, ends)], columns=["case_id", "block", "ends"])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Start state of every block of a case."""
+        last, status = None, "open"
+        for pdf in batches:
+            begin = []
+            starts, last = group_starts(pdf, ["case_id"], last)
+            for ends, new in zip(pdf["ends"], starts):
+                status = "open" if new else status
+                begin.append(status)
+                status = ends[states.index(status)]
+            yield pdf[group].assign(start=begin)
 
     # Only cases longer than one block need the chain; every other block starts open.
     later = blocks.groupBy("case_id").agg(F.max("block").alias("last")).where("last > 0").select("case_id")
     long_blocks = blocks.join(later, "case_id", "left_semi")
-    starts = (
-        long_blocks.groupBy("case_id", "block")
-        .applyInPandas(summarize, f"case_id {case_type}, block long, ends array<string>")
-        .groupBy("case_id")
-        .applyInPandas(chain, f"case_id {case_type}, block long, start string")
-    )
-    started = blocks.join(starts, ["case_id", "block"], "left").withColumn("start", F.coalesce("start", F.lit("open")))
+    ends = ordered_scan(long_blocks, group, ["step"], summarize, f"case_id {case_type}, block long, ends array<string>")
+    starts = ordered_scan(ends, ["case_id"], ["block"], chain, f"case_id {case_type}, block long, start string")
+    started = blocks.join(starts, group, "left").withColumn("start", F.coalesce("start", F.lit("open")))
     names = [*steps.columns, "step", "from_status", "legal", "status"]
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", ignore_index=True)
-        after = replay(pdf["start"].iloc[0], pdf["to_status"].tolist())
-        before = [pdf["start"].iloc[0], *after[:-1]]
-        legal = [(b, t) in allowed for b, t in zip(before, pdf["to_status"])]
-        return pdf.assign(from_status=before, legal=legal, status=after)[names]
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, status = None, "open"
+        for pdf in batches:
+            before, after = [], []
+            starts, last = group_starts(pdf, group, last)
+            for start, target, new in zip(pdf["start"], pdf["to_status"], starts):
+                status = start if new else status
+                before.append(status)
+                if (status, target) in allowed:
+                    status = target
+                after.append(status)
+            legal = [pair in allowed for pair in zip(before, pdf["to_status"])]
+            yield pdf.assign(from_status=before, legal=legal, status=after)[names]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema.fields)
     schema = f"{fields}, step long, from_status string, legal boolean, status string"
-    return started.groupBy("case_id", "block").applyInPandas(apply, schema)
+    return ordered_scan(started, group, ["step"], apply, schema)
 
 
 def transition_audit(steps: DataFrame) -> DataFrame:
@@ -95,7 +105,7 @@ def suppress_repeats(
 
     An alert is suppressed when one of its key was sent at most ``window_s``
     before. Alerts of one key and second collapse to their first before the
-    fold, so a run holds at most one row per second of its duration.
+    fold, which keeps it short whatever the rate of repeats.
     """
     keys = list(keys)
     seconds = alerts.withColumn("_s", floor_div(F.col(ts), US))
@@ -115,18 +125,21 @@ def suppress_repeats(
     runs = running_totals(starts, keys, {"_run": Total(F.col("_opens"))}, ts="_s", tie="_s", slice_us=slice_s).drop("_opens")
     names = [*keys, "_first_ts", "_first_tie"]
 
-    def sent_only(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s", ignore_index=True)
-        times = pdf["_s"].to_numpy()
-        sent, at = [], 0
-        while at < len(times):
-            sent.append(at)
-            at = int(np.searchsorted(times, times[at] + window_s, side="right"))
-        return pdf.iloc[sent][names]
+    group = [*keys, "_run"]
+
+    def sent_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sent_at = None, 0
+        for pdf in batches:
+            sent = []
+            starts, last = group_starts(pdf, group, last)
+            for second, new in zip(pdf["_s"].tolist(), starts):
+                send = new or second - sent_at > window_s
+                sent_at = second if send else sent_at
+                sent.append(send)
+            yield pdf.loc[sent, names]
 
     types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
-    sent_rows = runs.groupBy(*keys, "_run").applyInPandas(
-        sent_only, ", ".join(f"`{n}` {types[n]}" for n in names)
-    ).select(*keys, F.col("_first_ts").alias(ts), F.col("_first_tie").alias(tie), F.lit(True).alias("_sent"))
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names)
+    sent_rows = ordered_scan(runs, group, ["_s"], sent_only, schema).select(*keys, F.col("_first_ts").alias(ts), F.col("_first_tie").alias(tie), F.lit(True).alias("_sent"))
     out = alerts.join(sent_rows, [*keys, ts, tie], "left")
     return out.withColumn("status", F.when(F.col("_sent"), "sent").otherwise("deduped")).drop("_sent")

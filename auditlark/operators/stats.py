@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import shannon_entropy
-from .windows import Total, first_row, row_blocks, running_totals, US
+from .windows import Total, group_starts, ordered_scan, row_blocks, running_totals, US
 
 
 def zscore_outliers(df: DataFrame, keys: Sequence[str], value: str, *, threshold: float = 3.0) -> DataFrame:
@@ -91,20 +90,29 @@ def ewma_spikes(
         + [T.StructField("spike", T.BooleanType())]
     )
     names = out.fieldNames()
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank, ignore_index=True)
-        x = pdf[value]
-        mean = x.ewm(alpha=alpha, adjust=False).mean()
-        before = mean.shift(1)
-        dev = x - before
-        var = dev.pow(2).fillna(0.0).ewm(alpha=alpha, adjust=False).mean()
-        floor = np.where(before != 0, 0.05 * before.abs(), 1e-6)
-        z = (dev / np.maximum(np.sqrt(var.shift(1)), floor)).fillna(0.0)
-        pdf = pdf.assign(z=z, mean=mean, var=var, spike=(pdf[rank] > warmup) & (z >= threshold))
-        return pdf.loc[~pdf["is_copy"], names]
-
-    return blocks.groupBy(*keys, "block").applyInPandas(score, out)
+    group = [*keys, "block"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, mean, var = None, 0.0, 0.0
+        keep = 1.0 - alpha
+        for pdf in batches:
+            starts, last = group_starts(pdf, group, last)
+            zs, means, variances = [], [], []
+            for x, new in zip(pdf[value].tolist(), starts):
+                if new:
+                    z, mean, var = 0.0, x, 0.0
+                else:
+                    dev = x - mean
+                    z = dev / max(math.sqrt(var), 0.05 * abs(mean) if mean != 0 else 1e-6)
+                    mean, var = alpha * x + keep * mean, alpha * dev * dev + keep * var
+                zs.append(z)
+                means.append(mean)
+                variances.append(var)
+            pdf = pdf.assign(z=zs, mean=means, var=variances)
+            pdf["spike"] = (pdf[rank] > warmup) & (pdf["z"] >= threshold)
+            yield pdf.loc[~pdf["is_copy"], names]
+
+    return ordered_scan(blocks, group, [rank], score, out)
 
 
 def event_rate_series(

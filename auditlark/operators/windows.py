@@ -15,11 +15,14 @@ frame re-reads its rows for every output row. The helpers here avoid both:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US = 1_000_000
 DAY_US = 86_400 * US
@@ -208,6 +211,34 @@ def row_blocks(df: DataFrame, rank: str, size: int, overlap: int) -> DataFrame:
     ).withColumn("is_copy", F.col("block") > F.col("_own")).drop("_own")
 
 
+def ordered_scan(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    scan: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """Run ``scan`` over rows that arrive group by group, in order.
+
+    One pass over sorted partitions: a group costs no more than its rows, and
+    no group is ever held in memory.
+    """
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(scan, schema)
+
+
+def group_starts(pdf: pd.DataFrame, group: Sequence[str], last: tuple | None) -> tuple[list[bool], tuple | None]:
+    """Which rows of a sorted batch begin a new group, given the last row of the batch before."""
+    if pdf.empty:
+        return [], last
+    changed = np.zeros(len(pdf), dtype=bool)
+    for column in group:
+        values = pdf[column].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    first, end = tuple(pdf[list(group)].iloc[0]), tuple(pdf[list(group)].iloc[-1])
+    changed[0] = first != last
+    return changed.tolist(), end
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key; Spark prunes to one candidate per key before the exchange."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -78,7 +78,7 @@ def case_steps(spark, sf_dir):
     )
     base = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * 3600 * US).cast("bigint").alias("ts_us"),
+        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber").cast("bigint") * 3600 * US).alias("ts_us"),
         (F.col("l_partkey") * 10_000_000 + F.expr("cast(round(l_extendedprice * 100) as bigint)")).alias("event_id"),
         target.alias("to_status"), base.alias("ship_us"),
     )

@@ -11,6 +11,7 @@ from ..operators import ledger as L
 from ..operators import sessions as S
 from ..operators import web as W
 from ..operators.windows import US
+from ..session import materialize
 from .adapters import sec_events, sql_text, table
 from .anomaly import INCIDENT_SQL, found_anomalies, over_events_recursive
 from .catalog import over_events, query
@@ -222,7 +223,7 @@ UNION ALL SELECT focus_key, ts_us, 'case_linked', 'Case #' || case_id || ' ''Sou
 UNION ALL SELECT focus_key, {1_706_400_000 * US} + turn * {US}, 'case_note', '[Case #' || case_id || '] ' || text
 FROM cases JOIN conversations ON conv_id = case_id % 100"""))
 def incident_timeline(spark, sf_dir):
-    ledger = found_ledger(spark, sf_dir)
+    ledger = materialize(found_ledger(spark, sf_dir))
     return L.incident_timeline(ledger, *linked_cases(spark, sf_dir, ledger))
 
 
@@ -239,7 +240,7 @@ UNION ALL SELECT focus_key, 'host:' || target_host, target_host, 'victim_host' F
 UNION ALL SELECT focus_key, 'action:mitigation', left(mitigating_action, 60), 'action' FROM named WHERE is_focus
 UNION ALL SELECT focus_key, rid, target_host || ' (#' || left(incident_key, 12) || ')', 'victim_host' FROM named WHERE NOT is_focus"""))
 def chain_nodes(spark, sf_dir):
-    ledger = found_ledger(spark, sf_dir)
+    ledger = materialize(found_ledger(spark, sf_dir))
     return L.chain_nodes(ledger, L.latest_per_source(ledger))
 
 
@@ -249,7 +250,7 @@ UNION ALL SELECT focus_key, tid, 'host:' || target_host, 'targets' FROM named WH
 UNION ALL SELECT focus_key, 'host:' || target_host, 'action:mitigation', 'mitigated by' FROM named WHERE is_focus
 UNION ALL SELECT focus_key, 'ip:' || source_ip, rid, 'also targeted' FROM named WHERE NOT is_focus"""))
 def chain_edges(spark, sf_dir):
-    ledger = found_ledger(spark, sf_dir)
+    ledger = materialize(found_ledger(spark, sf_dir))
     return L.chain_edges(ledger, L.latest_per_source(ledger))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     # Hour-of-day rules are defined on UTC.
@@ -34,3 +35,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="auditlark-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that several later steps read: the lineage ends here, and the
+    files outlive the executors that wrote them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/auditlark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
