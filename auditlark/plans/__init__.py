@@ -6,7 +6,9 @@ from importlib import import_module
 
 from .catalog import ORACLES, QUERIES
 
-FAMILIES = ("detection", "anomaly", "ingest", "intel", "web", "content", "ledger", "governance")
+FAMILIES = (
+    "detection", "anomaly", "ingest", "intel", "web", "content", "ledger", "governance", "stream",
+)
 
 
 def _load() -> None:

@@ -37,7 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as security events."""
-    raw = table(spark, sf_dir, "events")
+    return sec_events_from(table(spark, sf_dir, "events"))
+
+
+def sec_events_from(raw: DataFrame) -> DataFrame:
+    """Rows of the ``events`` table, batch or streaming, as security events."""
     k = F.get_json_object("props", "$.k").cast("int")
     uid = F.col("user_id")
     event = F.lit("HTTP_REQ")
