@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SEPARATOR = "\x01"
+
+
+def regex_groups(text: Column, regex: str, groups: int) -> Column:
+    """All groups of an expression anchored at both ends, in one pass over the text.
+
+    An array of ``groups`` strings (empty where a group took no part), or null
+    when the text does not match.
+    """
+    joined = F.regexp_replace(text, regex, "".join(f"{SEPARATOR}${i}" for i in range(1, groups + 1)))
+    parts = F.split(joined, SEPARATOR, groups + 1)
+    matched = joined.startswith(SEPARATOR) & ~text.startswith(SEPARATOR)
+    return F.when(matched, F.slice(parts, 2, groups))
+
+
+@F.pandas_udf(T.DoubleType())
+def text_entropy(texts: pd.Series) -> pd.Series:
+    """``shannon_entropy`` for long texts, counted in one pass per text."""
+
+    def bits(text: str | None) -> float:
+        if not text:
+            return 0.0
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        shares = np.unique(points, return_counts=True)[1] / len(points)
+        return float(-(shares * np.log2(shares)).sum()) + 0.0
+
+    return texts.map(bits)
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for empty text.
+    """Bits per character of a short string such as a host name; 0 for empty text.
 
-    Each distinct character is counted as the length lost by removing it, so a
-    whole text stays in its row and nothing is shuffled.
+    Each distinct character is counted as the length lost by removing it.
     """
     length = F.length(text)
     shares = F.transform(

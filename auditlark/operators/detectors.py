@@ -17,9 +17,11 @@ def signature_matches(text: Column, patterns: list[R.Pattern] | None = None) ->
     """array<struct<pattern_id, matched>>: one entry per pattern whose first signature hits."""
     entries = []
     for p in patterns or R.SIGNATURES:
-        found = F.coalesce(*[F.nullif(F.regexp_extract(text, s, 0), F.lit("")) for s in p.signatures])
+        found = F.regexp_extract(text, p.signatures[-1], 0)
+        for s in reversed(p.signatures[:-1]):
+            found = F.when(text.rlike(s), F.regexp_extract(text, s, 0)).otherwise(found)
         entries.append(F.struct(F.lit(p.pattern_id).alias("pattern_id"), found.alias("matched")))
-    return F.filter(F.array(*entries), lambda e: e["matched"].isNotNull())
+    return F.filter(F.array(*entries), lambda e: e["matched"] != "")
 
 
 def signature_hits(events: DataFrame, text: str = "msg") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import shannon_entropy as entropy_of
 from ..operators import anomalies as A
 from ..operators import stats as S
 from ..operators import ueba as U
@@ -55,7 +54,7 @@ ent AS (SELECT {id}, -sum(n / total * log2(n / total)) AS bits FROM (
 SELECT doc_id, round(coalesce(bits, 0), 6) AS entropy FROM documents LEFT JOIN ent USING (doc_id)""")
 def shannon_entropy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.round(entropy_of(F.col("text")), 6).alias("entropy"))
+    return S.entropy(docs, "text").select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 @query(ENTROPY_SQL.format(id="page_id", text="url", table="pages") + """

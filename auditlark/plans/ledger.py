@@ -98,8 +98,9 @@ def decided(spark, sf_dir):
 
 def found_ledger(spark, sf_dir):
     """Site blocks and critical pattern hits."""
-    playbook = L.playbook_incidents(decided(spark, sf_dir).where("severity = 'Critical'"))
-    return L.build_ledger(W.block_incidents(moded_blocks(spark, sf_dir)), playbook)
+    decisions = materialize(decided(spark, sf_dir))
+    playbook = L.playbook_incidents(decisions.where("severity = 'Critical'"))
+    return L.build_ledger(W.block_incidents(moded_blocks(spark, sf_dir, decisions)), playbook)
 
 
 LEDGER_SQL = BLOCK_INCIDENTS_SQL + """

@@ -8,6 +8,7 @@ from .. import registry as R
 from ..operators import detectors as D
 from ..operators import web as W
 from ..operators.windows import US
+from ..session import materialize
 from .adapters import sec_events, sql_text
 from .catalog import over_events, query
 from .detection import BRUTE_SQL, HITS_SQL, OWASP_SQL, brute, hits
@@ -51,10 +52,14 @@ def found_blocks(spark, sf_dir):
     return W.auto_blocks(found_site_hits(spark, sf_dir), window_s=BLOCK_WINDOW)
 
 
-def moded_blocks(spark, sf_dir):
-    decisions = D.response_decisions(D.dedup_hits(hits(spark, sf_dir)))
-    contained = W.containments(decisions, owasp_found(spark, sf_dir), brute(spark, sf_dir))
-    return W.auto_block_mode(found_blocks(spark, sf_dir), contained)
+def moded_blocks(spark, sf_dir, decisions=None):
+    """Blocks with their mode; detections are stored once, as several steps read them."""
+    if decisions is None:
+        decisions = materialize(D.response_decisions(D.dedup_hits(hits(spark, sf_dir))))
+    owasp = materialize(owasp_found(spark, sf_dir))
+    contained = W.containments(decisions, owasp, brute(spark, sf_dir))
+    blocks = W.auto_blocks(W.site_hits(decisions, owasp, sites(spark, sf_dir)), window_s=BLOCK_WINDOW)
+    return W.auto_block_mode(blocks, contained)
 
 
 @query(over_events(SITE_HITS_SQL + " SELECT * FROM site_hits"))

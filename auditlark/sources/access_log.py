@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import regex_groups
 
 # Line format (groups: ip, user, time, method, url, protocol, status, bytes, referrer, agent).
 ACCESS_REGEX = (
     r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)(?:\s+([^"]+))?"\s+(\d{3})\s+(\S+)'
-    r'(?:\s+"([^"]*)"\s+"([^"]*)")?'
+    r'(?:\s+"([^"]*)"\s+"([^"]*)")?.*$'
 )
 TIME_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 def parse_access_log(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """Parsed requests; lines in another format are dropped."""
-    rows = lines.withColumn("_t", F.trim(F.col(line))).where(F.col("_t").rlike(ACCESS_REGEX))
-    part = lambda i: F.regexp_extract("_t", ACCESS_REGEX, i)
+    groups = regex_groups(F.trim(F.col(line)), ACCESS_REGEX, 10)
+    # The generator drops other lines without repeating the match in a filter.
+    rows = lines.withColumn("_g", F.explode(F.array_compact(F.array(groups))))
+    part = lambda i: F.col("_g")[i - 1]
     ts = F.unix_micros(F.try_to_timestamp(part(3), F.lit(TIME_FORMAT)))
     return rows.select(
         *[c for c in lines.columns if c != line],
@@ -58,14 +61,12 @@ def ingest_accounting(lines: DataFrame, sites: DataFrame, ingest_us: int, line:
     """
     resolved = resolve_sites(lines, sites)
     known = resolved.where("site_id IS NOT NULL")
-    text = F.trim(F.col(line))
-    ok = text.rlike(ACCESS_REGEX)
-    refused = F.regexp_extract(text, ACCESS_REGEX, 7).isin("401", "403") & F.regexp_extract(
-        text, ACCESS_REGEX, 5
-    ).rlike(R.LOGIN_URL_REGEX)
+    known = known.withColumn("_g", regex_groups(F.trim(F.col(line)), ACCESS_REGEX, 10))
+    ok = F.col("_g").isNotNull()
+    refused = F.col("_g")[6].isin("401", "403") & F.col("_g")[4].rlike(R.LOGIN_URL_REGEX)
     counts = known.groupBy("site_id", F.col("site_name").alias("site")).agg(
         F.count_if(ok).alias("parsed"),
-        F.count_if(~F.coalesce(ok, F.lit(False))).alias("skipped"),
+        F.count_if(~ok).alias("skipped"),
         F.sum(F.when(ok & refused, 2).when(ok, 1).otherwise(0)).alias("events"),
     )
     rejects = resolved.where("site_id IS NULL").drop("site_id", "site_name")

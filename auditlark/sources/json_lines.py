@@ -12,19 +12,20 @@ STRICT = {"allowSingleQuotes": "false"}
 END = "~eol~"
 
 
-def json_value(line: Column) -> Column:
-    """The text of a line that is exactly one JSON value; null for anything else."""
-    wrapped = F.from_json(F.concat(F.lit("["), line, F.lit(f',"{END}"]')), "array<string>", STRICT)
-    whole = (F.size(wrapped) == 2) & (F.try_element_at(wrapped, F.lit(2)) == END)
-    return F.when(whole, F.coalesce(wrapped[0], F.lit("null")))
-
-
-def json_object(line: Column) -> Column:
-    """map<string,string> of a line that is one JSON object; null for anything else."""
-    value = json_value(line)
-    return F.when(
-        F.ltrim(line).startswith("{") & value.isNotNull(), F.from_json(value, "map<string,string>", STRICT)
-    )
+def with_json(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_value``, the text of a line that is exactly one JSON value, and ``_json``,
+    its fields when the value is an object; null for anything else.
+
+    Each step is a column of its own, so a line is parsed once per step.
+    """
+    # Only lines that begin like JSON reach the parser.
+    likely = F.col(text).rlike(r'^\s*[\[{"\-0-9tfnNI]')
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')), "array<string>", STRICT)
+    whole = (F.size("_w") == 2) & (F.try_element_at("_w", F.lit(2)) == END)
+    df = df.withColumn("_w", F.when(likely, wrapped))
+    df = df.withColumn("_value", F.when(whole, F.coalesce(F.get("_w", F.lit(0)), F.lit("null")))).drop("_w")
+    is_object = F.col("_value").startswith("{") & F.ltrim(text).startswith("{")
+    return df.withColumn("_json", F.when(is_object, F.from_json("_value", "map<string,string>", STRICT)))
 
 
 def first_field(fields: Column, names: tuple[str, ...]) -> Column:
@@ -41,7 +42,7 @@ def parse_jsonl_events(lines: DataFrame, ingest_us: int, line: str = "line") ->
     """Event log lines to events; blank and ``#`` lines are skipped, bad JSON becomes RAW."""
     text = F.trim(F.col(line))
     rows = lines.withColumn("_t", text).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
-    rows = rows.withColumn("_f", json_object(F.col("_t")))
+    rows = with_json(rows, "_t").withColumnRenamed("_json", "_f")
     good = F.col("_f").isNotNull()
 
     def field(name: str, default: Column) -> Column:
@@ -99,10 +100,11 @@ def lower_keys(fields: Column) -> Column:
 def normalize_json_logs(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """JSON records of other tools; lines that are not objects are dropped."""
     rows = (
-        lines.withColumn("_raw", F.trim(F.col(line)))
-        .withColumn("_f", lower_keys(json_object(F.col("_raw"))))
-        .where("_f IS NOT NULL")
-        .drop(line)
+        with_json(lines.withColumn("_raw", F.trim(F.col(line))).drop(line), "_raw")
+        # Dropping other lines by the generator keeps the filter from repeating the parse.
+        .withColumn("_f", F.explode(F.array_compact(F.array("_json"))))
+        .withColumn("_f", lower_keys(F.col("_f")))
+        .drop("_json", "_value")
     )
     return normalize_fields(rows, "_f", "_raw", ingest_us, "json_log")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import regex_groups
 from ..functions.times import coerce_us
-from .json_lines import json_object, json_value
+from .json_lines import with_json
 
 # Line formats.
 BSD_REGEX = (
@@ -35,9 +36,9 @@ def cef_struct(line: Column) -> Column:
     return F.when(line.startswith("CEF:") & (F.size(parts) >= 7), record)
 
 
-def bsd_struct(line: Column) -> Column:
+def bsd_record(groups: Column) -> Column:
     def part(i: int) -> Column:
-        return F.regexp_extract(line, BSD_REGEX, i)
+        return groups[i - 1]
 
     pri = part(1).cast("int")
     record = F.struct(
@@ -48,7 +49,7 @@ def bsd_struct(line: Column) -> Column:
         part(5).alias("host"), part(6).alias("app"),
         F.nullif(part(7), F.lit("")).alias("pid"), part(8).alias("msg"),
     )
-    return F.when(line.rlike(BSD_REGEX), record)
+    return F.when(groups.isNotNull(), record)
 
 
 def parse_cef(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -60,19 +61,19 @@ def parse_cef(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def parse_bsd_syslog(lines: DataFrame, line: str = "line") -> DataFrame:
     """BSD syslog records only."""
-    return lines.withColumn("bsd", bsd_struct(F.col(line))).where("bsd IS NOT NULL").select(
-        *[c for c in lines.columns if c != line], "bsd.*"
-    )
+    found = F.explode(F.array_compact(F.array(regex_groups(F.col(line), BSD_REGEX, 8))))
+    rows = lines.select(*[c for c in lines.columns if c != line], found.alias("_g"))
+    return rows.withColumn("bsd", bsd_record(F.col("_g"))).select(*[c for c in rows.columns if c != "_g"], "bsd.*")
 
 
 def parse_log_lines(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """Every line to one event: empty, JSON object, other JSON, CEF, BSD syslog, else RAW."""
     rows = lines.withColumn("_l", F.regexp_replace(F.col(line), r"[\r\n]+$", ""))
     rows = (
-        rows.withColumn("_value", json_value(F.col("_l")))
-        .withColumn("_json", json_object(F.col("_l")))
+        with_json(rows, "_l")
         .withColumn("_cef", F.when(F.col("_value").isNull(), cef_struct(F.col("_l"))))
-        .withColumn("_bsd", F.when(F.col("_value").isNull() & F.col("_cef").isNull(), bsd_struct(F.col("_l"))))
+        .withColumn("_g", F.when(F.col("_value").isNull() & F.col("_l").startswith("<"), regex_groups(F.col("_l"), BSD_REGEX, 8)))
+        .withColumn("_bsd", bsd_record(F.col("_g")))
     )
     empty = F.col("_l") == ""
 
