@@ -38,8 +38,8 @@ def _shape(df: DataFrame, detector: str, explanation: Column) -> DataFrame:
 
 def anomalies(events: DataFrame, *, rate_keys: tuple[str, ...] = ("host",), min_score: float = MIN_SCORE) -> DataFrame:
     """Rate spikes, user risk and generated hosts, one row per detector, user, source and detail."""
-    spikes = rate_spikes(events, rate_keys).select("event_id", "rate_mean", "z", "score")
-    rate = events.join(spikes, "event_id")
+    carry = [c for c in ("user", "src_ip", "host") if c not in rate_keys]
+    rate = rate_spikes(events, rate_keys, carry=carry)
     risk = user_risk(events).where((F.col("score") >= min_score) & (F.col("explanation") != ""))
     dga = dga_hosts(events).where(F.col("score") >= min_score)
     layers = [

@@ -122,7 +122,7 @@ def suppress_repeats(
     gap = F.col("_s") - F.lag("_s").over(w)
     opens = F.when(gap.isNull() | (gap > window_s), 1).otherwise(0)
     starts = sliced.withColumn("_opens", opens).where("_slice = _own").drop("_slice", "_own")
-    runs = running_totals(starts, keys, {"_run": Total(F.col("_opens"))}, ts="_s", tie="_s", slice_us=slice_s).drop("_opens")
+    runs = running_totals(starts, keys, {"_run": Total(F.col("_opens"))}, ts="_s", tie="_s").drop("_opens")
     names = [*keys, "_first_ts", "_first_tie"]
 
     group = [*keys, "_run"]

@@ -121,11 +121,15 @@ def ewma_spikes(
 
 
 def event_rate_series(
-    events: DataFrame, keys: Sequence[str], *, span: int = 5, block_rows: int = 200_000
+    events: DataFrame, keys: Sequence[str], *, span: int = 5, block_rows: int = 200_000, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean of the last ``span`` arrival rates per key, one sample per distinct time."""
+    """Mean of the last ``span`` arrival rates per key, one sample per distinct time.
+
+    ``carry`` names columns of the first event of each time to keep.
+    """
     keys = list(keys)
-    arrivals = events.groupBy(*keys, "ts_us").agg(F.min("event_id").alias("event_id"))
+    first = F.min(F.struct("event_id", *carry)).alias("_e")
+    arrivals = events.groupBy(*keys, "ts_us").agg(first).select(*keys, "ts_us", "_e.*")
     ranked = running_totals(arrivals, keys, {"arrival": Total(F.lit(1))})
     w = Window.partitionBy(*keys, "block").orderBy("ts_us")
     rate = F.lit(float(US)) / (F.col("ts_us") - F.lag("ts_us").over(w))
@@ -134,13 +138,15 @@ def event_rate_series(
     return (
         series.where((F.col("arrival") > span) & ~F.col("is_copy"))
         .withColumn("n_sample", F.col("arrival") - span)
-        .select(*keys, "ts_us", "event_id", "n_sample", "rate_mean")
+        .select(*keys, "ts_us", "event_id", *carry, "n_sample", "rate_mean")
     )
 
 
-def rate_spikes(events: DataFrame, keys: Sequence[str], *, warmup: int = 15, threshold: float = 3.0) -> DataFrame:
+def rate_spikes(
+    events: DataFrame, keys: Sequence[str], *, warmup: int = 15, threshold: float = 3.0, carry: Sequence[str] = ()
+) -> DataFrame:
     """Spikes of the arrival rate with their 55-100 score."""
-    series = event_rate_series(events, keys)
+    series = event_rate_series(events, keys, carry=carry)
     scored = ewma_spikes(series, keys, "rate_mean", warmup=warmup, threshold=threshold, rank="n_sample")
     return scored.where("spike").withColumn("score", rate_score(F.col("z")))
 

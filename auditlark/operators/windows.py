@@ -6,9 +6,9 @@ frame re-reads its rows for every output row. The helpers here avoid both:
 * ``sliding_state`` turns a time window into +1/-1 marks and a running sum, and
   cuts every key into time slices; a row is copied into the next slice only
   when the window reaches across the border.
-* ``running_totals`` adds pre-aggregated totals of earlier slices to the
-  running sums inside a slice, so "all history before this row" needs no task
-  that sees a whole key.
+* ``running_totals`` cuts hot keys into time slices of bounded size and adds
+  pre-aggregated totals of earlier slices to the running sums inside a slice,
+  so "all history before this row" needs no task that sees a hot key whole.
 * ``row_blocks`` cuts a ranked sequence into blocks of bounded size with a
   fixed overlap, for operators that look a fixed number of rows back.
 """
@@ -24,8 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 US = 1_000_000
-DAY_US = 86_400 * US
+
+# A key with more rows than this is cut into slices.
+HOT_ROWS = 2_000_000
+# Below this input size no key can be too large for one task.
+SMALL_INPUT_BYTES = 1 << 30
+# At most this many hot keys are broadcast (some 40 MB); more are joined.
+MAX_BROADCAST_KEYS = 500_000
 
 
 def floor_div(value: Column, by: int) -> Column:
@@ -64,7 +72,9 @@ def sliding_state(
     distinct = dict(distinct or {})
     over = dict(over or {})
     window_us = window_s * US
-    slice_us = max(window_us, (slice_s or 8 * window_s) * US)
+    # Half an hour at most, unless the window is longer: a hot key spreads over
+    # many slices, and few rows of any other key are copied.
+    slice_us = max(window_us, (slice_s or min(8 * window_s, 1800)) * US)
     columns = df.columns
     part = [*keys, "_slice"]
 
@@ -140,12 +150,48 @@ class Total:
     by: tuple[str, ...] = ()
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything the plan reads; inputs of unknown size count as huge."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the slice width that splits them.
+
+    There are at most rows / ``hot_rows`` of them, whatever the data. Without a
+    limit given, inputs too small to hold one are not searched.
+    """
+    if hot_rows is None:
+        if input_bytes(df) < SMALL_INPUT_BYTES:
+            return None
+        hot_rows = HOT_ROWS
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    # Four times as many slices as rows ask for, as time is not evenly filled.
+    slices = F.ceil(F.col("_n") / hot_rows) * 4
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
+    found = materialize(counted.where(F.col("_n") > hot_rows).select(*keys, "_lo", width.cast("long").alias("_width")))
+    size = found.count()
+    if size == 0:
+        return None
+    return F.broadcast(found) if size <= MAX_BROADCAST_KEYS else found
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame | None) -> DataFrame:
+    """Add ``_slice``: time slices for hot keys, one slice for every other key."""
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0).cast("long"))
+    at = F.col(ts) - F.col("_lo")
+    part = ((at - F.pmod(at, F.col("_width"))) / F.col("_width")).cast("long")
+    return df.join(hot, list(keys), "left").select(*df.columns, F.coalesce(part, F.lit(0)).alias("_slice"))
+
+
 def running_totals(
     df: DataFrame,
     entity: Sequence[str],
     totals: Mapping[str, Total],
     *,
-    slice_us: int = DAY_US,
+    hot_rows: int | None = None,
     ts: str = "ts_us",
     tie: str = "event_id",
 ) -> DataFrame:
@@ -156,11 +202,27 @@ def running_totals(
     """
     columns = df.columns
     entity = list(entity)
+    hot = hot_keys(df, entity, ts, hot_rows)
+    weights = [t.weight.cast("long").alias(f"_w_{m}") for m, t in totals.items()]
+    rows = with_slices(df, entity, ts, hot).select("*", *weights).withColumn("_is_row", F.lit(1))
+    if hot is not None:
+        rows = rows.unionByName(_seed_rows(rows, entity, totals), allowMissingColumns=True)
+    rows = rows.repartition(*entity, "_slice")
+    sums = []
+    for m, t in totals.items():
+        w = (
+            Window.partitionBy(*entity, "_slice", *t.by)
+            .orderBy("_is_row", ts, tie)
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        sums.append(F.sum(F.coalesce(F.col(f"_w_{m}"), F.lit(0))).over(w).alias(m))
+    return rows.select("*", *sums).where("_is_row = 1").select(*columns, *totals)
+
+
+def _seed_rows(rows: DataFrame, entity: list[str], totals: Mapping[str, Total]) -> DataFrame:
+    """Totals of all earlier slices, one row per slice and value of each ``by`` set."""
     dims = sorted({d for t in totals.values() for d in t.by})
     sets = sorted({t.by for t in totals.values()})
-    rows = df.select("*", floor_div(F.col(ts), slice_us).alias("_slice"),
-                     *[t.weight.cast("long").alias(f"_w_{m}") for m, t in totals.items()])
-
     group_cols = [*entity, "_slice", *dims]
     seeds = rows.groupingSets(
         [[F.col(c) for c in (*entity, "_slice", *by)] for by in sets], *[F.col(c) for c in group_cols]
@@ -172,28 +234,12 @@ def running_totals(
     def set_id(by: tuple[str, ...]) -> int:
         return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in by)
 
-    seeds = seeds.select(
-        *group_cols,
-        *[
-            F.when(F.col("_set") == set_id(t.by), F.sum(f"_w_{m}").over(earlier)).otherwise(0).alias(f"_w_{m}")
-            for m, t in totals.items()
-        ],
-    ).where(F.greatest(*[F.coalesce(F.col(f"_w_{m}"), F.lit(0)) for m in totals], F.lit(0)) > 0)
-
-    both = (
-        rows.withColumn("_is_row", F.lit(1))
-        .unionByName(seeds.withColumn("_is_row", F.lit(0)), allowMissingColumns=True)
-        .repartition(*entity, "_slice")
-    )
-    sums = []
-    for m, t in totals.items():
-        w = (
-            Window.partitionBy(*entity, "_slice", *t.by)
-            .orderBy("_is_row", ts, tie)
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-        sums.append(F.sum(F.coalesce(F.col(f"_w_{m}"), F.lit(0))).over(w).alias(m))
-    return both.select("*", *sums).where("_is_row = 1").select(*columns, *totals)
+    weights = [
+        F.when(F.col("_set") == set_id(t.by), F.sum(f"_w_{m}").over(earlier)).otherwise(0).alias(f"_w_{m}")
+        for m, t in totals.items()
+    ]
+    filled = F.greatest(*[F.coalesce(F.col(f"_w_{m}"), F.lit(0)) for m in totals], F.lit(0)) > 0
+    return seeds.select(*group_cols, *weights).where(filled).withColumn("_is_row", F.lit(0))
 
 
 def row_blocks(df: DataFrame, rank: str, size: int, overlap: int) -> DataFrame:

@@ -23,7 +23,9 @@ PAYLOADS = [
     "POST /cart quantity=-5 HTTP/1.1",
     "GET /download/report.csv?x=1 HTTP/1.1",
 ]
-EVENT_NAMES = {"error": "AUTH_FAIL", "signup": "AUTH_OK", "purchase": "NET_FLOW"}
+EVENT_NAMES = {
+    "error": "AUTH_FAIL", "signup": "AUTH_OK", "purchase": "NET_FLOW", "view": "HTTP_REQ", "click": "HTTP_REQ",
+}
 SENTENCES = {
     "AUTH_FAIL": "failed password attempt",
     "AUTH_OK": "accepted password",
@@ -35,24 +37,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as security events."""
-    return sec_events_from(table(spark, sf_dir, "events"))
+def sec_events(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The ``events`` table as security events, optionally of some kinds only.
+
+    The kinds are filtered on the stored column, so the filter reaches the scan.
+    """
+    raw = table(spark, sf_dir, "events")
+    if only:
+        raw = raw.where(F.col("event_type").isin(*[t for t, name in EVENT_NAMES.items() if name in only]))
+    return sec_events_from(raw)
 
 
 def sec_events_from(raw: DataFrame) -> DataFrame:
     """Rows of the ``events`` table, batch or streaming, as security events."""
     k = F.get_json_object("props", "$.k").cast("int")
     uid = F.col("user_id")
-    event = F.lit("HTTP_REQ")
+    event = F.when(F.col("event_type").isin("view", "click"), "HTTP_REQ")
     for source, name in EVENT_NAMES.items():
-        event = F.when(F.col("event_type") == source, name).otherwise(event)
-    msg = F.element_at(F.array(*[F.lit(p) for p in PAYLOADS]), (F.col("event_id") % len(PAYLOADS) + 1).cast("int"))
+        if name != "HTTP_REQ":
+            event = event.when(F.col("event_type") == source, name)
+    msg = F.when(
+        F.col("event") == "HTTP_REQ",
+        F.element_at(F.array(*[F.lit(p) for p in PAYLOADS]), (F.col("event_id") % len(PAYLOADS) + 1).cast("int")),
+    )
     for name, text in SENTENCES.items():
-        msg = F.when(F.col("event") == name, text).otherwise(msg)
+        msg = msg.when(F.col("event") == name, text)
     return (
-        raw.withColumn("k", k)
-        .withColumn("event", event)
+        # The generator keeps later filters on derived columns from parsing the JSON again.
+        raw.select("*", F.explode(F.array(k)).alias("k"), event.alias("event"))
         .select(
             "event_id",
             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),

@@ -32,12 +32,12 @@ HITS_SQL = f"""
 
 
 def hits(spark, sf_dir):
-    return D.with_pattern(D.signature_hits(D.scanned(sec_events(spark, sf_dir))))
+    return D.with_pattern(D.signature_hits(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ"))))
 
 
 @query(over_events(HITS_SQL + " SELECT event_id, pattern_id, matched, src_ip FROM hits"))
 def signature_hits(spark, sf_dir):
-    return D.signature_hits(D.scanned(sec_events(spark, sf_dir))).select("event_id", "pattern_id", "matched", "src_ip")
+    return D.signature_hits(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ"))).select("event_id", "pattern_id", "matched", "src_ip")
 
 
 @query(f"""SELECT page_id, pattern_id, regexp_extract(html, rx, 0) AS matched FROM pages, {PATTERN_ROWS_SQL}
@@ -56,7 +56,7 @@ OWASP_SQL = "array_to_string(list_filter([" + ", ".join(
 SELECT event_id, src_ip, {OWASP_SQL.replace('{0}', 'msg')} AS labels FROM sec
 WHERE event IN ('HTTP_REQ', 'APP_INPUT', 'RAW') AND labels <> ''"""))
 def owasp_line_scan(spark, sf_dir):
-    found = D.owasp_scan(D.scanned(sec_events(spark, sf_dir)))
+    found = D.owasp_scan(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ")))
     return found.select("event_id", "src_ip", F.array_join("signatures", ",").alias("labels"))
 
 
@@ -84,7 +84,7 @@ BRUTE_SQL = f"""
 
 
 def brute(spark, sf_dir):
-    return D.bruteforce_windows(sec_events(spark, sf_dir), keys=("user",), window_s=3 * DAY, threshold=4)
+    return D.bruteforce_windows(sec_events(spark, sf_dir, "AUTH_FAIL"), keys=("user",), window_s=3 * DAY, threshold=4)
 
 
 @query(over_events(BRUTE_SQL + """
@@ -118,7 +118,7 @@ SELECT event_id, atk_ip, n, n_users FROM g
 WHERE n >= 3 AND n_users >= 3 AND (m IS NULL OR m < ts_us - {6 * 3600 * US})"""))
 def password_spray(spark, sf_dir):
     found = D.password_spray(
-        sec_events(spark, sf_dir), ip="atk_ip", window_s=6 * 3600, min_users=3, min_fails=3, max_per_user=3
+        sec_events(spark, sf_dir, "AUTH_FAIL"), ip="atk_ip", window_s=6 * 3600, min_users=3, min_fails=3, max_per_user=3
     )
     return found.select("event_id", "atk_ip", "n", "n_users")
 
@@ -129,7 +129,7 @@ def password_spray(spark, sf_dir):
   WINDOW w AS (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {3 * DAY * US} PRECEDING AND CURRENT ROW))
 SELECT event_id, "user", n, n_ips FROM f WHERE n >= 4 AND n_ips >= 3"""))
 def distributed_bruteforce(spark, sf_dir):
-    found = D.distributed_bruteforce(sec_events(spark, sf_dir), window_s=3 * DAY, min_ips=3, min_fails=4)
+    found = D.distributed_bruteforce(sec_events(spark, sf_dir, "AUTH_FAIL"), window_s=3 * DAY, min_ips=3, min_fails=4)
     return found.select("event_id", "user", "n", "n_ips")
 
 
@@ -139,7 +139,7 @@ def distributed_bruteforce(spark, sf_dir):
   WINDOW w AS (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {DAY * US} PRECEDING AND CURRENT ROW))
 SELECT event_id, "user", src_ip, n_nets FROM f WHERE n_nets >= 2"""))
 def impossible_travel(spark, sf_dir):
-    found = D.impossible_travel(sec_events(spark, sf_dir), window_s=DAY)
+    found = D.impossible_travel(sec_events(spark, sf_dir, "AUTH_OK"), window_s=DAY)
     return found.select("event_id", "user", "src_ip", "n_nets")
 
 
@@ -149,7 +149,7 @@ def impossible_travel(spark, sf_dir):
   FROM sec WHERE event = 'HTTP_REQ' AND regexp_matches(msg, {sql_text(R.EXFIL_REGEX)}))
 SELECT event_id, "user", n FROM f WHERE n >= 3"""))
 def exfil_bursts(spark, sf_dir):
-    found = D.exfil_bursts(sec_events(spark, sf_dir), window_s=10 * DAY, threshold=3, keys=("user",))
+    found = D.exfil_bursts(sec_events(spark, sf_dir, "HTTP_REQ"), window_s=10 * DAY, threshold=3, keys=("user",))
     return found.select("event_id", "user", "n")
 
 
@@ -189,14 +189,14 @@ HISTORY_SQL = f"""
 
 @query(over_events(HISTORY_SQL + """ SELECT event_id, "user", src_ip, t AS logins FROM hist WHERE f = 1 AND t >= 5"""))
 def ueba_new_ip(spark, sf_dir):
-    found = D.ueba_new_ip(D.login_history(sec_events(spark, sf_dir)))
+    found = D.ueba_new_ip(D.login_history(sec_events(spark, sf_dir, "AUTH_OK")))
     return found.select("event_id", "user", "src_ip", "logins")
 
 
 @query(over_events(HISTORY_SQL + """
 SELECT event_id, "user", hour::INT AS hour, h AS hour_logins, t AS logins FROM hist WHERE t >= 10 AND h / t < 0.10"""))
 def ueba_off_hours(spark, sf_dir):
-    found = D.ueba_off_hours(D.login_history(sec_events(spark, sf_dir)))
+    found = D.ueba_off_hours(D.login_history(sec_events(spark, sf_dir, "AUTH_OK")))
     return found.select("event_id", "user", "hour", "hour_logins", "logins")
 
 
@@ -215,7 +215,7 @@ FINDINGS_SQL = HISTORY_SQL + """
 
 @query(over_events(FINDINGS_SQL + """ SELECT event_id, "user", kind, detail FROM unique_findings"""))
 def ueba_findings(spark, sf_dir):
-    return D.ueba_findings(sec_events(spark, sf_dir)).select("event_id", "user", "kind", "detail")
+    return D.ueba_findings(sec_events(spark, sf_dir, "AUTH_OK")).select("event_id", "user", "kind", "detail")
 
 
 def host_assets(spark, sf_dir):
@@ -255,7 +255,7 @@ AS_OF_US = 1_706_400_000 * US  # 2024-01-28 00:00:00 UTC, inside the event range
 SELECT "user", count(*) AS fails FROM sec
 WHERE event = 'AUTH_FAIL' AND ts_us BETWEEN {AS_OF_US - 3 * DAY * US} AND {AS_OF_US} GROUP BY 1"""))
 def window_occupancy(spark, sf_dir):
-    return D.window_occupancy(sec_events(spark, sf_dir), AS_OF_US, window_s=3 * DAY, keys=("user",))
+    return D.window_occupancy(sec_events(spark, sf_dir, "AUTH_FAIL"), AS_OF_US, window_s=3 * DAY, keys=("user",))
 
 
 @query(over_events(""" SELECT event_id, ts_us, event, "user", src_ip FROM sec ORDER BY ts_us DESC, event_id DESC LIMIT 80"""))
@@ -268,4 +268,4 @@ SELECT attacks, anomalies, CASE WHEN attacks > 0 THEN 'UNDER ATTACK' WHEN anomal
 FROM (SELECT (SELECT count(DISTINCT "user") FROM brute) AS attacks, (SELECT count(*) FROM unique_findings) AS anomalies)"""))
 def soc_status(spark, sf_dir):
     attacks = D.active_attacks(brute(spark, sf_dir), ("user",))
-    return D.soc_status(attacks, D.ueba_findings(sec_events(spark, sf_dir)))
+    return D.soc_status(attacks, D.ueba_findings(sec_events(spark, sf_dir, "AUTH_OK")))

@@ -234,7 +234,7 @@ def promotions(spark, sf_dir):
     return G.control_promotions(
         with_org(brute(spark, sf_dir), spark, sf_dir),
         with_org(owasp_found(spark, sf_dir), spark, sf_dir),
-        with_org(D.ueba_findings(sec_events(spark, sf_dir)), spark, sf_dir),
+        with_org(D.ueba_findings(sec_events(spark, sf_dir, "AUTH_OK")), spark, sf_dir),
         with_org(D.dedup_hits(hits(spark, sf_dir)), spark, sf_dir),
     )
 
@@ -381,7 +381,7 @@ def control_restore(spark, sf_dir):
 SELECT n_name AS org, control_id, coalesce(st, seed_status) AS status FROM nation CROSS JOIN {CONTROL_ROWS_SQL}
 LEFT JOIN last l ON l.org = n_name AND l.domain_id = ctl.domain_id"""))
 def domain_status(spark, sf_dir):
-    flows = with_org(sec_events(spark, sf_dir).where("event = 'NET_FLOW' AND k % 10 = 0"), spark, sf_dir)
+    flows = with_org(sec_events(spark, sf_dir, "NET_FLOW").where("k % 10 = 0"), spark, sf_dir)
     changes = flows.select(
         "org", "event_id", "ts_us", F.concat(F.lit("PISF-"), F.lpad(F.expr("cast(k div 10 + 1 as string)"), 2, "0")).alias("domain_id"),
         F.lit(R.STATUS_NON_COMPLIANT).alias("status"),

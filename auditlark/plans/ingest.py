@@ -231,7 +231,7 @@ STATUSES = (200, 401, 403, 404, 500)
 
 def access_lines(spark, sf_dir):
     """Access-log lines over the request events; every eleventh is damaged."""
-    events = sec_events(spark, sf_dir).where("event = 'HTTP_REQ'")
+    events = sec_events(spark, sf_dir, "HTTP_REQ")
     path = F.concat(F.when(F.col("k") % 2 == 0, "/login?u=").otherwise("/page/"), "k")
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("k") % 5 + 1).cast("int"))
     time = F.date_format(F.timestamp_micros("ts_us"), "dd/MMM/yyyy:HH:mm:ss")
@@ -274,7 +274,7 @@ def access_log_events(spark, sf_dir):
 
 def sites(spark, sf_dir):
     """One site per host that serves requests; host-4 stays unregistered."""
-    hosts = sec_events(spark, sf_dir).where("event = 'HTTP_REQ' AND host <> 'host-4'").groupBy("host").agg(F.min("event_id").alias("m"))
+    hosts = sec_events(spark, sf_dir, "HTTP_REQ").where("host <> 'host-4'").groupBy("host").agg(F.min("event_id").alias("m"))
     return hosts.select((F.regexp_extract("host", r"(\d+)$", 1).cast("int") + 1).alias("site_id"), F.col("host").alias("name"))
 
 

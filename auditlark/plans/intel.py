@@ -34,7 +34,7 @@ def ti_urlhaus(spark, sf_dir):
 
 
 def ip_lines(spark, sf_dir):
-    events = sec_events(spark, sf_dir).where("event = 'AUTH_FAIL'")
+    events = sec_events(spark, sf_dir, "AUTH_FAIL")
     line = F.when(F.col("k") % 7 == 0, F.concat(F.lit("#"), "src_ip")).when(F.col("k") % 7 == 1, F.lit("bad.value 1")).otherwise(
         F.concat("src_ip", F.lit(",,  first seen "), "k")
     )

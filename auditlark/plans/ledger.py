@@ -34,7 +34,7 @@ def live_sessions(spark, sf_dir):
 
 def revocations(spark, sf_dir):
     """Every flow record with k < 8 revokes the session of its source."""
-    flows = sec_events(spark, sf_dir).where("event = 'NET_FLOW' AND k < 8")
+    flows = sec_events(spark, sf_dir, "NET_FLOW").where("k < 8")
     return flows.select("src_ip", F.col("ts_us").alias("revoked_us"), F.col("user").alias("revoked_by"))
 
 

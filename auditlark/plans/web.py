@@ -41,7 +41,7 @@ MODE_SQL = BRUTE_SQL + BLOCKS_SQL + """
 
 
 def owasp_found(spark, sf_dir):
-    return D.owasp_scan(D.scanned(sec_events(spark, sf_dir)))
+    return D.owasp_scan(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ")))
 
 
 def found_site_hits(spark, sf_dir):
@@ -89,7 +89,7 @@ def block_incidents(spark, sf_dir):
 
 def unblocks(spark, sf_dir):
     """Operators lift a block when the source later logs in cleanly (k < 30)."""
-    logins = sec_events(spark, sf_dir).where("event = 'AUTH_OK' AND k < 30")
+    logins = sec_events(spark, sf_dir, "AUTH_OK").where("k < 30")
     known = sites(spark, sf_dir).select("site_id", F.col("name").alias("host"))
     return logins.join(known, "host").select("site_id", "src_ip", F.col("ts_us").alias("unblocked_us"), "event_id")
 
@@ -171,5 +171,5 @@ def site_kpis(spark, sf_dir):
 SELECT host AS site, CASE WHEN bool_or(k < 10) AND bool_or(k >= 10) THEN 'file+http' WHEN bool_or(k < 10) THEN 'http' ELSE 'file' END AS ingest_sources
 FROM sec WHERE event = 'HTTP_REQ' GROUP BY 1"""))
 def site_sources(spark, sf_dir):
-    rows = sec_events(spark, sf_dir).where("event = 'HTTP_REQ'")
+    rows = sec_events(spark, sf_dir, "HTTP_REQ")
     return W.site_sources(rows.select(F.col("host").alias("site"), F.when(F.col("k") < 10, "http").otherwise("file").alias("source")))

@@ -52,12 +52,13 @@ def test_sliding_state_does_not_depend_on_slices(spark):
     assert run(25) == run(100) == run(100_000)
 
 
-def test_running_totals_equal_replay(spark):
+@pytest.mark.parametrize("hot_rows", [None, 20, 1000])
+def test_running_totals_equal_replay(spark, hot_rows):
     rows = random_rows(5, n=400)
     df = spark.createDataFrame(rows, "event_id long, ts_us long, ip string, user string")
     out = running_totals(
         df, ["ip"], {"seen": Total(F.lit(1)), "mine": Total(F.lit(1), ("user",)),
-                     "odd": Total(F.col("event_id") % 2)}, slice_us=37 * US,
+                     "odd": Total(F.col("event_id") % 2)}, hot_rows=hot_rows,
     )
     got = {r.event_id: (r.seen, r.mine, r.odd) for r in out.collect()}
     for event_id, ts, ip, user in rows:
