@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import registry as R
 from ..operators import detectors as D
+from ..operators import intel as I
 from ..operators.windows import US
 from ..streaming import stream as M
-from .adapters import sec_events_from, sql_text
-from .anomaly import EWMA_SQL, over_events_recursive
+from .adapters import sec_events_from
+from .anomaly import EWMA_SQL, RISK_SQL, over_events_recursive
 from .catalog import over_events, query
-from .detection import BRUTE_SQL, DAY, HITS_SQL, PATTERN_ROWS_SQL
+from .detection import BRUTE_SQL, DAY, HITS_SQL
+from .intel import STORE_SQL, merged_store
 
 NOW = "0 seconds"
 
@@ -119,3 +120,17 @@ def stream_alert_dedup(spark, sf_dir):
     fails = events(spark, sf_dir).where("event = 'AUTH_FAIL'")
     found = M.run_available(M.suppress_stream(fails, F.col("host"), window_s=WINDOW, delay=NOW))
     return found.select("event_id", F.col("key").alias("host"), "status")
+
+
+@query(over_events(RISK_SQL.format(source="sec") + """
+SELECT event_id, "user", coalesce(l, 0)::BIGINT AS logins, round(score, 1) AS score, factors FROM risk WHERE ts_us < (SELECT max(ts_us) FROM sec)"""))
+def stream_ueba_risk(spark, sf_dir):
+    found = M.run_available(M.risk_stream(events(spark, sf_dir), delay=NOW))
+    return found.select("event_id", F.col("key").alias("user"), "logins", F.round("score", 1).alias("score"), "factors")
+
+
+@query(over_events(STORE_SQL + """
+SELECT event_id, s.ioc, feed_name AS ioc_feed, confidence FROM sec JOIN merged s ON lower(trim(src_ip)) = lower(s.ioc)"""))
+def stream_ioc_enrich(spark, sf_dir):
+    found = I.enrich(events(spark, sf_dir).select("event_id", "src_ip"), "src_ip", merged_store(spark, sf_dir))
+    return M.run_available(found.select("event_id", "ioc", "ioc_feed", "confidence"))

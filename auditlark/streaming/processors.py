@@ -7,7 +7,9 @@ can still need.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -155,3 +157,61 @@ class SuppressRepeats(OrderedProcessor):
             sent_at = second if send else sent_at
             out.append((event_id, ts_us, "sent" if send else "deduped"))
         return pd.DataFrame(out, columns=self.columns[1:]), [(sent_at, 0, "", "")]
+
+
+class UserRisk(OrderedProcessor):
+    """Risk of each authentication event from what the user did before.
+
+    The state holds the known sources, hosts and hours, the last attempts and
+    the last event times; it grows with distinct sources, not with events.
+    """
+
+    columns = ["key", "event_id", "ts_us", "logins", "score", "factors"]
+
+    def __init__(self, weights: dict[str, float], min_logins: int, attempt_span: int, event_span: int, burst_s: int) -> None:
+        self.weights, self.min_logins = weights, min_logins
+        self.attempt_span, self.event_span, self.burst_us = attempt_span, event_span, burst_s * US
+
+    def advance(self, memory, ready):
+        state = json.loads(memory[0][3]) if memory else {"ips": [], "hosts": [], "hours": {}, "fails": [], "times": [], "n": 0}
+        ips, hosts, hours, n = set(state["ips"]), set(state["hosts"]), state["hours"], state["n"]
+        fails = deque(state["fails"], maxlen=self.attempt_span)
+        times = deque(state["times"], maxlen=self.event_span)
+        out = []
+        for ts_us, event_id, _, value in ready:
+            event = json.loads(value)
+            hour = str(ts_us // (3600 * US) % 24)
+            kind, ip, host = event["event"], event["src_ip"], event["host"]
+            if kind in ("AUTH_OK", "AUTH_FAIL"):
+                found = self.factors(n, ts_us, ip, host, hours.get(hour, 0), ips, hosts, fails, times)
+                score = min(100.0, sum(found.values()))
+                out.append((event_id, ts_us, n, score, ",".join(found)))
+            times.append(ts_us)
+            if kind == "AUTH_OK":
+                ips.add(ip)
+                hosts.add(host)
+                hours[hour] = hours.get(hour, 0) + 1
+                n += 1
+            if kind in ("AUTH_OK", "AUTH_FAIL"):
+                fails.append(int(kind == "AUTH_FAIL"))
+        kept = {"ips": sorted(ips), "hosts": sorted(hosts), "hours": hours, "fails": list(fails), "times": list(times), "n": n}
+        return pd.DataFrame(out, columns=self.columns[1:]), [(ready[-1][0], n, "", json.dumps(kept))]
+
+    def factors(self, n, now, ip, host, in_hour, ips, hosts, fails, times) -> dict[str, float]:
+        found: dict[str, float] = {}
+        if n < self.min_logins:
+            return found
+        if ip not in ips and ip != "0.0.0.0":
+            found["new_ip"] = self.weights["new_ip"]
+        if in_hour / n < 0.10:
+            found["off_hours"] = self.weights["off_hours"]
+        if len(fails) >= 5 and sum(fails) / len(fails) >= 0.5:
+            found["failures"] = self.weights["failures"] * sum(fails) / len(fails)
+        if len(times) >= 10:
+            recent = sum(t >= now - self.burst_us for t in times)
+            minutes = max(1.0, (times[-1] - times[0]) / (60 * US))
+            if recent >= 10 and recent / 10.0 > 5 * len(times) / minutes:
+                found["burst"] = self.weights["burst"]
+        if host not in hosts and host != "-":
+            found["new_host"] = self.weights["new_host"]
+        return found

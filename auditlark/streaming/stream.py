@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import registry as R
+from ..operators import ueba
 from ..operators.detectors import scanned, signature_hits, with_pattern
 from ..session import checkpoint_root
 from ..sources.json_lines import parse_jsonl_events
-from .processors import EwmaSpikes, OrderedProcessor, SlidingWindow, SuppressRepeats
+from .processors import EwmaSpikes, OrderedProcessor, SlidingWindow, SuppressRepeats, UserRisk
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "10 minutes"
 
 WINDOW_OUT = "key string, event_id long, ts_us long, n long, n_distinct long, first_us long"
 EWMA_OUT = "key string, event_id long, ts_us long, n_sample long, z double, spike boolean"
+RISK_OUT = "key string, event_id long, ts_us long, logins long, score double, factors string"
 SUPPRESS_OUT = "key string, event_id long, ts_us long, status string"
 
 
@@ -101,6 +104,20 @@ def suppress_stream(alerts: DataFrame, key: Column, *, window_s: int = 900, dela
     return _keyed(alerts, key, SuppressRepeats(window_s), SUPPRESS_OUT, delay)
 
 
+def risk_stream(events: DataFrame, *, delay: str = WATERMARK) -> DataFrame:
+    """User risk with the factors and weights of the batch operator."""
+    weights = {
+        "new_ip": ueba.WEIGHT_NEW_IP, "off_hours": ueba.WEIGHT_OFF_HOURS, "failures": ueba.WEIGHT_FAILURES,
+        "burst": ueba.WEIGHT_BURST, "new_host": ueba.WEIGHT_NEW_HOST,
+    }
+    processor = UserRisk(weights, ueba.MIN_LOGINS, ueba.ATTEMPT_SPAN, ueba.EVENT_SPAN, ueba.BURST_SPAN_S)
+    known = events.where(~F.col("user").isin(*R.PLACEHOLDER_USERS))
+    value = F.to_json(F.struct(
+        "event", F.coalesce("src_ip", F.lit("0.0.0.0")).alias("src_ip"), F.coalesce("host", F.lit("-")).alias("host")
+    ))
+    return _keyed(known, F.col("user"), processor, RISK_OUT, delay, value=value)
+
+
 def append_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Exactly-once append to Parquet."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -261,3 +261,19 @@ def test_sca_scan(spark):
 def test_id_mask(spark):
     df = spark.createDataFrame([("a 12345-1234567-8 b 1-2-3 99999-0000000-1",)], "t string")
     assert [r.masked_id for r in T.find_ids(df, "t").collect()] == ["123••-•••••••-8", "999••-•••••••-1"]
+
+
+def test_sinks(spark, tmp_path):
+    from auditlark.sources import sinks
+
+    incidents = ledger(spark, {}, {"ts_us": 90_000 * US})
+    sinks.append_ledger(incidents, str(tmp_path / "ledger"))
+    sinks.append_ledger(incidents, str(tmp_path / "ledger"))
+    back = spark.read.parquet(str(tmp_path / "ledger"))
+    assert back.count() == 4 and back.select("day").distinct().count() == 2
+    focus = L.latest_per_source(incidents)
+    sinks.export_forensics(
+        incidents.select("incident_key"), L.chain_nodes(incidents, focus), L.chain_edges(incidents, focus), str(tmp_path / "f"))
+    assert spark.read.json(str(tmp_path / "f" / "nodes")).count() == 5
+    sinks.append_jsonl(incidents.select("source_ip"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
