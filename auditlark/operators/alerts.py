@@ -38,9 +38,8 @@ def dispatch(alerts: DataFrame, destinations: str = "destinations", routes: dict
         channels, F.lit(0), lambda n, c: n + F.coalesce(F.size(F.try_element_at(F.col(destinations), c)), F.lit(0))
     )
     keyed = alerts.withColumn("dedup_key", dedup_key()).withColumn("_reach", reach)
-    routed = suppress_repeats(keyed.where("_reach > 0"), ["dedup_key"], window_s=window_s)
-    silent = keyed.where("_reach <= 0").withColumn("status", F.lit("unrouted"))
-    return routed.select(*keyed.columns, "status").unionByName(silent.select(*keyed.columns, "status")).drop("_reach")
+    marked = suppress_repeats(keyed, ["dedup_key"], window_s=window_s, counts=F.col("_reach") > 0)
+    return marked.withColumn("status", F.when(F.col("_reach") > 0, F.col("status")).otherwise("unrouted")).drop("_reach")
 
 
 def delivery_log(dispatched: DataFrame, destinations: str = "destinations", routes: dict[str, list[str]] | None = None) -> DataFrame:

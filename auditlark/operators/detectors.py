@@ -14,20 +14,21 @@ def scanned(events: DataFrame) -> DataFrame:
 
 
 def signature_matches(text: Column, patterns: list[R.Pattern] | None = None) -> Column:
-    """array<struct<pattern_id, matched>>: one entry per pattern whose first signature hits."""
+    """array<struct<pattern_id, matched>>: the text each pattern's first matching signature found, or ''."""
     entries = []
     for p in patterns or R.SIGNATURES:
         found = F.regexp_extract(text, p.signatures[-1], 0)
         for s in reversed(p.signatures[:-1]):
             found = F.when(text.rlike(s), F.regexp_extract(text, s, 0)).otherwise(found)
         entries.append(F.struct(F.lit(p.pattern_id).alias("pattern_id"), found.alias("matched")))
-    return F.filter(F.array(*entries), lambda e: e["matched"] != "")
+    return F.array(*entries)
 
 
 def signature_hits(events: DataFrame, text: str = "msg") -> DataFrame:
     """One row per event and matching pattern."""
     return (
         events.withColumn("_hit", F.explode(signature_matches(F.col(text))))
+        .where("_hit.matched <> ''")
         .select("*", "_hit.pattern_id", "_hit.matched")
         .drop("_hit")
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
@@ -99,16 +99,18 @@ def transition_audit(steps: DataFrame) -> DataFrame:
 
 
 def suppress_repeats(
-    alerts: DataFrame, keys: Sequence[str], *, window_s: int = R.ALERT_WINDOW_S, ts: str = "ts_us", tie: str = "event_id"
+    alerts: DataFrame, keys: Sequence[str], *, window_s: int = R.ALERT_WINDOW_S, counts: Column | None = None,
+    ts: str = "ts_us", tie: str = "event_id",
 ) -> DataFrame:
     """Mark each alert ``sent`` or ``deduped``.
 
     An alert is suppressed when one of its key was sent at most ``window_s``
-    before. Alerts of one key and second collapse to their first before the
+    before. Alerts for which ``counts`` is false take no part in that. Alerts of one key and second collapse to their first before the
     fold, which keeps it short whatever the rate of repeats.
     """
     keys = list(keys)
-    seconds = alerts.withColumn("_s", floor_div(F.col(ts), US))
+    taking_part = alerts if counts is None else alerts.where(counts)
+    seconds = taking_part.withColumn("_s", floor_div(F.col(ts), US))
     per_second = seconds.groupBy(*keys, "_s").agg(F.min(F.struct(ts, tie)).alias("_f")).select(
         *keys, "_s", F.col(f"_f.{ts}").alias("_first_ts"), F.col(f"_f.{tie}").alias("_first_tie")
     )

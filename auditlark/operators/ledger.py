@@ -227,7 +227,7 @@ def playbook_target(attacks: DataFrame, injections: DataFrame, assets: DataFrame
     )
     critical = F.when(F.col("classification") == R.CLASS_CII, 0).otherwise(1)
     asset = assets.orderBy(critical, F.desc("risk_score"), "hostname").limit(1).select(
-        F.lit(3).alias("priority"), F.lit("203.99.48.17").alias("source_ip"), F.col("hostname").alias("target_host"),
+        F.lit(3).alias("priority"), F.lit(R.MANUAL_SOURCE_IP).alias("source_ip"), F.col("hostname").alias("target_host"),
         "classification", F.lit("MANUAL PLAYBOOK (no live window hit)").alias("detection_rule"),
     )
     return first_attack.unionByName(last_injection).unionByName(asset).orderBy("priority").limit(1).select(*columns)

@@ -53,11 +53,12 @@ def sca_scan(spark, sf_dir):
     return C.sca_scan(manifests, "manifest").select("p_partkey", "component", "installed", "status")
 
 
+# Every document gets a made-up id at its end.
 @query("""
-SELECT doc_id, substr(lpad(doc_id::VARCHAR, 5, '3'), 1, 3) || '••-•••••••-' || (doc_id % 10) AS masked_id FROM documents WHERE doc_id < 100000""")
+SELECT doc_id, substr(lpad((doc_id % 100000)::VARCHAR, 5, '3'), 1, 3) || '••-•••••••-' || (doc_id % 10) AS masked_id FROM documents""")
 def id_mask(spark, sf_dir):
-    number = F.concat(F.lpad(F.col("doc_id").cast("string"), 5, "3"), F.lit("-1234567-"), F.col("doc_id") % 10)
-    docs = table(spark, sf_dir, "documents").where("doc_id < 100000").select(
+    number = F.concat(F.lpad((F.col("doc_id") % 100_000).cast("string"), 5, "3"), F.lit("-1234567-"), F.col("doc_id") % 10)
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat("text", F.lit(" id "), number, F.lit(" end")).alias("text")
     )
     return C.find_ids(docs, "text").select("doc_id", "masked_id")

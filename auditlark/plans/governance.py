@@ -373,17 +373,18 @@ def control_restore(spark, sf_dir):
     return G.control_restore(statuses(spark, sf_dir), 1_706_400_000 * US).drop("evidence")
 
 
-# Every tenth flow record marks a whole domain of its user's organisation.
+# Every flow record assesses a whole domain of its user's organisation.
 @query(over_events(f"""
-, changes AS (SELECT n_name AS org, event_id, ts_us, 'PISF-' || lpad((k // 10 + 1)::VARCHAR, 2, '0') AS domain_id, 'Non-Compliant' AS status
-  FROM sec JOIN nation ON n_nationkey = {NATION_SQL} WHERE event = 'NET_FLOW' AND k % 10 = 0)
+, changes AS (SELECT n_name AS org, event_id, ts_us, 'PISF-' || lpad((k % 13 + 1)::VARCHAR, 2, '0') AS domain_id,
+    CASE WHEN k % 2 = 0 THEN 'Non-Compliant' ELSE 'Compliant' END AS status
+  FROM sec JOIN nation ON n_nationkey = {NATION_SQL} WHERE event = 'NET_FLOW')
 , last AS (SELECT org, domain_id, arg_max(status, (ts_us, event_id)) AS st FROM changes GROUP BY 1, 2)
 SELECT n_name AS org, control_id, coalesce(st, seed_status) AS status FROM nation CROSS JOIN {CONTROL_ROWS_SQL}
 LEFT JOIN last l ON l.org = n_name AND l.domain_id = ctl.domain_id"""))
 def domain_status(spark, sf_dir):
-    flows = with_org(sec_events(spark, sf_dir, "NET_FLOW").where("k % 10 = 0"), spark, sf_dir)
+    flows = with_org(sec_events(spark, sf_dir, "NET_FLOW"), spark, sf_dir)
     changes = flows.select(
-        "org", "event_id", "ts_us", F.concat(F.lit("PISF-"), F.lpad(F.expr("cast(k div 10 + 1 as string)"), 2, "0")).alias("domain_id"),
-        F.lit(R.STATUS_NON_COMPLIANT).alias("status"),
+        "org", "event_id", "ts_us", F.concat(F.lit("PISF-"), F.lpad((F.col("k") % 13 + 1).cast("string"), 2, "0")).alias("domain_id"),
+        F.when(F.col("k") % 2 == 0, R.STATUS_NON_COMPLIANT).otherwise(R.STATUS_COMPLIANT).alias("status"),
     )
     return G.latest_status(G.domain_status_events(changes), orgs(spark, sf_dir)).select("org", "control_id", "status")

@@ -166,14 +166,15 @@ def ioc_enrich_pages(spark, sf_dir):
 IPV4_IN_TEXT = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
 
-# Addresses quoted in documents; half of the documents serve as the block list.
+# Addresses quoted in documents; those quoted in low-quality documents form the block list.
 @query(f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4_IN_TEXT}')) AS ip FROM documents),
-i AS (SELECT DISTINCT ip FROM d WHERE doc_id % 2 = 0)
+i AS (SELECT DISTINCT ip FROM d JOIN labels USING (doc_id) WHERE quality = 0)
 SELECT doc_id, ip, i.ip IS NOT NULL AS listed FROM (SELECT DISTINCT doc_id, ip FROM d) d LEFT JOIN i USING (ip)""")
 def ioc_enrich_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IPV4_IN_TEXT), F.lit(0)))).alias("ip"))
-    listed = S.ip_list(found.where("doc_id % 2 = 0").select(F.col("doc_id").alias("line_id"), F.col("ip").alias("line")))
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    listed = S.ip_list(found.join(poor, "doc_id", "left_semi").select(F.col("doc_id").alias("line_id"), F.col("ip").alias("line")))
     return I.enrich(found, "ip", listed.withColumn("confidence", F.lit(85)), "left").select(
         "doc_id", "ip", F.col("ioc").isNotNull().alias("listed")
     )

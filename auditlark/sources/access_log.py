@@ -20,7 +20,7 @@ def parse_access_log(lines: DataFrame, ingest_us: int, line: str = "line") -> Da
     """Parsed requests; lines in another format are dropped."""
     groups = regex_groups(F.trim(F.col(line)), ACCESS_REGEX, 10)
     # The generator drops other lines without repeating the match in a filter.
-    rows = lines.withColumn("_g", F.explode(F.array_compact(F.array(groups))))
+    rows = lines.withColumn("_g", F.explode(F.array(groups))).where("_g IS NOT NULL")
     part = lambda i: F.col("_g")[i - 1]
     ts = F.unix_micros(F.try_to_timestamp(part(3), F.lit(TIME_FORMAT)))
     return rows.select(

@@ -102,7 +102,8 @@ def normalize_json_logs(lines: DataFrame, ingest_us: int, line: str = "line") ->
     rows = (
         with_json(lines.withColumn("_raw", F.trim(F.col(line))).drop(line), "_raw")
         # Dropping other lines by the generator keeps the filter from repeating the parse.
-        .withColumn("_f", F.explode(F.array_compact(F.array("_json"))))
+        .withColumn("_f", F.explode(F.array("_json")))
+        .where("_f IS NOT NULL")
         .withColumn("_f", lower_keys(F.col("_f")))
         .drop("_json", "_value")
     )

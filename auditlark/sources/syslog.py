@@ -61,8 +61,8 @@ def parse_cef(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def parse_bsd_syslog(lines: DataFrame, line: str = "line") -> DataFrame:
     """BSD syslog records only."""
-    found = F.explode(F.array_compact(F.array(regex_groups(F.col(line), BSD_REGEX, 8))))
-    rows = lines.select(*[c for c in lines.columns if c != line], found.alias("_g"))
+    found = F.explode(F.array(regex_groups(F.col(line), BSD_REGEX, 8)))
+    rows = lines.select(*[c for c in lines.columns if c != line], found.alias("_g")).where("_g IS NOT NULL")
     return rows.withColumn("bsd", bsd_record(F.col("_g"))).select(*[c for c in rows.columns if c != "_g"], "bsd.*")
 
 
