@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .texts import mixed, row_slices, row_sums, text_buffers, token_hashes
 
@@ -155,7 +156,7 @@ def score_texts(docs: DataFrame, model: QualityModel, out: str = "score", text:
                 found[a:b] = scores(data, offsets[a:b + 1], shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
