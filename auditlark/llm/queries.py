@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 4-word shingles, links at 4 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.digest("base"), 256).alias("base_sha256"),
+        secrets.digest("spans").alias("spans"),
+    )
