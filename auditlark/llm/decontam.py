@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from auditlark.session import materialize
 
-from .texts import mixed, text_buffers
+from .texts import mixed, text_buffers, text_key
 
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 8 << 20
@@ -101,12 +101,12 @@ def postings(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.nda
 
 # kind "term": positions and n (documents) of a term; "segment": the first position of each
 # document and the end; "doc": first position and n (words) of a document.
-_INDEX = "kind string, segment long, term string, positions binary, n long, ordinal long, doc_id long, first long"
+_INDEX = "kind string, segment long, term string, positions binary, n long, ordinal long, doc_id long, first long, text_key long"
 
 
-def _segment_rows(number: int, ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _segment_rows(number: int, ids: list, keys: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _INDEX.split(", ")]
-    types = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    types = (pa.string(), pa.int64(), pa.string(), pa.binary(), *[pa.int64()] * 5)
 
     def rows(kind, size, **columns):
         columns |= {"kind": pa.array([kind]).take(pa.array(np.zeros(size, np.int64))), "segment": pa.array(np.full(size, number))}
@@ -127,7 +127,10 @@ def _segment_rows(number: int, ids: list, texts: list[tuple[np.ndarray, np.ndarr
         positions=pa.Array.from_buffers(pa.binary(), len(terms), [None, at, pa.py_buffer(positions)]),
     )
     yield rows("segment", 1, positions=pa.array([first.astype("<i4").tobytes()], pa.binary()))
-    yield rows("doc", len(ids), n=pa.array(np.diff(first), pa.int64()), ordinal=pa.array(np.arange(len(ids))), doc_id=pa.array(ids, pa.int64()), first=pa.array(first[:-1], pa.int64()))
+    yield rows(
+        "doc", len(ids), n=pa.array(np.diff(first), pa.int64()), ordinal=pa.array(np.arange(len(ids))), first=pa.array(first[:-1], pa.int64()),
+        doc_id=pa.array(ids, pa.int64()), text_key=pa.array(keys, pa.int64()),
+    )
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -137,23 +140,24 @@ def build_index(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, keys, texts, size = [], [], [], 0
         for batch in batches:
-            data, at = text_buffers(batch.column(1))
-            keys, a = batch.column(0).to_pylist(), 0
-            while a < len(keys):
+            data, at = text_buffers(batch.column(2))
+            new_ids, new_keys, a = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            while a < len(new_ids):
                 b = int(np.searchsorted(at, at[a] + SEGMENT_BYTES - size, side="right")) - 1
-                b = min(max(b, a if ids else a + 1), len(keys), a + SEGMENT_DOCS - len(ids))
+                b = min(max(b, a if ids else a + 1), len(new_ids), a + SEGMENT_DOCS - len(ids))
                 # A copy, since the batch's memory goes with the batch.
                 texts.append((data[at[a]:at[b]].copy(), np.diff(at[a:b + 1])))
-                ids, size, a = ids + keys[a:b], size + int(at[b] - at[a]), b
-                if a < len(keys):
-                    yield from _segment_rows(number, ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
+                ids, keys, size, a = ids + new_ids[a:b], keys + new_keys[a:b], size + int(at[b] - at[a]), b
+                if a < len(new_ids):
+                    yield from _segment_rows(number, ids, keys, texts)
+                    number, ids, keys, texts, size = number + 1, [], [], [], 0
         if ids:
-            yield from _segment_rows(number, ids, texts)
+            yield from _segment_rows(number, ids, keys, texts)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX))
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    return materialize(narrow.mapInArrow(run, _INDEX))
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
@@ -275,10 +279,10 @@ def _search(rows: pd.DataFrame, side: pd.DataFrame, window: int, proximity: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+    """One row per document: doc_id, text_key, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
     index = build_index(docs)
     found = matches(index, item_words(benchmark), window)
-    places = index.filter(F.col("kind") == "doc").select("segment", "ordinal", "doc_id", "n")
+    places = index.filter(F.col("kind") == "doc").select("segment", "ordinal", "doc_id", "text_key", "n")
     key = ("segment", "ordinal")
     # Words hit by several items count once: sum over the ranges what lies past all earlier ends.
     ranges = found.groupBy(*key, "first").agg(F.max("last").alias("last"), F.collect_set("item_id").alias("ids"))
@@ -294,4 +298,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     joined = places.withColumnRenamed("n", "n_words").join(hits, list(key), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    return joined.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """``docs`` without the rows in which a window of a benchmark item occurs."""
+    found = contamination(docs, benchmark, window).filter("contaminated")
+    bad = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    keyed = docs.withColumn("_text_key", text_key())
+    same = keyed["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (keyed["_text_key"] == bad["_key"])
+    return keyed.join(bad, same, "left_anti").drop("_text_key")

@@ -180,3 +180,22 @@ def digest(spans: str) -> Column:
 
 def count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
+
+
+def redact(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by ``[kind]``; overlapping spans become one."""
+    scanned = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("_row")).select("_row", F.col(text))
+    found = scan(scanned, text, allow)
+    kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    state = F.struct(F.array().cast("array<string>").alias("parts"), F.coalesce(F.col(text), F.lit("")).alias("rest"), F.lit(0).cast("long").alias("at"))
+
+    def step(s, e):
+        fresh = e.start >= s["at"]  # else it overlaps the span before it, which only grows
+        gap = F.greatest(e.start - s["at"], F.lit(0)).cast("int")
+        taken = F.greatest(e.end - s["at"], F.lit(0)).cast("int")
+        parts = F.when(fresh, F.concat(s.parts, F.array(s.rest.substr(F.lit(1), gap), F.element_at(kinds, e["rank"] + 1)))).otherwise(s.parts)
+        return F.struct(parts.alias("parts"), s.rest.substr(taken + 1, F.length(s.rest)).alias("rest"), F.greatest(e.end, s["at"]).alias("at"))
+
+    clean = F.aggregate("spans", state, step, lambda s: F.array_join(F.concat(s.parts, F.array(s.rest)), ""))
+    out = F.when(F.size("spans") > 0, clean).otherwise(F.col(text)).alias(text)
+    return found.select(*[out if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])

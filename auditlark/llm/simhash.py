@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from auditlark.session import materialize
 
+from .texts import text_key
+
 BITS = 64
 #: Distinct fingerprints of one bucket that are searched in one piece.
 BLOCK = 8_192
@@ -71,15 +73,16 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            texts = pc.cast(pc.fill_null(batch.column(1), ""), pa.large_binary())
+            texts = pc.cast(pc.fill_null(batch.column(2), ""), pa.large_binary())
             found = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -206,7 +209,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (smallest doc_id of its group)."""
+    """One row per document: doc_id, text_key, fp (signed long), component_id (smallest doc_id of its group) and group.
+
+    ``group`` names the component also where no member has an id.
+    """
     spark = docs.sparkSession
     prints = materialize(fingerprints(docs, words))
     # A node is a distinct fingerprint; its number is the fingerprint itself, so null ids need no care.
@@ -215,8 +221,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     roots = components(spark, near_edges(classes, radius))
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(ids, "root").select("fp", "component_id", F.col("root").alias("group"))
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id (rows without an id come last)."""
+    found = near_duplicates(docs, words, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("first")
+    winners = found.groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", text_key())
+    same = keyed["doc_id"].cast("long").eqNullSafe(winners["_id"]) & (keyed["_text_key"] == winners["_key"])
+    # Repeated rows share id and text; one of them is enough.
+    return keyed.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 
 def fingerprint_hex() -> F.Column:

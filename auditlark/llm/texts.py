@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text whose temporaries are alive at once.
 SLICE_BYTES = 1 << 18
@@ -102,3 +104,8 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` per row; ``first`` holds each row's first index and the end."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def text_key() -> Column:
+    """Tells texts apart where ids are null or repeat."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
