@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, secrets, simhash
+from . import bpe, decontam, language, quality, secrets, simhash
+from .texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels with crc32(doc_id) mod 5 = 0 are held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = quality.id_remainder(F.col("doc_id"), 5) == 0
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
     labels = table(spark, sf_dir, "labels").filter(~held_out)
     model = quality.fit(labels, docs)
     scored = quality.score_texts(docs.select("doc_id", "text"), model)
@@ -70,3 +71,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 3 = 1 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    network = language.fit(docs.filter(~held_out))
+    found = language.predict(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
