@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, quality, secrets, simhash
+from . import bpe, decontam, language, quality, secrets, simhash, toxicity
 from .texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = language.fit(docs.filter(~held_out))
     found = language.predict(docs.select("doc_id", "text"), network)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document; labels with crc32(doc_id) mod 5 = 0 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    sample = quality.training_rows(table(spark, sf_dir, "labels").filter(~held_out), docs, "toxic", toxicity.TRAIN_ROWS)
+    chain = toxicity.fit(toxicity.with_categories(sample))
+    found = toxicity.score(docs.select("doc_id", "text"), chain)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), *[f"p_{c}" for c in toxicity.SEEDS],
+        F.col("p_toxic").alias("score"), (F.col("p_toxic") >= toxicity.TOXIC_AT).alias("toxic"),
+    )

@@ -58,8 +58,8 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         a = b
 
 
-def _piece_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each token; a token is a run of one class and never crosses a break."""
+def _piece_hashes(data: np.ndarray, breaks: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (whole and prefixes) and start of each token; a token is a run of one class and never crosses a break."""
     kind = CLASS[data]
     new = np.empty(len(data), bool)
     new[0] = True
@@ -71,17 +71,24 @@ def _piece_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
     powers = np.full(int(lengths.max()), _BASE)
     powers[0] = np.uint64(1)
     np.multiply.accumulate(powers, out=powers)
-    sums = np.add.reduceat(LOWER[data] * powers[place], starts)
+    values = LOWER[data] * powers[place]
     word = kind[starts] > 0
-    return mixed(sums[word]), starts[word]
+    hashes = [mixed(np.add.reduceat(values, starts)[word])]
+    for n in prefixes:
+        # The length is part of the hash, so a prefix is no word.
+        own = mixed(np.add.reduceat(np.where(place < n, values, np.uint64(0)), starts)[word] + np.uint64(n * int(_MIX) % (1 << 64)))
+        hashes.append(np.where(lengths[word] > n, own, np.uint64(0)))
+    return np.stack(hashes), starts[word]
 
 
-def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, index of the first token of each row and the end).
 
-    ``offsets`` delimit the rows inside ``data``. Long rows are read in pieces cut at
-    white space (or after ``SLICE_BYTES`` where there is none), so only the hashes
-    of a row, never its temporaries, grow with its length.
+    With ``prefixes`` there are as many rows of hashes more: of the first n bytes
+    of each longer token, 0 for a shorter one. ``offsets`` delimit the rows inside
+    ``data``. Long rows are read in pieces cut at white space (or after
+    ``SLICE_BYTES`` where there is none), so only the hashes of a row, never its
+    temporaries, grow with its length.
     """
     hashes, starts = [], []
     begin, end = int(offsets[0]), int(offsets[-1])
@@ -91,13 +98,13 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             blank = np.flatnonzero(CLASS[data[begin + SLICE_BYTES:stop]] == 0)
             stop = begin + SLICE_BYTES + int(blank[-1]) + 1 if len(blank) else stop
         inside = offsets[(offsets >= begin) & (offsets < stop)] - begin
-        h, s = _piece_hashes(data[begin:stop], inside)
+        h, s = _piece_hashes(data[begin:stop], inside, prefixes)
         hashes.append(h)
         starts.append(s + begin)
         begin = stop
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    h = np.concatenate(hashes, axis=1) if hashes else np.zeros((1 + len(prefixes), 0), np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return h, np.searchsorted(s, offsets)
+    return h if prefixes else h[0], np.searchsorted(s, offsets)
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
