@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, quality, secrets, simhash, toxicity
+from . import bpe, decontam, language, licenses, quality, secrets, simhash, toxicity
 from .texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), *[f"p_{c}" for c in toxicity.SEEDS],
         F.col("p_toxic").alias("score"), (F.col("p_toxic") >= toxicity.TOXIC_AT).alias("toxic"),
     )
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.license)))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_units"), F.array_join(names, ",").alias("licenses"),
+        F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m.dice)), F.lit(0.0)), 6).alias("best_dice"),
+    )
