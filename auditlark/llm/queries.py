@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, quality, secrets, simhash, toxicity
+from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, toxicity
 from .texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("matches").cast("long").alias("n_units"), F.array_join(names, ",").alias("licenses"),
         F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m.dice)), F.lit(0.0)), 6).alias("best_dice"),
     )
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector with all others."""
+    vectors = mtree.usable(table(spark, sf_dir, "embeddings"))
+    return mtree.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
