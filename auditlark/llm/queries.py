@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, toxicity
+from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, toxicity, wrappers
 from .texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest integer inner products of every 50th vector with all others."""
     vectors = mtree.usable(table(spark, sf_dir, "embeddings"))
     return mtree.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
