@@ -167,7 +167,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), words.alias("words")).filter(F.size("words") > 0).distinct()
 
 
-def in_blocks(items: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def in_blocks(items: DataFrame, per_block: int) -> DataFrame:
     """``items`` with a block number from their hash; about ``per_block`` items share a block."""
     blocks = max(1, -(-items.count() // per_block))
     return items.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
@@ -219,17 +219,18 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, proximity: int
     in one document; the range is then that word alone. Ranges of one item are
     merged per document.
     """
-    items = materialize(in_blocks(items))
+    items = materialize(in_blocks(items, ITEMS_PER_BLOCK))
     wanted = materialize(items.select("block", F.explode("words").alias("term")).distinct())
     terms = index.filter(F.col("kind") == "term").select("segment", "term", "positions", "n")
     # One pass over the index. Whether the written terms are small enough to broadcast is left to the planner.
     lists = materialize(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
-    frequency = lists.groupBy("term").agg(F.sum("n").alias("df"))
-    needed = materialize(lists.join(wanted.join(frequency, "term"), "term").select("segment", "block", "term", "positions", "df"))
+    weights = materialize(wanted.join(lists.groupBy("term").agg(F.sum("n").alias("df")), "term"))
+    needed = lists.join(weights, "term").select("segment", "block", "term", "positions", "df")
     # A block's items are one value of about ITEMS_PER_BLOCK items; it goes to the segments that have any of its terms.
     packed = items.groupBy("block").agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
     firsts = index.filter(F.col("kind") == "segment").select("segment", F.col("positions").alias("firsts"))
-    asked = needed.select("segment", "block").distinct().join(firsts, "segment").join(packed, "block")
+    met = lists.select("segment", "term").join(weights.select("block", "term"), "term").select("segment", "block").distinct()
+    asked = met.join(firsts, "segment").join(packed, "block")
     side = asked.select(F.col("segment").alias("in_segment"), F.col("block").alias("in_block"), "firsts", "items")
 
     def search(rows, side):
