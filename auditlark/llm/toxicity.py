@@ -54,9 +54,9 @@ class Training:
     folds: int = 3
     steps: int = 60
     rate: float = 1.0
-    l1: float = 5e-5
+    l1: float = 1e-3
     l2: float = 1e-5
-    min_docs: int = 4
+    min_docs: int = 6
 
 
 @dataclass(frozen=True)
