@@ -94,7 +94,8 @@ def bigrams(unit: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``matches``: an array of (license, dice), one for each distinct unit that matches."""
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # A little wider than exact, so that no rounding excludes a pair at the very bound.
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     known = F.array(*[
         F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(t))).alias("bigrams")) for name, t in templates
     ])
