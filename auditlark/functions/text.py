@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SEPARATOR = "\x01"
+SEPARATOR, ESCAPE, FOR_SEPARATOR, FOR_ESCAPE = "\x01", "\x02", "\x03", "\x04"
 
+#: All characters that count as white space at the ends of a field.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-def regex_groups(text: Column, regex: str, groups: int) -> Column:
-    """All groups of an expression anchored at both ends, in one pass over the text.
 
-    An array of ``groups`` strings (empty where a group took no part), or null
-    when the text does not match.
-    """
-    joined = F.regexp_replace(text, regex, "".join(f"{SEPARATOR}${i}" for i in range(1, groups + 1)))
-    parts = F.split(joined, SEPARATOR, groups + 1)
-    matched = joined.startswith(SEPARATOR) & ~text.startswith(SEPARATOR)
-    return F.when(matched, F.slice(parts, 2, groups))
+def strip(text: Column | str) -> Column:
+    """``text`` without white space of any kind at both ends."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
+def lstrip(text: Column | str) -> Column:
+    return F.ltrim(text, F.lit(WHITE_SPACE))
 
 
-@F.pandas_udf(T.DoubleType())
-def text_entropy(texts: pd.Series) -> pd.Series:
-    """``shannon_entropy`` for long texts, counted in one pass per text."""
+def rstrip(text: Column | str) -> Column:
+    return F.rtrim(text, F.lit(WHITE_SPACE))
 
-    def bits(text: str | None) -> float:
-        if not text:
-            return 0.0
-        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-        shares = np.unique(points, return_counts=True)[1] / len(points)
-        return float(-(shares * np.log2(shares)).sum()) + 0.0
 
-    return texts.map(bits)
+def regex_groups(text: Column, regex: str, groups: int) -> Column:
+    """All groups of an expression anchored at both ends, in one pass over the text.
+
+    An array of ``groups`` strings (empty where a group took no part), or null
+    when the text does not match. A separator in the text itself is escaped by
+    other control characters before the match and restored in each group.
+    """
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + FOR_ESCAPE)), F.lit(SEPARATOR), F.lit(ESCAPE + FOR_SEPARATOR))
+    joined = F.regexp_replace(escaped, regex, "".join(f"{SEPARATOR}${i}" for i in range(1, groups + 1)))
+    parts = F.slice(F.split(joined, SEPARATOR, groups + 1), 2, groups)
+    restored = F.transform(
+        parts, lambda p: F.replace(F.replace(p, F.lit(ESCAPE + FOR_SEPARATOR), F.lit(SEPARATOR)), F.lit(ESCAPE + FOR_ESCAPE), F.lit(ESCAPE))
+    )
+    return F.when(joined.startswith(SEPARATOR), F.when(joined.contains(ESCAPE), restored).otherwise(parts))
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character of a short string such as a host name; 0 for empty text.
+    """Bits per character of a text; 0 for empty text.
 
     Each distinct character is counted as the length lost by removing it.
     """
@@ -62,6 +65,6 @@ def mask_middle(value: Column) -> Column:
 def version_key(value: Column) -> Column:
     """Numeric parts of a version as an array, which compares part by part."""
     parts = F.transform(
-        F.filter(F.split(F.trim(value), "[^0-9]+"), lambda p: p != ""), lambda p: p.cast("decimal(38,0)")
+        F.filter(F.split(strip(value), "[^0-9]+"), lambda p: p != ""), lambda p: p.cast("decimal(38,0)")
     )
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))

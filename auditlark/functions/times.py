@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 US = 1_000_000
 
 
@@ -13,7 +15,7 @@ def coerce_us(value: Column) -> Column:
 
     Times without a zone are UTC.
     """
-    text = F.trim(value.cast("string"))
+    text = strip(value.cast("string"))
     number = text.try_cast("double")
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
     return F.coalesce(F.round(number * US).cast("long"), F.unix_micros(iso))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 from .folds import case_transitions
 from .windows import US
 
@@ -17,11 +18,11 @@ def sla_hours(severity: Column) -> Column:
 def create_cases(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid case requests with their due time, and the rejected ones with a reason."""
     hours = sla_hours(F.col("severity"))
-    reason = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "title is required").when(hours.isNull(), "invalid severity")
+    reason = F.when(strip(F.coalesce("title", F.lit(""))) == "", "title is required").when(hours.isNull(), "invalid severity")
     checked = requests.withColumn("reason", reason)
     good = (
         checked.where("reason IS NULL").drop("reason")
-        .withColumn("title", F.trim("title"))
+        .withColumn("title", strip("title"))
         .withColumn("status", F.lit("open"))
         .withColumn("sla_due_us", F.col("created_us") + hours.cast("long") * 3600 * US)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 from ..functions.times import parse_stamp
 from .windows import first_row, US
 
@@ -43,7 +44,7 @@ def upsert_feeds(feeds: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def normalized(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    return F.lower(strip(value))
 
 
 def enrich(rows: DataFrame, value: str, iocs: DataFrame, how: str = "inner") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 
 
 def live_sessions(events: DataFrame, attacks: DataFrame | None = None) -> DataFrame:
@@ -14,7 +15,7 @@ def live_sessions(events: DataFrame, attacks: DataFrame | None = None) -> DataFr
     Sources known only from attacks are added.
     """
     order = F.struct("ts_us", "event_id")
-    seen = events.withColumn("src_ip", F.trim("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
+    seen = events.withColumn("src_ip", strip("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
     columns = ["src_ip", "ts_us", "event_id", "user", "host"]
     rows = seen.select(*columns, F.lit(1).alias("rank"))
     if attacks is not None:
@@ -37,11 +38,11 @@ def zt_sessions(events: DataFrame, revocations: DataFrame, status: str | None =
     ``revocations`` has ``src_ip``, ``revoked_us`` and ``revoked_by``; one that
     precedes the session has nothing to revoke.
     """
-    seen = events.withColumn("src_ip", F.trim("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
+    seen = events.withColumn("src_ip", strip("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
     starts = seen.groupBy("src_ip").agg(F.min("ts_us").alias("first_seen_us"))
     order = F.struct("revoked_us", "revoked_by")
     revoked = (
-        revocations.withColumn("src_ip", F.trim("src_ip"))
+        revocations.withColumn("src_ip", strip("src_ip"))
         .join(starts, "src_ip")
         .where(F.col("revoked_us") >= F.col("first_seen_us"))
         .groupBy("src_ip")
@@ -71,7 +72,7 @@ def zt_sessions(events: DataFrame, revocations: DataFrame, status: str | None =
 
 def kill_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Validate requested session kills and say whether a session existed."""
-    ip = F.trim(F.coalesce("src_ip", F.lit("")))
+    ip = strip(F.coalesce("src_ip", F.lit("")))
     known = sessions.select(F.col("src_ip").alias("_known")).distinct()
     checked = requests.withColumn("src_ip", ip).join(known, F.col("src_ip") == F.col("_known"), "left")
     refused = F.col("src_ip").isin(*R.PLACEHOLDER_IPS)

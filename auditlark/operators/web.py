@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 from .windows import Total, first_row, floor_div, running_totals, sliding_state, US
 
 BLOCK_THRESHOLD = 3
@@ -29,7 +30,7 @@ def site_hits(pattern_hits: DataFrame, owasp_hits: DataFrame, sites: DataFrame)
     )
     known = sites.select("site_id", F.col("name").alias("_site"))
     hits = p.select(columns).unionByName(i.select(columns)).join(known, "_site")
-    hits = hits.withColumn("src_ip", F.trim("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
+    hits = hits.withColumn("src_ip", strip("src_ip")).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
     return first_row(hits, ["kind", "src_ip", "_text", "ts_us"], ["event_id"]).select(
         "site_id", F.col("_site").alias("site"), "event_id", "ts_us", "src_ip", "kind", "label"
     )

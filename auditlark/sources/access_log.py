@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
-from ..functions.text import regex_groups
+from ..functions.text import regex_groups, rstrip, strip
 
 # Line format (groups: ip, user, time, method, url, protocol, status, bytes, referrer, agent).
 ACCESS_REGEX = (
@@ -18,7 +18,7 @@ TIME_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 
 def parse_access_log(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """Parsed requests; lines in another format are dropped."""
-    groups = regex_groups(F.trim(F.col(line)), ACCESS_REGEX, 10)
+    groups = regex_groups(strip(F.col(line)), ACCESS_REGEX, 10)
     # The generator drops other lines without repeating the match in a filter.
     rows = lines.withColumn("_g", F.explode(F.array(groups))).where("_g IS NOT NULL")
     part = lambda i: F.col("_g")[i - 1]
@@ -26,14 +26,14 @@ def parse_access_log(lines: DataFrame, ingest_us: int, line: str = "line") -> Da
     return rows.select(
         *[c for c in lines.columns if c != line],
         part(1).alias("ip"), part(2).alias("user"), part(4).alias("method"), part(5).alias("url"),
-        F.trim(part(6)).alias("proto"), part(7).cast("int").alias("status"), part(8).alias("bytes"),
+        strip(part(6)).alias("proto"), part(7).try_cast("int").alias("status"), part(8).alias("bytes"),
         F.substring(part(10), 1, 160).alias("ua"), F.coalesce(ts, F.lit(ingest_us)).alias("ts_us"),
     )
 
 
 def access_events(requests: DataFrame, site: str = "site") -> DataFrame:
     """One HTTP_REQ per request, plus AUTH_FAIL for refused requests to login pages."""
-    request = F.rtrim(F.concat_ws(" ", "method", "url", "proto", F.col("status").cast("string"), "bytes"))
+    request = rstrip(F.concat_ws(" ", "method", "url", "proto", F.col("status").cast("string"), "bytes"))
     refused = F.col("status").isin(401, 403) & F.col("url").rlike(R.LOGIN_URL_REGEX)
     kinds = F.array_compact(
         F.array(
@@ -61,7 +61,7 @@ def ingest_accounting(lines: DataFrame, sites: DataFrame, ingest_us: int, line:
     """
     resolved = resolve_sites(lines, sites)
     known = resolved.where("site_id IS NOT NULL")
-    known = known.withColumn("_g", regex_groups(F.trim(F.col(line)), ACCESS_REGEX, 10))
+    known = known.withColumn("_g", regex_groups(strip(F.col(line)), ACCESS_REGEX, 10))
     ok = F.col("_g").isNotNull()
     refused = F.col("_g")[6].isin("401", "403") & F.col("_g")[4].rlike(R.LOGIN_URL_REGEX)
     counts = known.groupBy("site_id", F.col("site_name").alias("site")).agg(
@@ -77,7 +77,7 @@ def resolve_sites(refs: DataFrame, sites: DataFrame, ref: str = "site_ref") -> D
     """Add ``site_id`` and ``site_name`` for a reference that is a numeric id or an exact name."""
     by_id = sites.select(F.col("site_id").cast("string").alias("_id_key"), F.col("site_id").alias("_id1"), F.col("name").alias("_n1"))
     by_name = sites.select(F.col("name").alias("_name_key"), F.col("site_id").alias("_id2"), F.col("name").alias("_n2"))
-    key = F.trim(F.col(ref))
+    key = strip(F.col(ref))
     digits = F.when(key.rlike("^[0-9]+$"), F.regexp_replace(key, "^0+(?=.)", ""))
     return (
         refs.withColumn("_key", key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 from ..operators.windows import first_row
 
 # Value formats.
@@ -19,7 +20,7 @@ PULSE_SCHEMA = "results array<struct<name string, indicators array<struct<type s
 
 def url_host(url: Column) -> Column:
     """Lower-cased host of a URL; empty when there is none."""
-    return F.lower(F.trim(F.regexp_extract(url, URL_HOST_REGEX, 1)))
+    return F.lower(strip(F.regexp_extract(url, URL_HOST_REGEX, 1)))
 
 
 def host_type(host: Column) -> Column:
@@ -33,7 +34,7 @@ def _finish(rows: DataFrame, order: str) -> DataFrame:
 
 
 def _content(lines: DataFrame, line: str) -> DataFrame:
-    return lines.withColumn("_l", F.trim(F.col(line))).where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
+    return lines.withColumn("_l", strip(F.col(line))).where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
 
 
 def _label(feed: str, rows: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def indicator_csv(lines: DataFrame, *, line: str = "line", order: str = "line_id
     # The generator keeps later filters from repeating the CSV parse.
     rows = _content(lines, line).select(order, F.explode(F.array(record)).alias("c")).select(order, "c.*")
     rows = rows.where("rest IS NOT NULL")
-    raw, kind = F.trim("ioc"), F.lower(F.trim("ioc_type"))
-    address = F.trim(F.substring_index(raw, ":", 1))
+    raw, kind = strip("ioc"), F.lower(strip("ioc_type"))
+    address = strip(F.substring_index(raw, ":", 1))
     value = (
         F.when((kind == "ip:port") & address.rlike(IPV4_REGEX), address)
         .when((kind == "domain") & (host_type(raw) == "domain"), F.lower(raw))
@@ -78,8 +79,8 @@ def indicator_csv(lines: DataFrame, *, line: str = "line", order: str = "line_id
         F.when(kind == "ip:port", "ip").when(kind == "domain", "domain")
         .when(kind == "url", host_type(url_host(raw))).when(kind == "sha256_hash", "sha256")
     )
-    threat = F.coalesce(F.nullif(F.trim("threat_type"), F.lit("")), F.lit(default_threat))
-    family = F.coalesce(F.trim("malware"), F.lit(""))
+    threat = F.coalesce(F.nullif(strip("threat_type"), F.lit("")), F.lit(default_threat))
+    family = F.coalesce(strip("malware"), F.lit(""))
     text = F.concat(F.lit(f"{name}: "), threat, F.when(family != "", F.concat(F.lit(" ("), family, F.lit(")"))).otherwise(""))
     fields = F.struct(value.alias("ioc"), typ.alias("ioc_type"), F.substring(text, 1, 400).alias("description"))
     typed = rows.select(order, F.explode(F.array(fields)).alias("f")).select(order, "f.*")
@@ -95,7 +96,7 @@ def pulses(documents: DataFrame, *, column: str = "json", order: str = "line_id"
                 F.explode("p.indicators").alias("i"))
     )
     rows = exploded.select(
-        order, F.trim("i.indicator").alias("ioc"), F.try_element_at(known, F.col("i.type")).alias("ioc_type"),
+        order, strip("i.indicator").alias("ioc"), F.try_element_at(known, F.col("i.type")).alias("ioc_type"),
         F.concat(F.lit("OTX pulse: "), "pulse").alias("description"),
     )
     return rows.where("ioc_type IS NOT NULL AND ioc <> ''").withColumn("feed_name", F.lit(R.PULSE_FEED)).withColumn(
@@ -110,7 +111,7 @@ def ioc_csv(rows: DataFrame) -> DataFrame:
         raise ValueError(f"CSV must have 'ioc' and 'ioc_type' columns (saw: {sorted(columns)})")
 
     def text(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(columns[name]), F.lit(""))) if name in columns else F.lit("")
+        return strip(F.coalesce(F.col(columns[name]), F.lit(""))) if name in columns else F.lit("")
 
     confidence = F.coalesce(text("confidence").try_cast("int"), F.lit(60))
     keep = [c for c in rows.columns if c.strip().lower() not in

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import lstrip, strip
 from ..functions.times import coerce_us, iso_utc
 
 STRICT = {"allowSingleQuotes": "false"}
@@ -24,7 +25,7 @@ def with_json(df: DataFrame, text: str) -> DataFrame:
     whole = (F.size("_w") == 2) & (F.try_element_at("_w", F.lit(2)) == END)
     df = df.withColumn("_w", F.when(likely, wrapped))
     df = df.withColumn("_value", F.when(whole, F.coalesce(F.get("_w", F.lit(0)), F.lit("null")))).drop("_w")
-    is_object = F.col("_value").startswith("{") & F.ltrim(text).startswith("{")
+    is_object = F.col("_value").startswith("{") & lstrip(text).startswith("{")
     return df.withColumn("_json", F.when(is_object, F.from_json("_value", "map<string,string>", STRICT)))
 
 
@@ -40,7 +41,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_jsonl_events(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """Event log lines to events; blank and ``#`` lines are skipped, bad JSON becomes RAW."""
-    text = F.trim(F.col(line))
+    text = strip(F.col(line))
     rows = lines.withColumn("_t", text).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
     rows = with_json(rows, "_t").withColumnRenamed("_json", "_f")
     good = F.col("_f").isNotNull()
@@ -100,7 +101,7 @@ def lower_keys(fields: Column) -> Column:
 def normalize_json_logs(lines: DataFrame, ingest_us: int, line: str = "line") -> DataFrame:
     """JSON records of other tools; lines that are not objects are dropped."""
     rows = (
-        with_json(lines.withColumn("_raw", F.trim(F.col(line))).drop(line), "_raw")
+        with_json(lines.withColumn("_raw", strip(F.col(line))).drop(line), "_raw")
         # Dropping other lines by the generator keeps the filter from repeating the parse.
         .withColumn("_f", F.explode(F.array("_json")))
         .where("_f IS NOT NULL")
@@ -120,17 +121,20 @@ def normalize_csv_rows(rows: DataFrame, ingest_us: int, columns: list[str] | Non
     """String columns of a CSV log to canonical events; ``columns`` are the CSV ones."""
     columns = columns or rows.columns
     check_csv_header(columns)
-    pairs = [x for c in columns for x in (F.lit(c.strip().lower()), F.trim(F.col(f"`{c}`")))]
-    row_json = F.to_json(F.struct(*[F.trim(F.col(f"`{c}`")).alias(c.strip()) for c in columns]))
+    pairs = [x for c in columns for x in (F.lit(c.strip().lower()), strip(F.col(f"`{c}`")))]
+    row_json = F.to_json(F.struct(*[strip(F.col(f"`{c}`")).alias(c.strip()) for c in columns]))
     keep = [c for c in rows.columns if c not in columns]
     mapped = rows.select(*keep, F.create_map(*pairs).alias("_f"), row_json.alias("_raw"))
     return normalize_fields(mapped, "_f", "_raw", ingest_us, "csv_import")
 
 
 def import_csv_logs(spark: SparkSession, path: str, ingest_us: int, delimiter: str = ",",
-                    max_rows: int | None = None) -> DataFrame:
-    """CSV log files with a header row."""
-    rows = spark.read.option("header", True).option("sep", delimiter).option("multiLine", False).csv(path)
+                    max_rows: int | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV log files with a header row.
+
+    ``multi_line`` keeps quoted line breaks inside a record; a file is then read by one task.
+    """
+    rows = spark.read.option("header", True).option("sep", delimiter).option("multiLine", multi_line).option("escape", '"').csv(path)
     if max_rows is not None:
         rows = rows.limit(max_rows)
     return normalize_csv_rows(rows, ingest_us)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from ..functions.text import strip
 from ..functions.times import coerce_us, iso_utc
 
 
@@ -48,6 +49,6 @@ def parse_regex_lines(lines: DataFrame, pattern: str, ingest_us: int, line: str
         canonical("user", F.lit("-")).alias("user"),
         canonical("src_ip", F.lit("0.0.0.0")).alias("src_ip"),
         canonical("host", F.lit("-")).alias("host"),
-        canonical("msg", F.substring(F.trim(text), 1, 400)).alias("msg"),
+        canonical("msg", F.substring(strip(text), 1, 400)).alias("msg"),
         fields.alias("regex_fields"),
     )

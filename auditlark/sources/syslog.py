@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import regex_groups
+from ..functions.text import regex_groups, strip
 from ..functions.times import coerce_us
 from .json_lines import with_json
 
@@ -40,7 +40,7 @@ def bsd_record(groups: Column) -> Column:
     def part(i: int) -> Column:
         return groups[i - 1]
 
-    pri = part(1).cast("int")
+    pri = part(1).try_cast("int")
     record = F.struct(
         pri.alias("pri"),
         F.shiftright(pri, 3).alias("facility"),
@@ -111,8 +111,8 @@ def parse_journald(lines: DataFrame, line: str = "line") -> DataFrame:
     """Journal text (short-precise); other lines keep their text as the message."""
     text = F.col(line)
     hit = text.rlike(JOURNAL_REGEX)
-    app = F.trim(F.regexp_extract(text, JOURNAL_REGEX, 3))
-    body = F.concat(F.lit("["), app, F.lit("] "), F.trim(F.regexp_extract(text, JOURNAL_REGEX, 4)))
+    app = strip(F.regexp_extract(text, JOURNAL_REGEX, 3))
+    body = F.concat(F.lit("["), app, F.lit("] "), strip(F.regexp_extract(text, JOURNAL_REGEX, 4)))
     return lines.select(
         *[c for c in lines.columns if c != line],
         F.lit("SYSTEM_LOG").alias("event"), F.lit("system_log").alias("parsed"), F.lit("journald").alias("channel"),

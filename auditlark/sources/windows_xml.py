@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.times import coerce_us, iso_utc
 
 EVENT_SCHEMA = (
@@ -15,7 +16,7 @@ EVENT_SCHEMA = (
 
 def parse_windows_events(rows: DataFrame, ingest_us: int, xml: str = "xml") -> DataFrame:
     """One ``<Event>`` per row; malformed records and other roots are dropped."""
-    text = F.trim(F.col(xml))
+    text = strip(F.col(xml))
     root_is_event = text.rlike(r"^(<\?xml[^>]*\?>\s*)?<([A-Za-z0-9]+:)?Event[\s>]")
     parsed = (
         rows.withColumn("_e", F.from_xml(text, EVENT_SCHEMA, {"rowTag": "Event", "mode": "PERMISSIVE"}))
@@ -24,13 +25,13 @@ def parse_windows_events(rows: DataFrame, ingest_us: int, xml: str = "xml") -> D
     )
 
     def system(name: str) -> Column:
-        return F.coalesce(F.trim(F.col(f"_e.System.{name}")), F.lit(""))
+        return F.coalesce(strip(F.col(f"_e.System.{name}")), F.lit(""))
 
     pairs = F.transform(
         F.coalesce(F.col("_e.EventData.Data"), F.array()),
         lambda d, i: F.struct(
             F.coalesce(F.nullif(d["_Name"], F.lit("")), F.concat(F.lit("Data"), i.cast("string"))).alias("key"),
-            F.coalesce(F.trim(d["_VALUE"]), F.lit("")).alias("value"),
+            F.coalesce(strip(d["_VALUE"]), F.lit("")).alias("value"),
         ),
     )
     parsed = parsed.withColumn("_pairs", pairs).withColumn("event_data", F.map_from_entries("_pairs"))
@@ -63,9 +64,9 @@ def parse_winevt_raw(rows: DataFrame, xml: str = "xml", channel: str = "channel"
     text = F.col(xml)
 
     def tag(name: str) -> Column:
-        return F.trim(F.regexp_extract(text, f"<{name}[^>]*>([^<]*)</{name}>", 1))
+        return strip(F.regexp_extract(text, f"<{name}[^>]*>([^<]*)</{name}>", 1))
 
-    values = F.transform(F.regexp_extract_all(text, F.lit(r"<Data(?:[^>]*)>([^<]*)</Data>"), F.lit(1)), lambda v: F.trim(v))
+    values = F.transform(F.regexp_extract_all(text, F.lit(r"<Data(?:[^>]*)>([^<]*)</Data>"), F.lit(1)), lambda v: strip(v))
     detail = F.substring(F.array_join(F.filter(values, lambda v: v != ""), "; "), 1, 300)
     provider = F.regexp_extract(text, r'<Provider[^>]*Name="([^"]+)"', 1)
     either = lambda c, other: F.when(c == "", other).otherwise(c)
