@@ -6,7 +6,7 @@ frame re-reads its rows for every output row. The helpers here avoid both:
 * ``sliding_state`` turns a time window into +1/-1 marks and a running sum, and
   cuts every key into time slices; a row is copied into the next slice only
   when the window reaches across the border.
-* ``running_totals`` cuts hot keys into time slices of bounded size and adds
+* ``running_totals`` cuts hot keys into time slices of about equal size and adds
   pre-aggregated totals of earlier slices to the running sums inside a slice,
   so "all history before this row" needs no task that sees a hot key whole.
 * ``row_blocks`` cuts a ranked sequence into blocks of bounded size with a
@@ -24,16 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
 US = 1_000_000
 
 # A key with more rows than this is cut into slices.
 HOT_ROWS = 2_000_000
-# Below this input size no key can be too large for one task.
-SMALL_INPUT_BYTES = 1 << 30
-# At most this many hot keys are broadcast (some 40 MB); more are joined.
-MAX_BROADCAST_KEYS = 500_000
+# Quantiles of time kept for a hot key; slices end at some of them.
+GRID = 1_024
 
 
 def floor_div(value: Column, by: int) -> Column:
@@ -150,40 +146,26 @@ class Total:
     by: tuple[str, ...] = ()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of everything the plan reads; inputs of unknown size count as huge."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, and the times (ascending) at which their slices begin.
 
+    Every input takes this path; there are at most rows / ``hot_rows`` such keys.
+    The borders are approximate quantiles of the key's own times, so slices hold
+    about equally many rows however the rows lie in time. Rows of one instant stay together.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    grid = F.percentile_approx(ts, [i / GRID for i in range(1, GRID)], 10 * GRID)
+    found = df.select(*keys, ts).join(counted, list(keys)).groupBy(*keys).agg(grid.alias("_grid"), F.max("_n").alias("_n"))
+    parts = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(GRID)).cast("int")
+    borders = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_grid", F.ceil(i * GRID / parts).cast("int")))
+    return found.select(*keys, F.array_distinct(borders).alias("_borders"))
 
-def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the slice width that splits them.
 
-    There are at most rows / ``hot_rows`` of them, whatever the data. Without a
-    limit given, inputs too small to hold one are not searched.
-    """
-    if hot_rows is None:
-        if input_bytes(df) < SMALL_INPUT_BYTES:
-            return None
-        hot_rows = HOT_ROWS
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    # Four times as many slices as rows ask for, as time is not evenly filled.
-    slices = F.ceil(F.col("_n") / hot_rows) * 4
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
-    found = materialize(counted.where(F.col("_n") > hot_rows).select(*keys, "_lo", width.cast("long").alias("_width")))
-    size = found.count()
-    if size == 0:
-        return None
-    return F.broadcast(found) if size <= MAX_BROADCAST_KEYS else found
-
-
-def with_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``_slice``: time slices for hot keys, one slice for every other key."""
-    if hot is None:
-        return df.withColumn("_slice", F.lit(0).cast("long"))
-    at = F.col(ts) - F.col("_lo")
-    part = ((at - F.pmod(at, F.col("_width"))) / F.col("_width")).cast("long")
-    return df.join(hot, list(keys), "left").select(*df.columns, F.coalesce(part, F.lit(0)).alias("_slice"))
+def with_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame) -> DataFrame:
+    """Add ``_slice``: time slices for hot keys, one slice for every other key; ``_hot`` tells them apart."""
+    part = F.size(F.filter("_borders", lambda b: b <= F.col(ts))).cast("long")
+    hit = F.col("_borders").isNotNull()
+    return df.join(hot, list(keys), "left").select(*df.columns, F.when(hit, part).otherwise(0).cast("long").alias("_slice"), hit.alias("_hot"))
 
 
 def running_totals(
@@ -191,7 +173,7 @@ def running_totals(
     entity: Sequence[str],
     totals: Mapping[str, Total],
     *,
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
     ts: str = "ts_us",
     tie: str = "event_id",
 ) -> DataFrame:
@@ -205,8 +187,7 @@ def running_totals(
     hot = hot_keys(df, entity, ts, hot_rows)
     weights = [t.weight.cast("long").alias(f"_w_{m}") for m, t in totals.items()]
     rows = with_slices(df, entity, ts, hot).select("*", *weights).withColumn("_is_row", F.lit(1))
-    if hot is not None:
-        rows = rows.unionByName(_seed_rows(rows, entity, totals), allowMissingColumns=True)
+    rows = rows.unionByName(_seed_rows(rows.where("_hot"), entity, totals), allowMissingColumns=True)
     rows = rows.repartition(*entity, "_slice")
     sums = []
     for m, t in totals.items():
