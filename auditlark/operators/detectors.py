@@ -25,10 +25,9 @@ def signature_matches(text: Column, patterns: list[R.Pattern] | None = None) ->
 
 
 def signature_hits(events: DataFrame, text: str = "msg") -> DataFrame:
-    """One row per event and matching pattern."""
+    """One row per event and matching pattern; only matches are exploded."""
     return (
-        events.withColumn("_hit", F.explode(signature_matches(F.col(text))))
-        .where("_hit.matched <> ''")
+        events.withColumn("_hit", F.explode(F.filter(signature_matches(F.col(text)), lambda h: h.matched != "")))
         .select("*", "_hit.pattern_id", "_hit.matched")
         .drop("_hit")
     )
@@ -130,10 +129,13 @@ def exfil_bursts(
 
 def telemetry_gap(
     events: DataFrame, *, keys: tuple[str, ...] = (), bucket_s: int = 60, history: int = 5, min_mean: float = 10.0,
-    ratio: float = 0.10,
+    ratio: float = 0.10, as_of_us: int,
 ) -> DataFrame:
     """Buckets that hold under ``ratio`` of the mean of the ``history`` buckets before them.
 
+    Every bucket up to ``as_of_us`` counts, also those after a key's own last event:
+    a source that falls silent for good is the case to catch.
+
     Counts are pre-aggregated per bucket and each count is sent to the buckets
     it is a baseline for, so empty buckets appear without a calendar and no
     window spans the series.
@@ -144,7 +146,7 @@ def telemetry_gap(
     counts = keyed.groupBy(*by, floor_div(F.col("ts_us"), bucket_us).alias("bucket")).agg(
         F.count("*").alias("c"), F.min("ts_us").alias("lo")
     )
-    bounds = counts.groupBy(*by).agg(F.min("lo").alias("oldest_us"), F.max("bucket").alias("last_bucket"))
+    bounds = counts.groupBy(*by).agg(F.min("lo").alias("oldest_us"))
     spread = counts.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(history)))).groupBy(
         *by, (F.col("bucket") + F.col("step")).alias("bucket")
     ).agg(
@@ -152,7 +154,7 @@ def telemetry_gap(
         (F.sum(F.when(F.col("step") > 0, F.col("c")).otherwise(0)) / F.lit(float(history))).alias("baseline"),
     )
     fired = spread.join(bounds, by).where(
-        (F.col("bucket") <= F.col("last_bucket"))
+        (F.col("bucket") <= as_of_us // bucket_us)
         & (F.col("oldest_us") <= (F.col("bucket") - history) * bucket_us)
         & (F.col("baseline") >= min_mean)
         & (F.col("current") < F.lit(ratio) * F.col("baseline"))
@@ -182,20 +184,16 @@ def hour_utc(ts_us: Column) -> Column:
 def ueba_new_ip(history: DataFrame, *, min_logins: int = 5) -> DataFrame:
     found = history.where((F.col("ip_logins") == 1) & (F.col("logins") >= min_logins))
     return found.withColumn("kind", F.lit("NEW_IP")).withColumn(
-        "detail",
-        F.format_string("first-ever login for %s from %s (baseline: %d prior logins)", "user", "src_ip", "logins"),
+        "detail", F.format_string("%s: address %s not seen in %d logins so far", "user", "src_ip", "logins")
     )
 
 
 def ueba_off_hours(history: DataFrame, *, min_logins: int = 10, max_share: float = 0.10) -> DataFrame:
     share = F.col("hour_logins") / F.col("logins")
     found = history.where((F.col("logins") >= min_logins) & (share < max_share))
+    # Hour and whole percent only: later logins of the same hour repeat the finding.
     return found.withColumn("kind", F.lit("OFF_HOURS")).withColumn(
-        "detail",
-        F.format_string(
-            "%s logged in at %02d:00 UTC - only %d of %d logins happen at this hour",
-            "user", "hour", "hour_logins", "logins",
-        ),
+        "detail", F.format_string("%s: hour %d UTC has %d%% of the logins", "user", "hour", F.round(100 * share).cast("int"))
     )
 
 

@@ -24,7 +24,7 @@ def with_evidence(incidents: DataFrame) -> DataFrame:
     stamped = incidents.withColumn("timestamp", stamp_utc(F.col("ts_us")))
     hashed = stamped.withColumn("canonical", canonical_record())
     return hashed.withColumn("sha256", F.sha2("canonical", 256)).withColumn(
-        "incident_key", F.sha2(F.concat_ws("|", F.col("ts_us").cast("string"), "canonical"), 256)
+        "incident_key", F.sha2(F.concat_ws("|", F.col("ts_us").cast("string"), "canonical", "raw_record"), 256)
     )
 
 

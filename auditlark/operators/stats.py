@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import shannon_entropy, text_entropy
+from ..functions.text import shannon_entropy
 from .windows import Total, group_starts, ordered_scan, row_blocks, running_totals, US
 
 
@@ -62,13 +62,13 @@ def mad_outliers(df: DataFrame, keys: Sequence[str], value: str, *, threshold: f
     return scored.where(F.abs("mz") >= threshold).drop("_dev")
 
 
-def entropy(df: DataFrame, text: str, *, long_text: bool = True) -> DataFrame:
+def entropy(df: DataFrame, text: str) -> DataFrame:
     """Add ``entropy`` (bits per character)."""
-    return df.withColumn("entropy", text_entropy(text) if long_text else shannon_entropy(F.col(text)))
+    return df.withColumn("entropy", shannon_entropy(F.col(text)))
 
 
-def entropy_outliers(df: DataFrame, text: str, *, threshold_bits: float = 4.0, long_text: bool = False) -> DataFrame:
-    return entropy(df, text, long_text=long_text).where(F.col("entropy") >= threshold_bits)
+def entropy_outliers(df: DataFrame, text: str, *, threshold_bits: float = 4.0) -> DataFrame:
+    return entropy(df, text).where(F.col("entropy") >= threshold_bits)
 
 
 def ewma_spikes(

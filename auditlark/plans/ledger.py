@@ -104,15 +104,17 @@ def found_ledger(spark, sf_dir):
 
 
 LEDGER_SQL = BLOCK_INCIDENTS_SQL + """
-, raw_ledger AS (SELECT * FROM block_incidents UNION ALL
+, raw_ledger AS (SELECT blocked_us AS ts_us, src_ip AS source_ip, site AS target_host, 'WEBSITE_AUTO_BLOCK' AS classification, reason AS detection_rule,
+    mode || ': ' || reason AS mitigating_action, 'website-monitor' AS privilege_state,
+    format('auto-block site={} ip={} hits={}', site, src_ip, hits) AS raw_record FROM moded UNION ALL
   SELECT ts_us, src_ip, host, asset_class, pattern_id || ' ' || name,
     CASE WHEN soar_action = 'block_ip' AND src_ip NOT IN ('', '0.0.0.0') THEN 'block_ip' WHEN soar_action = 'kill_session' THEN 'kill_session' ELSE 'alert' END,
-    'user' FROM dedup WHERE severity = 'Critical')
+    'user', 'matched=' || matched FROM dedup WHERE severity = 'Critical')
 , canon AS (SELECT *, strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S UTC') AS "timestamp" FROM raw_ledger)
 , hashed AS (SELECT *, 'timestamp=' || "timestamp" || '|source_ip=' || source_ip || '|target_host=' || target_host || '|classification=' || classification
     || '|detection_rule=' || detection_rule || '|mitigating_action=' || mitigating_action || '|privilege_state=' || privilege_state AS canonical FROM canon)
-, ledger AS (SELECT *, sha256(canonical) AS sha256, sha256(ts_us || '|' || canonical) AS incident_key FROM hashed
-  QUALIFY row_number() OVER (PARTITION BY ts_us || '|' || canonical) = 1)"""
+, ledger AS (SELECT *, sha256(canonical) AS sha256, sha256(ts_us || '|' || canonical || '|' || raw_record) AS incident_key FROM hashed
+  QUALIFY row_number() OVER (PARTITION BY ts_us || '|' || canonical || '|' || raw_record) = 1)"""
 
 
 @query(over_events(LEDGER_SQL + " SELECT incident_key, canonical, sha256 FROM ledger"))
@@ -202,7 +204,9 @@ def linked_cases(spark, sf_dir, ledger):
         F.lit("open").alias("status"),
     )
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("author"), F.col("text").alias("note"))
-    notes = cases.select("case_id", (F.col("case_id") % 100).alias("conv_id")).join(talk, "conv_id").select(
+    # Case numbers fall on all conversations alike, so each can appear and none gathers many cases.
+    conversations = talk.select(F.max("conv_id") + 1).scalar()
+    notes = cases.select("case_id", (F.col("case_id") % conversations).alias("conv_id")).join(talk, "conv_id").select(
         "case_id", (F.lit(1_706_400_000 * US) + F.col("turn") * US).alias("note_us"), "author", "note"
     )
     return focus, cases, notes
@@ -222,7 +226,7 @@ SELECT focus_key, ts_us, CASE WHEN is_focus THEN 'incident_created' ELSE 'relate
 FROM placed
 UNION ALL SELECT focus_key, ts_us, 'case_linked', 'Case #' || case_id || ' ''Source ' || source_ip || ''' (open) linked to this incident' FROM cases
 UNION ALL SELECT focus_key, {1_706_400_000 * US} + turn * {US}, 'case_note', '[Case #' || case_id || '] ' || text
-FROM cases JOIN conversations ON conv_id = case_id % 100"""))
+FROM cases JOIN conversations ON conv_id = case_id % (SELECT max(conv_id) + 1 FROM conversations)"""))
 def incident_timeline(spark, sf_dir):
     ledger = materialize(found_ledger(spark, sf_dir))
     return L.incident_timeline(ledger, *linked_cases(spark, sf_dir, ledger))

@@ -92,12 +92,15 @@ def test_owasp_labels(events):
 def test_telemetry_gap_needs_full_history(events):
     rows = [{"ts": m * 60 + i, "event": "NET_FLOW"} for m in range(5) for i in range(20)]
     gap = rows + [{"ts": 5 * 60 + 1, "event": "NET_FLOW"}]
-    found = D.telemetry_gap(events(gap)).collect()
+    found = D.telemetry_gap(events(gap), as_of_us=5 * 60 * US + 1).collect()
     assert [(r.bucket_us, r.current, r.baseline) for r in found] == [(300 * US, 1, 20.0)]
     short = [r for r in gap if r["ts"] >= 60]
-    assert D.telemetry_gap(events(short)).count() == 0
+    assert D.telemetry_gap(events(short), as_of_us=5 * 60 * US + 1).count() == 0
     silent = rows + [{"ts": 6 * 60 + 1, "event": "NET_FLOW"}]  # minute 5 holds nothing
-    assert [r.current for r in D.telemetry_gap(events(silent)).orderBy("bucket_us").collect()] == [0, 1]
+    assert [r.current for r in D.telemetry_gap(events(silent), as_of_us=6 * 60 * US).orderBy("bucket_us").collect()] == [0, 1]
+    # Nothing comes after minute 4 at all.
+    assert [r.bucket_us for r in D.telemetry_gap(events(rows), as_of_us=7 * 60 * US).orderBy("bucket_us").collect()] == [300 * US, 360 * US, 420 * US]
+    assert D.telemetry_gap(events(rows), as_of_us=4 * 60 * US + 59).count() == 0
 
 
 def test_new_ip_after_five_logins(events):
