@@ -266,5 +266,5 @@ def soc_status(attacks: DataFrame, anomalies: DataFrame) -> DataFrame:
 def behaviour_hits(found: DataFrame, pattern_id: str, matched: Column) -> DataFrame:
     """Bring a behavioural detection into the shape of a signature hit."""
     return found.select(
-        "event_id", "ts_us", "user", "src_ip", "host", F.lit(pattern_id).alias("pattern_id"), matched.alias("matched")
+        "event_id", "ts_us", "user", "src_ip", "host", "asset_class", F.lit(pattern_id).alias("pattern_id"), matched.alias("matched")
     )

@@ -153,6 +153,59 @@ def exfil_bursts(spark, sf_dir):
     return found.select("event_id", "user", "n")
 
 
+# Behavioural detections in the shape of signature hits; the text they are known by is the user or source they speak of.
+BEHAVIOUR_SQL = HITS_SQL + f"""
+, b_spray AS (SELECT *, count(*) OVER w AS n, count(DISTINCT "user") OVER w AS n_users, max(back) OVER w AS m FROM (
+    SELECT *, lag(ts_us, 3) OVER (PARTITION BY atk_ip, "user" ORDER BY ts_us, event_id) AS back FROM sec
+    WHERE event = 'AUTH_FAIL' AND atk_ip NOT IN ('', '0.0.0.0'))
+  WINDOW w AS (PARTITION BY atk_ip ORDER BY ts_us RANGE BETWEEN {6 * 3600 * US} PRECEDING AND CURRENT ROW))
+, b_wide AS (SELECT *, count(*) OVER w AS n, count(DISTINCT src_ip) OVER w AS n_ips FROM sec
+  WHERE event = 'AUTH_FAIL' AND "user" NOT IN ('', 'unknown')
+  WINDOW w AS (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {3 * DAY * US} PRECEDING AND CURRENT ROW))
+, b_travel AS (SELECT *, count(DISTINCT split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2)) OVER w AS n_nets FROM sec
+  WHERE event = 'AUTH_OK' AND "user" NOT IN ('', '-', 'unknown') AND src_ip <> '' AND src_ip NOT LIKE '10.%'
+  WINDOW w AS (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {DAY * US} PRECEDING AND CURRENT ROW))
+, b_exfil AS (SELECT *, count(*) OVER (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {10 * DAY * US} PRECEDING AND CURRENT ROW) AS n
+  FROM sec WHERE event = 'HTTP_REQ' AND regexp_matches(msg, {sql_text(R.EXFIL_REGEX)}))
+, behave AS (
+  SELECT event_id, ts_us, "user", atk_ip AS src_ip, host, asset_class, 'PASSWORD_SPRAY' AS pattern_id, 'source ' || atk_ip AS matched FROM b_spray
+    WHERE n >= 3 AND n_users >= 3 AND (m IS NULL OR m < ts_us - {6 * 3600 * US})
+  UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'DISTRIBUTED_BRUTEFORCE', 'user ' || "user" FROM b_wide WHERE n >= 4 AND n_ips >= 3
+  UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'IMPOSSIBLE_TRAVEL', 'user ' || "user" FROM b_travel WHERE n_nets >= 2
+  UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'EXFILTRATION', 'user ' || "user" FROM b_exfil WHERE n >= 3)
+, every_hit AS (SELECT event_id, ts_us, "user", src_ip, host, asset_class, pattern_id, matched FROM hits
+  UNION ALL SELECT * FROM behave)
+, known AS (SELECT e.*, p.severity, p.soar_action FROM every_hit e JOIN {PATTERN_ROWS_SQL.replace(' AS pat(', ' AS p(')} USING (pattern_id)
+  QUALIFY row_number() OVER (PARTITION BY pattern_id, src_ip, left(matched, 60) ORDER BY ts_us, event_id) = 1)"""
+
+
+def behaviours(spark, sf_dir):
+    """Spray, distributed attempts, travel and exfiltration as pattern hits."""
+    fails, logins = sec_events(spark, sf_dir, "AUTH_FAIL"), sec_events(spark, sf_dir, "AUTH_OK")
+    of_user = F.concat(F.lit("user "), "user")
+    spray = D.password_spray(fails, ip="atk_ip", window_s=6 * 3600, min_users=3, min_fails=3, max_per_user=3).withColumn("src_ip", F.col("atk_ip"))
+    wide = D.distributed_bruteforce(fails, window_s=3 * DAY, min_ips=3, min_fails=4)
+    travel = D.impossible_travel(logins, window_s=DAY)
+    exfil = D.exfil_bursts(sec_events(spark, sf_dir, "HTTP_REQ"), window_s=10 * DAY, threshold=3, keys=("user",))
+    found = D.behaviour_hits(spray, "PASSWORD_SPRAY", F.concat(F.lit("source "), "src_ip"))
+    for rows, pattern in ((wide, "DISTRIBUTED_BRUTEFORCE"), (travel, "IMPOSSIBLE_TRAVEL"), (exfil, "EXFILTRATION")):
+        found = found.unionByName(D.behaviour_hits(rows, pattern, of_user))
+    return found
+
+
+def every_hit(spark, sf_dir):
+    """Signature and behavioural hits, each pattern, source and text once."""
+    columns = ["event_id", "ts_us", "user", "src_ip", "host", "asset_class", "pattern_id", "matched"]
+    signed = D.signature_hits(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ"))).select(*columns)
+    return D.dedup_hits(D.with_pattern(signed.unionByName(behaviours(spark, sf_dir).select(*columns))))
+
+
+@query(over_events(BEHAVIOUR_SQL + " SELECT event_id, pattern_id, src_ip, matched FROM known WHERE pattern_id IN (SELECT pattern_id FROM behave)"))
+def behaviour_pattern_hits(spark, sf_dir):
+    found = D.dedup_hits(D.with_pattern(behaviours(spark, sf_dir)))
+    return found.select("event_id", "pattern_id", "src_ip", "matched")
+
+
 # Host 4 falls silent on 20 January, and the clock stands at the end of the month.
 SILENT_US, CLOCK_US = 1_705_708_800 * US, 1_706_745_600 * US
 
@@ -245,15 +298,23 @@ def cii_escalation(spark, sf_dir):
     return found.select("event_id", "pattern_id", "host", "escalated_control")
 
 
-@query(over_events(HITS_SQL + """
+@query(over_events(BEHAVIOUR_SQL + """
 SELECT event_id, pattern_id, src_ip, CASE WHEN soar_action = 'block_ip' AND src_ip NOT IN ('', '0.0.0.0') THEN 'block_ip'
   WHEN soar_action = 'kill_session' THEN 'kill_session' ELSE 'alert' END AS decision, severity = 'Critical' AS snapshot
-FROM dedup"""))
+FROM known"""))
 def response_decisions(spark, sf_dir):
-    found = D.response_decisions(D.dedup_hits(hits(spark, sf_dir)))
+    found = D.response_decisions(every_hit(spark, sf_dir))
     return found.select("event_id", "pattern_id", "src_ip", "decision", "snapshot")
 
 
+@query(over_events(f"""
+SELECT event_id, src_ip, {OWASP_SQL.replace('{0}', 'msg')} AS labels, 'block_ip' AS decision, true AS snapshot FROM sec
+WHERE event IN ('HTTP_REQ', 'APP_INPUT', 'RAW') AND labels <> ''"""))
+def request_decisions(spark, sf_dir):
+    found = D.owasp_decisions(D.owasp_scan(D.scanned(sec_events(spark, sf_dir, "HTTP_REQ"))))
+    return found.select("event_id", "src_ip", F.array_join("signatures", ",").alias("labels"), "decision", "snapshot")
+
+
 AS_OF_US = 1_706_400_000 * US  # 2024-01-28 00:00:00 UTC, inside the event range
 
 

@@ -15,7 +15,7 @@ from ..session import materialize
 from .adapters import sec_events, sql_text, table
 from .anomaly import INCIDENT_SQL, found_anomalies, over_events_recursive
 from .catalog import over_events, query
-from .detection import ASSETS_SQL, BRUTE_SQL, HITS_SQL, brute, hits, host_assets
+from .detection import ASSETS_SQL, BEHAVIOUR_SQL, BRUTE_SQL, HITS_SQL, brute, every_hit, hits, host_assets
 from .web import BLOCK_INCIDENTS_SQL, moded_blocks, owasp_found
 
 # ---------------------------------------------------------------- sessions
@@ -174,12 +174,12 @@ def tactic_rollup(spark, sf_dir):
     return L.tactic_rollup(D.dedup_hits(hits(spark, sf_dir)))
 
 
-@query(over_events(HITS_SQL + f"""
+@query(over_events(BEHAVIOUR_SQL + f"""
 SELECT count(*) AS total_patterns, count(technique_id) AS mapped_patterns, count(DISTINCT technique_id) AS distinct_techniques,
   count(seen) AS observed_patterns, count(DISTINCT CASE WHEN seen IS NOT NULL THEN technique_id END) AS observed_techniques
-FROM {TECH_SQL} LEFT JOIN (SELECT pattern_id AS seen FROM dedup GROUP BY 1) ON seen = pid"""))
+FROM {TECH_SQL} LEFT JOIN (SELECT pattern_id AS seen FROM known GROUP BY 1) ON seen = pid"""))
 def technique_coverage(spark, sf_dir):
-    return L.technique_coverage(D.dedup_hits(hits(spark, sf_dir)))
+    return L.technique_coverage(every_hit(spark, sf_dir))
 
 
 OWASP_ROWS_SQL = "(VALUES " + ", ".join(f"({sql_text(p.pattern_id)}, {sql_text(p.owasp)})" for p in R.PATTERNS) + ") AS o(pid, owasp)"

@@ -37,13 +37,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+# The scratch folder of each application.
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this application inside the shared one; it is removed when the driver ends."""
+    context = spark.sparkContext
+    if context.applicationId not in _SCRATCH:
+        folder = f"{checkpoint_root(spark)}/auditlark-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _SCRATCH[context.applicationId] = folder
+    return _SCRATCH[context.applicationId]
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back.
+    """Write an intermediate result to the scratch folder and read it back.
 
     For results that several later steps read: the lineage ends here, and the
     files outlive the executors that wrote them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/auditlark/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import registry as R
 from ..operators import ueba
 from ..operators.detectors import scanned, signature_hits, with_pattern
-from ..session import checkpoint_root
+from ..session import scratch
 from ..sources.json_lines import parse_jsonl_events
 from .processors import EwmaSpikes, OrderedProcessor, SlidingWindow, SuppressRepeats, UserRisk
 
@@ -138,7 +138,7 @@ def ledger_sink(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[
 def run_available(stream: DataFrame) -> DataFrame:
     """Process all input that is there now and return the output rows."""
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/auditlark/{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/{uuid.uuid4().hex}"
     query = append_sink(stream, f"{root}/out", f"{root}/state", {"availableNow": True})
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
