@@ -31,8 +31,9 @@ from auditlark.session import materialize
 from .texts import text_buffers
 
 UNKNOWN = "und"
-#: The bounded training sample: documents of a language, windows of a document.
+#: The bounded training sample: documents of a language, languages (the most frequent ones), windows of a document.
 DOCS_PER_LANGUAGE = 600
+MAX_LANGUAGES = 200
 WINDOWS_PER_DOC = 6
 WINDOW = 128
 #: Windows scored at once.
@@ -143,7 +144,8 @@ def training_windows(docs: DataFrame) -> DataFrame:
     """
     usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(F.col("lang").cast("string"), "text")
     # Written, so that the planner knows its size and need not shuffle the texts.
-    shares = materialize(usable.groupBy("lang").agg((F.lit(float(DOCS_PER_LANGUAGE)) / F.count("*")).alias("share")))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    shares = materialize(counts.select("lang", (F.lit(float(DOCS_PER_LANGUAGE)) / F.col("n")).alias("share")))
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) / float(1 << 20)
     chosen = usable.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")
 

@@ -120,7 +120,8 @@ def window_spans(text: Column, alphabet: str, bits: float, window: int = WINDOW)
         moved = F.transform(s.counts, lambda n, k: n + (k == enter).cast("int") - (k == leave).cast("int"))
         change = f(n_in + 1) - f(n_in) + F.when(leave >= 0, f(n_out - 1) - f(n_out)).otherwise(0.0)
         total = s["sum"] + F.when(enter == leave, 0.0).otherwise(change)
-        high = (i >= window) & (F.lit(math.log2(window)) - total / window > bits)
+        # A window at the very threshold is not above it, however its sum was rounded.
+        high = (i >= window) & (F.lit(math.log2(window)) - total / window > bits + 1e-9)
         a = F.greatest(i - window, F.lit(0))
         open_ = F.size(s.spans) > 0
         tail = F.element_at(s.spans, F.when(open_, -1).otherwise(F.lit(None).cast("int")))

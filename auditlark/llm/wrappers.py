@@ -45,7 +45,7 @@ from auditlark.session import materialize
 #: Items of a sequence before it is closed; partial wrappers that meet at once; hosts held by a task.
 MAX_ITEMS = 48
 FAN_IN = 64
-HELD_HOSTS = 2_000
+HELD_HOSTS = 500
 #: Depth beyond which containers count as their parent's content.
 MAX_DEPTH = 24
 

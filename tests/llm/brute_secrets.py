@@ -13,7 +13,7 @@ def windows(text, alphabet, bits, w=S.WINDOW):
         for c in text[i - w:i]:
             k = alphabet.find(c)
             counts[k] = counts.get(k, 0) + 1
-        if -sum(n / w * math.log2(n / w) for n in counts.values()) > bits + 1e-12:
+        if -sum(n / w * math.log2(n / w) for n in counts.values()) > bits + 1e-9:
             if spans and spans[-1][1] >= i - w:
                 spans[-1][1] = i
             else:
