@@ -6,13 +6,16 @@ leaves rows of that instant out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..operators import intel as I
 from ..operators.windows import US
+from ..session import scratch
 from ..streaming import stream as M
-from .adapters import sec_events_from
+from .adapters import sec_events, sec_events_from
 from .anomaly import EWMA_SQL, RISK_SQL, over_events_recursive
 from .catalog import over_events, query
 from .detection import BRUTE_SQL, DAY, HITS_SQL
@@ -36,13 +39,27 @@ def stream_signature_hits(spark, sf_dir):
     return M.run_available(found.select("event_id", "pattern_id", "matched", "src_ip"))
 
 
-# One batch, so a duplicate is dropped whenever its first hit is still within the delay.
-@query()
+@query(over_events(HITS_SQL + """
+SELECT event_id, pattern_id, left(matched, 60) AS matched, src_ip FROM dedup WHERE ts_us < (SELECT max(ts_us) FROM hits)"""))
 def stream_pattern_hits(spark, sf_dir):
-    found = M.hits_stream(events(spark, sf_dir), "10 minutes")
+    found = M.hits_stream(events(spark, sf_dir), NOW, quiet_s=3650 * DAY)
     return M.run_available(found.select("event_id", "pattern_id", "matched", "src_ip"))
 
 
+# The event table as growing log files.
+@query(over_events(f"""
+SELECT event_id, ts_us, event, "user", src_ip, host, msg FROM sec"""))
+def stream_jsonl_events(spark, sf_dir):
+    log = sec_events(spark, sf_dir).select(F.to_json(F.struct(
+        (F.col("ts_us") / US).alias("ts"), "event", "user", "src_ip", "host", F.concat_ws("|", "event_id", "msg").alias("msg"))).alias("value"))
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    log.repartition(4).write.text(folder)
+    found = M.stream_events(spark, folder, 0)
+    number = F.substring_index("msg", "|", 1).cast("long")
+    return M.run_available(found.select(
+        number.alias("event_id"), "ts_us", "event", "user", "src_ip", "host", F.expr("substring(msg, instr(msg, '|') + 1)").alias("msg")))
+
+
 @query(over_events(f"""
 , w AS (SELECT event, ts_us // {3600 * US} AS b, count(*) AS n FROM sec GROUP BY 1, 2)
 SELECT b * {3600 * US} AS start_us, (b + 1) * {3600 * US} AS end_us, event, n FROM w WHERE (b + 1) * {3600 * US} <= (SELECT max(ts_us) FROM sec)"""))
@@ -76,6 +93,19 @@ def stream_bruteforce(spark, sf_dir):
     return found.select("event_id", F.col("key").alias("user"), "n", "first_us")
 
 
+@query(over_events(f"""
+, f AS (SELECT *, lag(ts_us, 3) OVER (PARTITION BY atk_ip, "user" ORDER BY ts_us, event_id) AS back FROM sec WHERE event = 'AUTH_FAIL')
+, g AS (SELECT *, count(*) OVER w AS n, count(DISTINCT "user") OVER w AS n_users, max(back) OVER w AS m FROM f
+  WINDOW w AS (PARTITION BY atk_ip ORDER BY ts_us RANGE BETWEEN {6 * 3600 * US} PRECEDING AND CURRENT ROW))
+SELECT event_id, atk_ip, n, n_users FROM g
+WHERE n >= 3 AND n_users >= 3 AND (m IS NULL OR m < ts_us - {6 * 3600 * US}) AND ts_us < {of_type('AUTH_FAIL')}"""))
+def stream_password_spray(spark, sf_dir):
+    fails = events(spark, sf_dir).where("event = 'AUTH_FAIL'")
+    found = M.run_available(M.sliding_window_stream(
+        fails, F.col("atk_ip"), 6 * 3600, 3, member=F.col("user"), min_distinct=3, max_per_member=3, delay=NOW))
+    return found.select("event_id", F.col("key").alias("atk_ip"), "n", F.col("n_distinct").alias("n_users"))
+
+
 @query(over_events(f"""
 , f AS (SELECT *, count(*) OVER w AS n, count(DISTINCT src_ip) OVER w AS n_ips FROM sec WHERE event = 'AUTH_FAIL'
   WINDOW w AS (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {3 * DAY * US} PRECEDING AND CURRENT ROW))

@@ -81,17 +81,22 @@ class SlidingWindow(OrderedProcessor):
 
     columns = ["key", "event_id", "ts_us", "n", "n_distinct", "first_us"]
 
-    def __init__(self, window_s: int, min_rows: int, min_distinct: int = 0, fire_from_us: int = 0) -> None:
+    def __init__(
+        self, window_s: int, min_rows: int, min_distinct: int = 0, fire_from_us: int = 0, max_per_member: int | None = None
+    ) -> None:
         self.window_us = window_s * US
         self.min_rows = min_rows
         self.min_distinct = min_distinct
         self.fire_from_us = fire_from_us
+        self.max_per_member = max_per_member
 
     def advance(self, memory, ready):
         rows = memory + ready
         counts: dict[str, int] = {}
         for r in memory:
             counts[r[2]] = counts.get(r[2], 0) + 1
+        limit = math.inf if self.max_per_member is None else self.max_per_member
+        crowded = sum(n > limit for n in counts.values())  # members with more rows than allowed
         start, out, i = 0, [], len(memory)
         while i < len(rows):
             now = rows[i][0]
@@ -99,14 +104,16 @@ class SlidingWindow(OrderedProcessor):
             # Rows of the same instant see each other.
             while peers < len(rows) and rows[peers][0] == now:
                 counts[rows[peers][2]] = counts.get(rows[peers][2], 0) + 1
+                crowded += counts[rows[peers][2]] == limit + 1
                 peers += 1
             while rows[start][0] < now - self.window_us:
+                crowded -= counts[rows[start][2]] == limit + 1
                 counts[rows[start][2]] -= 1
                 if not counts[rows[start][2]]:
                     del counts[rows[start][2]]
                 start += 1
             n = peers - start
-            if n >= self.min_rows and len(counts) >= self.min_distinct and now >= self.fire_from_us:
+            if n >= self.min_rows and len(counts) >= self.min_distinct and now >= self.fire_from_us and not crowded:
                 out += [(rows[j][1], now, n, len(counts), rows[start][0]) for j in range(i, peers)]
             i = peers
         return pd.DataFrame(out, columns=self.columns[1:]), rows[start:]

@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import registry as R
 from ..operators import ueba
 from ..operators.detectors import scanned, signature_hits, with_pattern
+from ..operators.windows import first_row
 from ..session import scratch
 from ..sources.json_lines import parse_jsonl_events
 from .processors import EwmaSpikes, OrderedProcessor, SlidingWindow, SuppressRepeats, UserRisk
@@ -46,11 +47,17 @@ def with_event_time(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
 
 
-def hits_stream(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Signature hits joined to the registry, each pattern, source and text once per watermark span."""
-    found = with_pattern(signature_hits(scanned(with_event_time(events, delay))))
-    keyed = found.withColumn("matched_key", F.substring("matched", 1, 60))
-    return keyed.dropDuplicatesWithinWatermark(["pattern_id", "src_ip", "matched_key"])
+def hits_stream(events: DataFrame, delay: str = WATERMARK, *, quiet_s: int = 86_400) -> DataFrame:
+    """Signature hits joined to the registry, the first of each pattern, source and text.
+
+    Repeats follow event time, not arrival. The same hit counts again once it is
+    more than ``quiet_s`` after the one that was kept.
+    """
+    found = signature_hits(scanned(events))
+    key = F.to_json(F.struct("pattern_id", "src_ip", F.substring("matched", 1, 60).alias("matched")))
+    kept = suppress_stream(found, key, window_s=quiet_s, delay=delay).where("status = 'sent'")
+    parts = kept.select("event_id", "ts_us", F.from_json("key", "pattern_id string, src_ip string, matched string").alias("_h"))
+    return with_pattern(parts.select("event_id", "ts_us", "_h.*"))
 
 
 def counts_stream(events: DataFrame, keys: list[str], width: str = "1 minute", slide: str | None = None,
@@ -86,12 +93,14 @@ def _keyed(rows: DataFrame, key: Column, processor: OrderedProcessor, schema: st
 
 
 def sliding_window_stream(rows: DataFrame, key: Column, window_s: int, min_rows: int, *, member: Column | None = None,
-                          min_distinct: int = 0, fire_from_us: int = 0, delay: str = WATERMARK) -> DataFrame:
-    """Exact per-event windows: brute force, distributed attempts, travel, bursts, site blocks.
+                          min_distinct: int = 0, fire_from_us: int = 0, max_per_member: int | None = None,
+                          delay: str = WATERMARK) -> DataFrame:
+    """Exact per-event windows: brute force, spray, distributed attempts, travel, bursts, site blocks.
 
-    ``fire_from_us`` lets older rows fill windows without firing.
+    ``fire_from_us`` lets older rows fill windows without firing; with
+    ``max_per_member`` a window in which a member has more rows does not fire.
     """
-    processor = SlidingWindow(window_s, min_rows, min_distinct, fire_from_us)
+    processor = SlidingWindow(window_s, min_rows, min_distinct, fire_from_us, max_per_member)
     return _keyed(rows, key, processor, WINDOW_OUT, delay, member)
 
 
@@ -144,8 +153,45 @@ def run_available(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far, over all recorded batches."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", [])
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that fell behind the watermark, by query, over all batches while it is registered."""
+
+    def __init__(self) -> None:
+        self.by_query: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.by_query[key] = self.by_query.get(key, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "ts_us",
+                trigger: dict | None = None) -> StreamingQuery:
+    """Keep the latest row per key: each batch merges with the current snapshot into the next one.
+
+    Snapshots are numbered by batch, so a repeated batch writes the same one again;
+    ``latest_state`` reads the newest.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/snapshot={batch_id - 1}"))
+        first_row(rows, keys, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of an ``upsert_sink``."""
+    snapshots = spark.read.parquet(path)
+    return snapshots.where(F.col("snapshot") == snapshots.select(F.max("snapshot")).scalar()).drop("snapshot")

@@ -1,6 +1,7 @@
 """Streaming operators over several micro-batches, with rows out of order between files."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,11 +71,40 @@ def test_jsonl_files_become_events(spark, tmp_path):
 def test_ledger_sink_is_idempotent(spark, tmp_path, shuffled):
     _, stream = shuffled
     out = str(tmp_path / "ledger")
+    listener = M.LateRows()
+    spark.streams.addListener(listener)
     hits = M.hits_stream(stream().withColumn("event", F.lit("HTTP_REQ")), "2 minutes")
     query = M.ledger_sink(hits, out, str(tmp_path / "ck"), lambda b: b.select("src_ip", "pattern_id"), {"availableNow": True})
     query.awaitTermination()
     assert {r.src_ip for r in spark.read.parquet(out).collect()} == {f"1.1.1.{i}" for i in range(4)}
-    assert M.late_rows(query) == 0
+    spark.streams.removeListener(listener)
+    assert listener.by_query[query.id] == 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    for part, t in enumerate((1000, 2000, 5, 3000)):
+        row = [(part, t * US, "AUTH_FAIL", "u", "1.1.1.1", "h", "m")]
+        spark.createDataFrame(row, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"f{part}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f*"))
+    listener = M.LateRows()
+    spark.streams.addListener(listener)
+    counts = M.counts_stream(stream, ["user"], "1 second", delay="0 seconds")
+    query = M.append_sink(counts, str(tmp_path / "out"), str(tmp_path / "ck"), {"availableNow": True})
+    query.awaitTermination()
+    for _ in range(50):
+        if listener.by_query.get(query.id):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert listener.by_query[query.id] == 1
+
+
+def test_upsert_keeps_the_latest_row_per_key(spark, tmp_path, shuffled):
+    batch, stream = shuffled
+    query = M.upsert_sink(stream(), str(tmp_path / "state"), str(tmp_path / "ck"), ["user"], trigger={"availableNow": True})
+    query.awaitTermination()
+    got = {r.user: r.ts_us for r in M.latest_state(spark, str(tmp_path / "state")).collect()}
+    assert got == {r.user: r.last for r in batch.groupBy("user").agg(F.max("ts_us").alias("last")).collect()}
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
