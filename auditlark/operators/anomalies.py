@@ -44,10 +44,10 @@ def anomalies(events: DataFrame, *, rate_keys: tuple[str, ...] = ("host",), min_
     dga = dga_hosts(events).where(F.col("score") >= min_score)
     layers = [
         _shape(rate, "EWMA event-rate spike",
-               F.format_string("Event rate spiked to %.1f/s (%.1f deviations above baseline)", "rate_mean", "z")),
+               F.format_string("%.1f events per second, %.1f deviations over the mean so far", "rate_mean", "z")),
         _shape(risk, "UEBA user-risk", F.col("explanation")),
         _shape(dga, "Entropy (DGA-like host)",
-               F.format_string("Host '%s' has %.2f bits/char entropy", "host", "entropy")),
+               F.format_string("%s: %.2f bits per character", "host", "entropy")),
     ]
     found = layers[0].unionByName(layers[1]).unionByName(layers[2])
     keyed = found.withColumn("_d", F.substring("detail", 1, 80))

@@ -132,11 +132,11 @@ def incident_timeline(ledger: DataFrame, focus: DataFrame, cases: DataFrame, not
     placed = ledger.join(focus, "source_ip")
     is_focus = F.col("incident_key") == F.col("focus_key")
     created = F.format_string(
-        "Incident detected: %s from %s against %s (rule: %s; action: %s)",
+        "%s by %s on %s, found by %s, answered with %s",
         "classification", "source_ip", "target_host", "detection_rule", "mitigating_action",
     )
     related = F.format_string(
-        "Related incident: %s from same source IP against %s (action: %s)",
+        "same source: %s on %s, answered with %s",
         "classification", "target_host", "mitigating_action",
     )
     incidents = placed.select(
@@ -149,11 +149,11 @@ def incident_timeline(ledger: DataFrame, focus: DataFrame, cases: DataFrame, not
     # Linked cases are shown at the time of the incident.
     case_rows = linked.select(
         "focus_key", "ts_us", F.lit("case_linked").alias("kind"),
-        F.format_string("Case #%d '%s' (%s) linked to this incident", "case_id", "title", "status").alias("summary"),
+        F.format_string("case %d, %s: %s", "case_id", "status", "title").alias("summary"),
     )
     note_rows = notes.join(linked.select("case_id", "focus_key"), "case_id").select(
         "focus_key", F.col("note_us").alias("ts_us"), F.lit("case_note").alias("kind"),
-        F.format_string("[Case #%d] %s", "case_id", "note").alias("summary"),
+        F.format_string("case %d: %s", "case_id", "note").alias("summary"),
     )
     return incidents.unionByName(case_rows).unionByName(note_rows)
 

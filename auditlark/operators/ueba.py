@@ -70,17 +70,17 @@ def user_risk(
     share = F.col("hour_logins") / F.greatest(F.lit(1), F.col("logins"))
     factors = {
         "new_ip": ((F.col("ip_logins") == 0) & (F.col("src_ip") != "0.0.0.0"), F.lit(WEIGHT_NEW_IP),
-                   F.format_string("New source IP %s - never seen in %d prior logins", "src_ip", "logins")),
+                   F.format_string("%s is new after %d logins", "src_ip", "logins")),
         "off_hours": (share < 0.10, F.lit(WEIGHT_OFF_HOURS),
-                      F.format_string("Off-hours login at %02d:00 UTC (%d of %d prior logins then)",
+                      F.format_string("hour %d UTC holds %d of %d earlier logins",
                                       "hour", "hour_logins", "logins")),
         "failures": ((F.col("recent_attempts") >= 5) & (ratio >= 0.5), F.lit(WEIGHT_FAILURES) * F.least(F.lit(1.0), ratio),
-                     F.format_string("High recent failure ratio: %d of last %d auth attempts failed",
+                     F.format_string("%d of the latest %d attempts failed",
                                      "recent_fails", "recent_attempts")),
         "burst": (F.col("is_burst"), F.lit(WEIGHT_BURST),
-                  F.format_string("Volume burst: %d events in the last %d seconds", "recent", F.lit(BURST_SPAN_S))),
+                  F.format_string("%d events within %d seconds", "recent", F.lit(BURST_SPAN_S))),
         "new_host": ((F.col("host_logins") == 0) & (F.col("host") != "-"), F.lit(WEIGHT_NEW_HOST),
-                     F.format_string("First time this user seen on host %s", "host")),
+                     F.format_string("host %s is new to the user", "host")),
     }
     trusted = F.col("logins") >= MIN_LOGINS
     total = sum((F.when(hit, points).otherwise(0.0) for hit, points, _ in factors.values()), F.lit(0.0))

@@ -51,7 +51,7 @@ def auto_blocks(
         episode_keys = [*episode_keys, "episode"]
     first = first_row(crossed, episode_keys, ["ts_us", "event_id", "kind"])
     reason = F.format_string(
-        f"%d attack-pattern hits from %s inside {window_s}s (auto-block threshold {threshold})", "n", "src_ip"
+        f"%d hits by %s within {window_s} s, {threshold} are enough", "n", "src_ip"
     )
     return first.select("site_id", "site", "src_ip", F.col("ts_us").alias("blocked_us"), F.col("n").alias("hits"),
                         reason.alias("reason"))

@@ -220,12 +220,12 @@ FOCUS_SQL = LEDGER_SQL + """
 @query(over_events(FOCUS_SQL + f"""
 , cases AS (SELECT focus_key, source_ip, ('0x' || left(focus_key, 6))::BIGINT AS case_id, ts_us FROM placed WHERE is_focus)
 SELECT focus_key, ts_us, CASE WHEN is_focus THEN 'incident_created' ELSE 'related_incident' END AS kind,
-  CASE WHEN is_focus THEN 'Incident detected: ' || classification || ' from ' || source_ip || ' against ' || target_host || ' (rule: ' || detection_rule
-    || '; action: ' || mitigating_action || ')'
-  ELSE 'Related incident: ' || classification || ' from same source IP against ' || target_host || ' (action: ' || mitigating_action || ')' END AS summary
+  CASE WHEN is_focus THEN classification || ' by ' || source_ip || ' on ' || target_host || ', found by ' || detection_rule
+    || ', answered with ' || mitigating_action
+  ELSE 'same source: ' || classification || ' on ' || target_host || ', answered with ' || mitigating_action END AS summary
 FROM placed
-UNION ALL SELECT focus_key, ts_us, 'case_linked', 'Case #' || case_id || ' ''Source ' || source_ip || ''' (open) linked to this incident' FROM cases
-UNION ALL SELECT focus_key, {1_706_400_000 * US} + turn * {US}, 'case_note', '[Case #' || case_id || '] ' || text
+UNION ALL SELECT focus_key, ts_us, 'case_linked', 'case ' || case_id || ', open: Source ' || source_ip FROM cases
+UNION ALL SELECT focus_key, {1_706_400_000 * US} + turn * {US}, 'case_note', 'case ' || case_id || ': ' || text
 FROM cases JOIN conversations ON conv_id = case_id % (SELECT max(conv_id) + 1 FROM conversations)"""))
 def incident_timeline(spark, sf_dir):
     ledger = materialize(found_ledger(spark, sf_dir))

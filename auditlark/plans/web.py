@@ -36,7 +36,7 @@ MODE_SQL = BRUTE_SQL + BLOCKS_SQL + """
     SELECT src_ip, ts_us FROM dedup WHERE soar_action = 'block_ip' AND src_ip NOT IN ('', '0.0.0.0')
     UNION ALL SELECT src_ip, ts_us FROM owasp_hits UNION ALL SELECT src_ip, ts_us FROM brute) GROUP BY 1)
 , moded AS (SELECT b.*, CASE WHEN c <= blocked_us THEN 'ENGINE AUTO-CONTAINMENT' ELSE 'POLICY BLOCK' END AS mode,
-    hits || ' attack-pattern hits from ' || src_ip || ' inside 259200s (auto-block threshold 3)' AS reason
+    hits || ' hits by ' || src_ip || ' within 259200 s, 3 are enough' AS reason
   FROM blocks b LEFT JOIN contained USING (src_ip))"""
 
 

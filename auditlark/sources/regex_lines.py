@@ -15,11 +15,11 @@ from ..functions.times import coerce_us, iso_utc
 def to_java(pattern: str) -> tuple[str, dict[str, int]]:
     """The expression with plain groups, and the number of each named group."""
     if not pattern or not pattern.strip():
-        raise ValueError("regex pattern must not be empty")
+        raise ValueError("an expression is needed")
     try:
         groups = dict(re.compile(pattern).groupindex)
     except re.error as exc:
-        raise ValueError(f"invalid regex: {exc}") from exc
+        raise ValueError(f"the expression does not compile: {exc}") from exc
     plain = re.sub(r"\(\?P<[^>]+>", "(", pattern)
     return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{groups[m.group(1)]}", plain), groups
 
