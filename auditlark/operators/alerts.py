@@ -51,5 +51,10 @@ def delivery_log(dispatched: DataFrame, destinations: str = "destinations", rout
     return sent.unionByName(muted.select(*sent.columns))
 
 
+def latest_log(log: DataFrame, n: int = 50) -> DataFrame:
+    """The newest ``n`` log rows."""
+    return log.orderBy(F.desc("ts_us"), F.desc("event_id"), "title", "channel", "destination").limit(n)
+
+
 def log_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("status", "channel").agg(F.count("*").alias("n"))

@@ -207,6 +207,16 @@ def alert_log(spark, sf_dir):
     return K.log_counts(K.delivery_log(dispatched(spark, sf_dir)))
 
 
+@query(over_alerts("""
+SELECT event_id, title, channel, destination, status FROM (
+  SELECT event_id, title, channel, destination, status FROM routed WHERE status = 'sent'
+  UNION ALL SELECT event_id, title, 'dedup', '-', status FROM dispatched WHERE status = 'deduped') JOIN (SELECT event_id, ts_us FROM sec) USING (event_id)
+ORDER BY ts_us DESC, event_id DESC, title, channel, destination LIMIT 20"""))
+def latest_deliveries(spark, sf_dir):
+    found = K.latest_log(K.delivery_log(dispatched(spark, sf_dir)), 20)
+    return found.select("event_id", "title", "channel", "destination", "status")
+
+
 # -------------------------------------------------------------- governance
 
 

@@ -15,7 +15,7 @@ from ..session import materialize
 from .adapters import sec_events, sql_text, table
 from .anomaly import INCIDENT_SQL, found_anomalies, over_events_recursive
 from .catalog import over_events, query
-from .detection import ASSETS_SQL, BEHAVIOUR_SQL, BRUTE_SQL, HITS_SQL, brute, every_hit, hits, host_assets
+from .detection import BEHAVIOUR_SQL, BRUTE_SQL, HITS_SQL, brute, every_hit, hits, host_assets
 from .web import BLOCK_INCIDENTS_SQL, moded_blocks, owasp_found
 
 # ---------------------------------------------------------------- sessions
