@@ -175,7 +175,7 @@ BEHAVIOUR_SQL = HITS_SQL + f"""
   UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'EXFILTRATION', 'user ' || "user" FROM b_exfil WHERE n >= 3)
 , every_hit AS (SELECT event_id, ts_us, "user", src_ip, host, asset_class, pattern_id, matched FROM hits
   UNION ALL SELECT * FROM behave)
-, known AS (SELECT e.*, p.severity, p.soar_action FROM every_hit e JOIN {PATTERN_ROWS_SQL.replace(' AS pat(', ' AS p(')} USING (pattern_id)
+, known AS (SELECT e.*, p.severity, p.soar_action, p.control_id FROM every_hit e JOIN {PATTERN_ROWS_SQL.replace(' AS pat(', ' AS p(')} USING (pattern_id)
   QUALIFY row_number() OVER (PARTITION BY pattern_id, src_ip, left(matched, 60) ORDER BY ts_us, event_id) = 1)"""
 
 

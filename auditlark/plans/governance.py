@@ -13,7 +13,7 @@ from ..operators import governance as G
 from ..operators.windows import US
 from .adapters import sec_events, sql_text, table
 from .catalog import over_events, query
-from .detection import BRUTE_SQL, FINDINGS_SQL, HITS_SQL, OWASP_SQL, brute, hits
+from .detection import BEHAVIOUR_SQL, BRUTE_SQL, FINDINGS_SQL, HITS_SQL, OWASP_SQL, brute, every_hit, hits
 from .web import owasp_found
 
 # ------------------------------------------------------------------- cases
@@ -245,12 +245,12 @@ def promotions(spark, sf_dir):
         with_org(brute(spark, sf_dir), spark, sf_dir),
         with_org(owasp_found(spark, sf_dir), spark, sf_dir),
         with_org(D.ueba_findings(sec_events(spark, sf_dir, "AUTH_OK")), spark, sf_dir),
-        with_org(D.dedup_hits(hits(spark, sf_dir)), spark, sf_dir),
+        with_org(every_hit(spark, sf_dir), spark, sf_dir),
     )
 
 
 NATION_SQL = "(substr(\"user\", 5)::BIGINT % 25)::INT"
-PROMOTIONS_SQL = HITS_SQL + BRUTE_SQL + FINDINGS_SQL + f"""
+PROMOTIONS_SQL = BEHAVIOUR_SQL + BRUTE_SQL + FINDINGS_SQL + f"""
 , owasp_rows AS (SELECT *, {OWASP_SQL.replace('{0}', 'msg')} AS labels FROM sec WHERE event IN ('HTTP_REQ', 'APP_INPUT', 'RAW'))
 , promo_raw AS (
   SELECT "user", event_id, ts_us, unnest(CASE WHEN asset_class = {sql_text(R.CLASS_CII)} THEN ['PISF-05.2', 'PISF-05.1', 'PISF-13.2']
@@ -258,7 +258,7 @@ PROMOTIONS_SQL = HITS_SQL + BRUTE_SQL + FINDINGS_SQL + f"""
   UNION ALL SELECT "user", event_id, ts_us, unnest(CASE WHEN contains(labels, 'BAC') THEN ['PISF-04.2', 'PISF-10.1', 'PISF-05.1'] ELSE ['PISF-04.2', 'PISF-10.1'] END),
     'request scan' FROM owasp_rows WHERE labels <> ''
   UNION ALL SELECT "user", event_id, ts_us, 'PISF-05.3', 'user behaviour' FROM unique_findings
-  UNION ALL SELECT "user", event_id, ts_us, control_id, 'pattern' FROM dedup)
+  UNION ALL SELECT "user", event_id, ts_us, control_id, 'pattern' FROM known)
 , promo AS (SELECT n_name AS org, event_id, ts_us, control_id, source, 'Under Attack' AS status, source || ' event ' || event_id AS evidence
   FROM promo_raw JOIN nation ON n_nationkey = {NATION_SQL})"""
 CONTROL_ROWS_SQL = "(VALUES " + ", ".join(

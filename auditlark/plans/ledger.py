@@ -166,12 +166,12 @@ def mitre_annotate(spark, sf_dir):
     )
 
 
-@query(over_events(HITS_SQL + f"""
+@query(over_events(BEHAVIOUR_SQL + f"""
 SELECT severity, tactic, count(*) AS hits, count(DISTINCT technique_id) AS techniques FROM (
-  SELECT severity, technique_id, unnest(string_split(tactics, ',')) AS tactic FROM dedup JOIN {TECH_SQL} ON pattern_id = pid)
+  SELECT severity, technique_id, unnest(string_split(tactics, ',')) AS tactic FROM known JOIN {TECH_SQL} ON pattern_id = pid)
 GROUP BY CUBE (severity, tactic)"""))
 def tactic_rollup(spark, sf_dir):
-    return L.tactic_rollup(D.dedup_hits(hits(spark, sf_dir)))
+    return L.tactic_rollup(every_hit(spark, sf_dir))
 
 
 @query(over_events(BEHAVIOUR_SQL + f"""
@@ -185,11 +185,11 @@ def technique_coverage(spark, sf_dir):
 OWASP_ROWS_SQL = "(VALUES " + ", ".join(f"({sql_text(p.pattern_id)}, {sql_text(p.owasp)})" for p in R.PATTERNS) + ") AS o(pid, owasp)"
 
 
-@query(over_events(HITS_SQL + f"""
+@query(over_events(BEHAVIOUR_SQL + f"""
 SELECT o.owasp, string_agg(DISTINCT pid, ',' ORDER BY pid) AS patterns, count(event_id) AS hits
-FROM {OWASP_ROWS_SQL} LEFT JOIN dedup ON pattern_id = pid GROUP BY 1"""))
+FROM {OWASP_ROWS_SQL} LEFT JOIN known ON pattern_id = pid GROUP BY 1"""))
 def owasp_rollup(spark, sf_dir):
-    return L.owasp_rollup(D.dedup_hits(hits(spark, sf_dir)))
+    return L.owasp_rollup(every_hit(spark, sf_dir))
 
 
 # ------------------------------------------------------- timelines, chains
