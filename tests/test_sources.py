@@ -135,3 +135,28 @@ def test_ioc_csv_validation(spark):
     assert got == [("1.1.1.1", 100, True), ("", 5, False), ("x", 5, False), ("y.example", 60, True)]
     with pytest.raises(ValueError):
         S.ioc_csv(rows.drop("ioc_type"))
+
+
+def test_control_bytes_stay_inside_their_field(spark):
+    request = '9.9.9.9 - bob [10/Oct/2023:13:55:36 +0000] "GET /a\x01b\x02c HTTP/1.1" 200 12 "-" "agent \x01 one"'
+    row = W.parse_access_log(lines(spark, "\x01junk", request), NOW).first()
+    assert (row.url, row.proto, row.status, row.ua) == ("/a\x01b\x02c", "HTTP/1.1", 200, "agent \x01 one")
+    row = L.parse_bsd_syslog(lines(spark, "<34>Oct 11 22:14:15 ho\x01st a\x02p[7]: m\x01\x01\x02\x03")).first()
+    assert (row.host, row.app, row.pid, row.msg) == ("ho\x01st", "a\x02p", "7", "m\x01\x01\x02\x03")
+    sites = spark.createDataFrame([(1, "s")], "site_id long, name string")
+    refs = lines(spark, request, "bad \x01 line").withColumn("site_ref", F.lit("\ts "))
+    counts, _ = W.ingest_accounting(refs, sites, NOW)
+    assert [(r.parsed, r.skipped, r.events) for r in counts.collect()] == [(1, 1, 1)]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    events = J.parse_jsonl_events(lines(spark, "\t# comment", "\t", "　", '\t{"event": "AUTH_OK", "ts": 5}\x0b'), NOW).collect()
+    assert [(r.event, r.ts_us) for r in events] == [("AUTH_OK", 5_000_000)]
+    found = S.url_list(lines(spark, "\thttp://evil.example/x", "http://evil2.example\t")).collect()
+    assert sorted(r.ioc for r in found) == ["evil.example", "evil2.example"]
+
+
+def test_quoted_line_breaks_in_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('timestamp,username,message\n5,alice,"one\ntwo"\n6,bob,three\n')
+    rows = J.import_csv_logs(spark, str(tmp_path / "a.csv"), NOW, multi_line=True).collect()
+    assert sorted((r.user, r.msg) for r in rows) == [("alice", "one\ntwo"), ("bob", "three")]
