@@ -39,11 +39,13 @@ from pyspark.sql import types as T
 
 from .texts import row_slices, text_buffers
 
-#: Distinct words kept per partition; beyond it the cache starts afresh.
-CACHE_WORDS = 200_000
+#: Distinct words of each of the two generations a partition keeps; a full one becomes the older one.
+CACHE_WORDS = 75_000
 #: Bytes of text encoded at once, and characters of one text scanned at once.
-SLICE_BYTES = 1 << 22
-PIECE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
+PIECE_CHARS = 1 << 19
+#: Rows decoded at once.
+DECODED_ROWS = 256
 
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the word pattern of the vocabulary file.
@@ -110,6 +112,7 @@ class Encoder:
         self.pairs = {r: (c >> _SHIFT, c & ((1 << _SHIFT) - 1)) for c, r in self.ranks.items()}
         self.merged = v.merged.tolist()
         self.words: dict[str, tuple[int, ...]] = {t: (i,) for t, i in v.special.items()}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.special = regex.compile("|".join(map(regex.escape, v.special))) if v.special else None
 
     def split(self, text: str) -> Iterator[str]:
@@ -156,10 +159,13 @@ class Encoder:
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {t: (i,) for t, i in self.vocabulary.special.items()}
-            new = [w for w in words if w not in self.words]
+        if len(self.words) > CACHE_WORDS:
+            # Words still in use come back from the older generation, the rest is forgotten.
+            self.older, self.words = self.words, {t: (i,) for t, i in self.vocabulary.special.items()}
+        absent = [w for w in words if w not in self.words]
+        known = self.older.get
+        self.words.update((w, ids) for w in absent if (ids := known(w)))
+        new = [w for w in absent if w not in self.words]
         if new:
             ids, ends = self.merge(new)
             ids = ids.tolist()
@@ -248,7 +254,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
 
     def run(batches):
         tokens = pa.array(shared.value)
-        for batch in batches:
+        for batch in (b.slice(a, DECODED_ROWS) for b in batches for a in range(0, b.num_rows, DECODED_ROWS)):
             lists = batch.column(ids)
             flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
             values = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
