@@ -226,7 +226,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id (rows without an id come last)."""
-    found = near_duplicates(docs, words, radius)
+    return keep_first(docs, near_duplicates(docs, words, radius))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of ``found`` (doc_id, text_key, group); null ids come last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("first")
     winners = found.groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     keyed = docs.withColumn("_text_key", text_key())
