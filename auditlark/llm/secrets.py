@@ -8,7 +8,8 @@ that enters and the one that leaves, so a window costs one step. Candidates are
 measured on the alphabet of their class (hexadecimal or base64), each with its own
 threshold; windows above it merge into spans. Candidates on the allow list
 (identifiers in the usual dashed form, digests named as such, placeholders, long
-runs of one character) and spans inside a base span are left out.
+runs of one character) and spans inside a base span are left out. ``redact`` leaves
+out only the windows that touch a placeholder, so a secret beside one is found.
 
 Positions come from the pieces between matches: Java's ``split`` and
 ``regexp_extract_all`` use the same leftmost non-overlapping matches, so running
@@ -54,6 +55,9 @@ ALLOW = (
     r"(.)\1{7}",
     r"(0123456789|abcdefghij|ABCDEFGHIJ)",
 )
+#: The same list in two parts: forms of a whole candidate, and words that excuse only the windows that touch them.
+ALLOW_WHOLE = ALLOW[:2]
+ALLOW_WORDS = r"(?i:example|placeholder|changeme|dummy|sample|redacted|your_?key)|(.)\1{7,}|0123456789|abcdefghij|ABCDEFGHIJ"
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 _CHUNK = 256
@@ -137,13 +141,22 @@ def window_spans(text: Column, alphabet: str, bits: float, window: int = WINDOW)
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s.spans)
 
 
-def _entropy_spans(text: Column, allow: tuple[str, ...]) -> Column:
-    """Spans of both classes over the candidates of ``text``."""
+def _pieces(candidate: Column, words: str) -> Column:
+    """Array of (start, text): what lies between the matches of ``words``."""
+    parts, found = F.split(candidate, words, -1), F.regexp_extract_all(candidate, F.lit(words), F.lit(0))
+    gaps = F.transform(found, lambda w: F.length(w).cast("long"))
+    lengths = F.zip_with(parts, gaps, lambda p, g: F.length(p) + F.coalesce(g, F.lit(0).cast("long")))
+    return F.zip_with(_starts(lengths), parts, lambda a, p: F.struct(a.alias("start"), p.alias("text")))
+
+
+def _entropy_spans(text: Column, allow: tuple[str, ...], words: str | None = None) -> Column:
+    """Spans of both classes over the candidates of ``text``; with ``words``, only windows that touch one are left out."""
     candidates = matches(text, F.col(_MATCHES["candidate"]), CANDIDATE)
     found = F.filter(candidates, lambda m: m.text.rlike("[0-9]") & m.text.rlike("[A-Za-z]") & ~_allowed(m.text, allow))
 
     def measured(m):
-        is_hex = m.text.rlike("^[0-9a-fA-F]+$")
+        # A piece has the class of its whole candidate.
+        is_hex = m.text.rlike("^[0-9a-fA-F]+$") if words is None else m.is_hex
         low = window_spans(F.lower(m.text), HEX_ALPHABET, HEX_BITS)
         mixed = window_spans(m.text, BASE64_ALPHABET, BASE64_BITS)
         rank = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
@@ -152,6 +165,12 @@ def _entropy_spans(text: Column, allow: tuple[str, ...]) -> Column:
             lambda w: F.struct((m.start + w.a).alias("start"), rank.alias("rank"), (m.start + w.b).alias("end")),
         ).cast(_SPAN)
 
+    if words is not None:
+        cut = lambda m: F.transform(
+            F.filter(_pieces(m.text, words), lambda p: F.length(p.text) >= WINDOW),
+            lambda p: F.struct((m.start + p.start).alias("start"), p.text.alias("text"), m.text.rlike("^[0-9a-fA-F]+$").alias("is_hex")),
+        )
+        found = F.flatten(F.transform(found, cut))
     return F.flatten(F.transform(found, measured))
 
 
@@ -162,13 +181,16 @@ def _allowed(candidate: Column, allow: tuple[str, ...]) -> Column:
     return found
 
 
-def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``, arrays of (start, rank, end); rank points into ``KINDS``."""
+def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, words: str | None = None) -> DataFrame:
+    """``docs`` with ``base`` and ``spans``, arrays of (start, rank, end); rank points into ``KINDS``.
+
+    A candidate that matches ``allow`` is left out whole; of one that holds a match of ``words``, only the windows that touch it.
+    """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rules = _RULES | {"candidate": CANDIDATE}
     # Matches are columns of their own: each pattern reads the text once, and only texts with matches go on.
     found = docs.withColumns({_MATCHES[k]: F.regexp_extract_all(whole, F.lit(p), F.lit(0)) for k, p in rules.items()})
-    found = found.withColumns({"base": _base_spans(whole), "spans": _entropy_spans(whole, allow)}).drop(*_MATCHES.values())
+    found = found.withColumns({"base": _base_spans(whole), "spans": _entropy_spans(whole, allow, words)}).drop(*_MATCHES.values())
     inside = lambda e: F.exists("base", lambda b: (b.start <= e.start) & (b.end >= e.end))
     return found.withColumn("spans", F.array_sort(F.concat("base", F.filter("spans", lambda e: ~inside(e)))))
 
@@ -183,10 +205,10 @@ def count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
 
 
-def redact(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW_WHOLE, words: str | None = ALLOW_WORDS) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``[kind]``; overlapping spans become one."""
     scanned = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("_row")).select("_row", F.col(text))
-    found = scan(scanned, text, allow)
+    found = scan(scanned, text, allow, words)
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     state = F.struct(F.array().cast("array<string>").alias("parts"), F.coalesce(F.col(text), F.lit("")).alias("rest"), F.lit(0).cast("long").alias("at"))
 
