@@ -68,21 +68,42 @@ _OUTSIDE_NAMES = frozenset(
 )
 
 
+# Never a region by name; words before a name that only describe the page; names that no amount of text makes main text.
+_CORE = frozenset("html body main article".split())
+_STATES = frozenset("has with without no not is are hide show".split())
+_READERS = frozenset("comment comments disqus reply replies respond".split())
+
+
 def key_of(tag: str, attrs: str) -> str:
-    """The element and the words of its class, id and role."""
+    """The element and the names of its class, id and role, without digits."""
     if not attrs or "=" not in attrs:
         return tag
-    names = sorted({w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w})
-    return ".".join([tag, *names])
+    found = (re.sub(r"[^a-z]+", "-", token).strip("-") for m in _NAMES.finditer(attrs) for token in (m[1] or m[2] or m[3] or "").lower().split())
+    return ".".join([tag, *sorted({name for name in found if name})])
+
+
+def outside_names(names: list[str]) -> set[str]:
+    """The listed words among ``names``: a name as a whole, its first word, or its last one unless the name describes a state."""
+    found: set[str] = set()
+    for name in names:
+        words = name.split("-")
+        found |= _OUTSIDE_NAMES.intersection(words[:1] if words[0] in _STATES else (words[0], words[-1]))
+    return found
 
 
-def outside(path: tuple[str, ...]) -> bool:
-    """Whether the last container of ``path`` is a region that is never main text."""
+def outside(path: tuple[str, ...], by_name: bool = True) -> bool:
+    """Whether the last container of ``path`` is a region that is never main text; without ``by_name``, whatever its text amounts to."""
     tag, *names = path[-1].split(".")
-    if tag in _OUTSIDE or _OUTSIDE_NAMES.intersection(names):
-        # An article's own header holds its title.
+    if tag in _CORE:
+        return False
+    found = outside_names(names)
+    # An article's own header holds its title.
+    within = any(p.split(".")[0] in ("article", "main") for p in path[:-1])
+    if within:
+        found.discard("header")
+    if tag in _OUTSIDE or tag == "header" and not within:
         return True
-    return tag == "header" and not any(p.split(".")[0] in ("article", "main") for p in path[:-1])
+    return bool(found if by_name else found & _READERS)
 
 
 def events(html: str) -> Iterator[tuple]:
@@ -252,13 +273,14 @@ def content_roots(wrapper: list) -> list[str]:
             if child[KEY].startswith("#"):
                 constant = child[HASH] != 0 and child[PAGES] > 2
                 total += 0 if constant else max(child[CHARS] - 2 * child[LINKS], 0)
-            elif not outside((*path, child[KEY])):
+            elif not outside((*path, child[KEY]), by_name=False):
                 total += mass(child, (*path, child[KEY]))
         return total
 
+    # Names do not count here: the container of most of the text that varies is no region, whatever it is called.
     node, path = wrapper, ()
     while True:
-        inner = [c for c in node[CHILDREN] if not c[KEY].startswith("#") and not outside((*path, c[KEY]))]
+        inner = [c for c in node[CHILDREN] if not c[KEY].startswith("#") and not outside((*path, c[KEY]), by_name=False)]
         best = max(inner, key=lambda c: mass(c, (*path, c[KEY])), default=None)
         if best is None or mass(best, (*path, best[KEY])) < 0.6 * mass(node, path) or not mass(node, path):
             return [">".join(path)] if path else []
@@ -278,7 +300,8 @@ def extract(html: str, roots: list[str]) -> str:
             path = (*path, event[1])
             root = ">".join(path) in wanted
             seen |= root
-            state.append((state[-1][0] or root, state[-1][1] or outside(path)))
+            # A root inside a region named above opens it again.
+            state.append((state[-1][0] or root, not root and (state[-1][1] or outside(path))))
         elif event[0] == "close":
             if path:
                 path = path[:-1]
