@@ -96,9 +96,30 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(names, '') AS license
 FROM d LEFT JOIN per_doc USING (rid)"""
 
 
+VARIANTS = rf"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))
+, runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+, counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL)
+, bytes AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS hx FROM counted)
+, hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hx), 2), lambda p: ('0x' || substr(hx, p + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table)
+, vocab AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+    ELSE run END AS word FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3)
+, dels AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS less FROM (SELECT *, unnest(range(0, length(word))) AS p FROM vocab))
+, near AS (SELECT a.word, b.word AS other, b.n AS m FROM dels a JOIN dels b USING (p, less) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM dels a JOIN vocab b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM dels a JOIN vocab b ON a.less = b.word)
+, best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY 1)
+, formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END::BIGINT AS form_n
+  FROM vocab v LEFT JOIN best USING (word))
+, walk(word, reached) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.reached AS root FROM formed f JOIN walk w USING (word) JOIN formed e ON e.word = w.reached WHERE e.form IS NULL"""
+
+
 ORACLES = {
     "op3_topk": TOPK,
     "op5_licenses": licenses_sql(),
     "op8_secrets": secrets_sql(),
     "op9_decontamination": DECONTAMINATION,
+    "op12_spellings": VARIANTS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, toxicity, wrappers
+from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, spellings, toxicity, wrappers
 from .oracles import ORACLES
 from .texts import id_remainder
 
@@ -120,3 +120,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    found = spellings.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, one_in=97, ratio=2)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
