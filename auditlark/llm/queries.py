@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, mtree, quality, secrets, simhash, spellings, toxicity, wrappers
+from . import alignment, bpe, decontam, language, licenses, mtree, quality, secrets, simhash, spellings, toxicity, vptree, wrappers
 from .oracles import ORACLES
 from .texts import id_remainder
 
@@ -127,3 +127,16 @@ def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of the words of all documents."""
     found = spellings.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, one_in=97, ratio=2)
     return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by cosine of every 50th vector."""
+    vectors = vptree.usable(table(spark, sf_dir, "embeddings"))
+    return vptree.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)

@@ -78,7 +78,7 @@ def test_unusable_rows(spark):
     ]
     df = vptree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"))
     found = vptree.search(df, df.filter("vec_id % 50 = 0"), k=5).toPandas().sort_values(["query_id", "rank"])
-    assert [tuple(r) for r in found[["query_id", "rank", "vec_id"]].itertuples(index=False)] == [(0, 1, 1), (0, 2, 50), (0, 3, 7), (50, 1, 0), (50, 2, 1), (50, 3, 7)]
+    assert [tuple(r) for r in found[["query_id", "rank", "vec_id"]].itertuples(index=False)] == [(0, 1, 1), (0, 2, 7), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 7)]
     assert found["score"].tolist() == [1.0, 0.0, 0.0, 0.0, 0.0, -1.0]
     assert vptree.search(df.limit(0), df.limit(0)).count() == 0
     assert vptree.search(df.filter("vec_id = 0"), df.filter("vec_id = 0")).count() == 0
