@@ -1,10 +1,12 @@
+import math
 import random
-from collections import defaultdict, deque
+import time
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditlark.functions.text import shannon_entropy
+from auditlark.functions.text import shannon_entropy, text_entropy
 from auditlark.operators import anomalies as A
 from auditlark.operators import stats as S
 from auditlark.operators import ueba as U
@@ -36,6 +38,20 @@ def test_entropy(spark, text, bits):
     assert got == pytest.approx(bits, abs=1e-6)
 
 
+def test_entropy_of_long_texts(spark):
+    rng = random.Random(7)
+    many = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1_000_000))
+    counts = Counter(many)
+    expected = -sum(n / len(many) * math.log2(n / len(many)) for n in counts.values())
+    start = time.perf_counter()
+    assert text_entropy(many) == pytest.approx(expected)
+    assert time.perf_counter() - start < 1
+    assert text_entropy(many[:5000], slice_chars=77) == pytest.approx(text_entropy(many[:5000]))
+    rows = [(0, many), (1, None), (2, "a\u0000\U0001F600\U0001F600"), (3, "\U0001F600" * 9)]
+    got = [r.e for r in spark.createDataFrame(rows, "i int, t string").select("i", shannon_entropy(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got == [pytest.approx(expected), 0.0, 1.5, 0.0]
+
+
 def test_ewma_waits_for_the_warmup(spark):
     def run(values):
         df = spark.createDataFrame([("k", i, i * US, float(v)) for i, v in enumerate(values)], "k string, event_id long, ts_us long, v double")
