@@ -46,9 +46,10 @@ def _matches(name: str, pattern: str, group: int = 0) -> str:
 
 
 def secrets_sql() -> str:
-    allowed = " AND ".join(f"NOT regexp_matches(value, {_text(p)})" for p in secrets.ALLOW if r"\1" not in p)
-    # RE2 has no back references: eight equal characters in a row are looked for one by one.
-    runs = "len(list_filter(range(1, length(value) - 6), lambda j: replace(substr(value, j, 8), substr(value, j, 1), '') = '')) = 0"
+    allowed = " AND ".join(f"NOT regexp_matches(value, {_text(p)})" for p in secrets.ALLOW)
+    # RE2 has no back references: a run of each character is an alternative of its own.
+    runs = "|".join(f"\\x{ord(c):02x}{{8,}}" for c in secrets.BASE64_ALPHABET + "_-")
+    words = _text(secrets.ALLOW_WORDS.replace(r"(.)\1{7,}", runs))
     window = secrets.WINDOW
     kinds = ", ".join(f"({i}, {_text(k)})" for i, k in enumerate(secrets.KINDS))
     return rf"""
@@ -56,16 +57,18 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 {_matches('assigned', secrets.ASSIGN, 2)}{_matches('access', secrets.ACCESS)}{_matches('hexes', secrets.HEX.replace('+', '{32,}'))}{_matches('candidate', secrets.CANDIDATE)}
 , base AS (SELECT rid, start, 0 AS rank, stop FROM assigned WHERE length(value) >= 8
   UNION ALL SELECT rid, start, 1, stop FROM access WHERE length(value) >= 16 UNION ALL SELECT rid, start, 2, stop FROM hexes)
-, open_ AS (SELECT rid, start, regexp_full_match(value, '[0-9a-fA-F]+') AS is_hex, value FROM candidate
-  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {allowed} AND {runs})
+, open_ AS (SELECT rid, start, regexp_full_match(value, '[0-9a-fA-F]+') AS is_hex, string_split_regex(value, {words}) AS parts,
+    list_append(regexp_extract_all(value, {words}), '') AS gaps FROM candidate WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {allowed})
+, parts AS (SELECT rid, start, is_hex, unnest(range(len(parts))) AS i, unnest(parts) AS value, unnest(gaps) AS gap FROM open_)
+, pieces AS (SELECT rid, start + sum(length(value) + length(gap)) OVER (PARTITION BY rid, start ORDER BY i) - length(value) - length(gap) AS start, is_hex, value FROM parts)
 , windows AS (SELECT rid, start, is_hex, pos, string_split(substr(CASE WHEN is_hex THEN lower(value) ELSE translate(value, '-', '_') END, pos + 1, {window}), '') AS chars
-  FROM (SELECT *, unnest(range(0, length(value) - {window - 1})) AS pos FROM open_))
+  FROM (SELECT *, unnest(range(0, length(value) - {window - 1})) AS pos FROM pieces))
 , high AS (SELECT rid, start, is_hex, pos FROM windows
   WHERE -list_sum(list_transform(list_distinct(chars), lambda c: len(list_filter(chars, lambda x: x = c)) / {window}.0::DOUBLE
     * log2(len(list_filter(chars, lambda x: x = c)) / {window}.0::DOUBLE))) > CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END + 1e-9)
 , marked AS (SELECT *, pos - coalesce(lag(pos) OVER w, -1000000) > {window} AS fresh FROM high WINDOW w AS (PARTITION BY rid, start ORDER BY pos))
 , islands AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY rid, start ORDER BY pos) AS island FROM marked)
-, entropy AS (SELECT rid, start + min(pos) AS start, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, start + max(pos) + {window} AS stop
+, entropy AS (SELECT rid, (start + min(pos))::BIGINT AS start, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, (start + max(pos) + {window})::BIGINT AS stop
   FROM islands GROUP BY rid, start, is_hex, island)
 , spans AS (SELECT * FROM base UNION ALL SELECT e.* FROM entropy e
   WHERE NOT EXISTS (FROM base b WHERE b.rid = e.rid AND b.start <= e.start AND b.stop >= e.stop))

@@ -6,10 +6,10 @@ with a digit and a letter) a window slides one character at a time, and the sum
 of n * log2(n) over the window's character counts is updated for the character
 that enters and the one that leaves, so a window costs one step. Candidates are
 measured on the alphabet of their class (hexadecimal or base64), each with its own
-threshold; windows above it merge into spans. Candidates on the allow list
-(identifiers in the usual dashed form, digests named as such, placeholders, long
-runs of one character) and spans inside a base span are left out. ``redact`` leaves
-out only the windows that touch a placeholder, so a secret beside one is found.
+threshold; windows above it merge into spans. Left out are candidates of an allowed
+form (identifiers in the usual dashed form, digests named as such), the windows that touch
+a placeholder or a long run of one character (a secret beside one is found), and spans
+inside a base span.
 
 Positions come from the pieces between matches: Java's ``split`` and
 ``regexp_extract_all`` use the same leftmost non-overlapping matches, so running
@@ -47,16 +47,11 @@ WINDOW = 24
 HEX_BITS, BASE64_BITS = 3.0, 3.8
 HEX_ALPHABET = "0123456789abcdef"
 BASE64_ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
-#: Candidates that match any of these are not secrets.
+#: The allow list in two parts: forms of a whole candidate, and words that excuse only the windows that touch them.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)-",
-    r"(?i)(example|placeholder|changeme|dummy|sample|redacted|your_?key)",
-    r"(.)\1{7}",
-    r"(0123456789|abcdefghij|ABCDEFGHIJ)",
 )
-#: The same list in two parts: forms of a whole candidate, and words that excuse only the windows that touch them.
-ALLOW_WHOLE = ALLOW[:2]
 ALLOW_WORDS = r"(?i:example|placeholder|changeme|dummy|sample|redacted|your_?key)|(.)\1{7,}|0123456789|abcdefghij|ABCDEFGHIJ"
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
@@ -107,38 +102,41 @@ def _base_spans(text: Column) -> Column:
 def window_spans(text: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
     """Merged (first, last) ranges of the windows of ``text`` whose entropy exceeds ``bits``.
 
-    ``last`` is exclusive and counts from the candidate's own start.
+    ``last`` is exclusive and counts from the candidate's own start. The fold walks
+    an array of (entering, leaving) characters, which is made once, so each step costs the
+    same however long the text.
     """
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
     f = lambda n: F.element_at(weight, n + 1)
-    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
     # Characters outside the alphabet (- and _) share the first slot.
-    counts = F.array_repeat(F.lit(0), len(alphabet) + 1)
-    start = F.struct(counts.alias("counts"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-
-    def step(s, i):
-        enter = F.element_at(codes, i)
-        leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-        n_in = F.element_at(s.counts, enter + 1)
-        n_out = F.when(leave >= 0, F.element_at(s.counts, F.greatest(leave, F.lit(0)) + 1)).otherwise(F.lit(0))
-        moved = F.transform(s.counts, lambda n, k: n + (k == enter).cast("int") - (k == leave).cast("int"))
-        change = f(n_in + 1) - f(n_in) + F.when(leave >= 0, f(n_out - 1) - f(n_out)).otherwise(0.0)
-        total = s["sum"] + F.when(enter == leave, 0.0).otherwise(change)
+    codes = lambda t: F.transform(F.split(t, ""), lambda c: F.instr(F.lit(alphabet), c))
+    none = F.array_repeat(F.lit(-1), window)
+    moves = F.zip_with(codes(text), F.concat(none, codes(text)), lambda x, y: F.struct(x.alias("enter"), y.alias("leave")))
+    moves = F.slice(moves, F.lit(1), F.length(text))
+    span = "struct<a:int,b:int>"
+    start = F.struct(
+        F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
+        F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b")).cast(span).alias("last"), F.array().cast(f"array<{span}>").alias("done"),
+    )
+
+    def step(s, m):
+        i = s.i + 1
+        n_in = F.element_at(s.counts, m.enter + 1)
+        n_out = F.when(m.leave >= 0, F.element_at(s.counts, F.greatest(m.leave, F.lit(0)) + 1)).otherwise(F.lit(0))
+        moved = F.transform(s.counts, lambda n, k: n + (k == m.enter).cast("int") - (k == m.leave).cast("int"))
+        change = f(n_in + 1) - f(n_in) + F.when(m.leave >= 0, f(n_out - 1) - f(n_out)).otherwise(0.0)
+        total = s["sum"] + F.when(m.enter == m.leave, 0.0).otherwise(change)
         # A window at the very threshold is not above it, however its sum was rounded.
         high = (i >= window) & (F.lit(math.log2(window)) - total / window > bits + 1e-9)
-        a = F.greatest(i - window, F.lit(0))
-        open_ = F.size(s.spans) > 0
-        tail = F.element_at(s.spans, F.when(open_, -1).otherwise(F.lit(None).cast("int")))
-        joins = F.coalesce(open_ & (tail.b >= a), F.lit(False))
-        whole = F.struct(tail.a.alias("a"), i.alias("b"))
-        spans = (
-            F.when(high & joins, F.concat(F.slice(s.spans, 1, F.greatest(F.size(s.spans) - 1, F.lit(0))), F.array(whole)))
-            .when(high, F.concat(s.spans, F.array(F.struct(a.alias("a"), i.alias("b")))))
-            .otherwise(s.spans)
-        )
-        return F.struct(moved.alias("counts"), total.alias("sum"), spans.alias("spans"))
+        a = i - window
+        joins = s["last"].b >= a
+        fresh = high & ~joins
+        last = F.struct(F.when(fresh, a).otherwise(s["last"].a).alias("a"), F.when(high, i).otherwise(s["last"].b).alias("b"))
+        done = F.when(fresh & (s["last"].b >= 0), F.concat(s.done, F.array(s["last"]))).otherwise(s.done)
+        return F.struct(moved.alias("counts"), total.alias("sum"), i.alias("i"), last.alias("last"), done.alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s.spans)
+    whole = lambda s: F.when(s["last"].b >= 0, F.concat(s.done, F.array(s["last"]))).otherwise(s.done)
+    return F.aggregate(moves, start, step, whole)
 
 
 def _pieces(candidate: Column, words: str) -> Column:
@@ -149,29 +147,26 @@ def _pieces(candidate: Column, words: str) -> Column:
     return F.zip_with(_starts(lengths), parts, lambda a, p: F.struct(a.alias("start"), p.alias("text")))
 
 
-def _entropy_spans(text: Column, allow: tuple[str, ...], words: str | None = None) -> Column:
-    """Spans of both classes over the candidates of ``text``; with ``words``, only windows that touch one are left out."""
+def _entropy_spans(text: Column, allow: tuple[str, ...], words: str) -> Column:
+    """Spans of both classes over the candidates of ``text``."""
     candidates = matches(text, F.col(_MATCHES["candidate"]), CANDIDATE)
     found = F.filter(candidates, lambda m: m.text.rlike("[0-9]") & m.text.rlike("[A-Za-z]") & ~_allowed(m.text, allow))
 
     def measured(m):
-        # A piece has the class of its whole candidate.
-        is_hex = m.text.rlike("^[0-9a-fA-F]+$") if words is None else m.is_hex
         low = window_spans(F.lower(m.text), HEX_ALPHABET, HEX_BITS)
         mixed = window_spans(m.text, BASE64_ALPHABET, BASE64_BITS)
-        rank = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
+        rank = F.when(m.is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
         return F.transform(
-            F.when(is_hex, low).otherwise(mixed),
+            F.when(m.is_hex, low).otherwise(mixed),
             lambda w: F.struct((m.start + w.a).alias("start"), rank.alias("rank"), (m.start + w.b).alias("end")),
         ).cast(_SPAN)
 
-    if words is not None:
-        cut = lambda m: F.transform(
-            F.filter(_pieces(m.text, words), lambda p: F.length(p.text) >= WINDOW),
-            lambda p: F.struct((m.start + p.start).alias("start"), p.text.alias("text"), m.text.rlike("^[0-9a-fA-F]+$").alias("is_hex")),
-        )
-        found = F.flatten(F.transform(found, cut))
-    return F.flatten(F.transform(found, measured))
+    # What lies between allowed words is measured on its own; a piece has the class of its whole candidate.
+    cut = lambda m: F.transform(
+        F.filter(_pieces(m.text, words), lambda p: F.length(p.text) >= WINDOW),
+        lambda p: F.struct((m.start + p.start).alias("start"), p.text.alias("text"), m.text.rlike("^[0-9a-fA-F]+$").alias("is_hex")),
+    )
+    return F.flatten(F.transform(F.flatten(F.transform(found, cut)), measured))
 
 
 def _allowed(candidate: Column, allow: tuple[str, ...]) -> Column:
@@ -181,7 +176,7 @@ def _allowed(candidate: Column, allow: tuple[str, ...]) -> Column:
     return found
 
 
-def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, words: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, words: str = ALLOW_WORDS) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (start, rank, end); rank points into ``KINDS``.
 
     A candidate that matches ``allow`` is left out whole; of one that holds a match of ``words``, only the windows that touch it.
@@ -205,7 +200,7 @@ def count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
 
 
-def redact(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW_WHOLE, words: str | None = ALLOW_WORDS) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, words: str = ALLOW_WORDS) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``[kind]``; overlapping spans become one."""
     scanned = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("_row")).select("_row", F.col(text))
     found = scan(scanned, text, allow, words)

@@ -33,7 +33,10 @@ def spans(text):
         if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(re.search(p, c) for p in S.ALLOW):
             continue
         is_hex = re.fullmatch("[0-9a-fA-F]+", c)
-        found = windows(c.lower(), S.HEX_ALPHABET, S.HEX_BITS) if is_hex else windows(c, S.BASE64_ALPHABET, S.BASE64_BITS)
-        more += [(m.start() + a, 3 if is_hex else 4, m.start() + b) for a, b in found]
+        taken = [m.span() for m in re.finditer(S.ALLOW_WORDS, c)]
+        for low, high in zip([0, *(b for _, b in taken)], [*(a for a, _ in taken), len(c)]):
+            part = c[low:high]
+            found = windows(part.lower(), S.HEX_ALPHABET, S.HEX_BITS) if is_hex else windows(part, S.BASE64_ALPHABET, S.BASE64_BITS)
+            more += [(m.start() + low + a, 3 if is_hex else 4, m.start() + low + b) for a, b in found]
     more = [e for e in more if not any(b[0] <= e[0] and b[2] >= e[2] for b in base)]
     return sorted(base), sorted(base + more)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from auditlark.llm import secrets as S
 
@@ -26,9 +27,28 @@ def test_cases(spark):
     ])
 
 
+def test_allowed_words_excuse_only_what_they_touch(spark):
+    key = "tB9xQ2mZ7kLp0WvR4sYcD8nHq1"
+    check(spark, [
+        f"/srv/samples/deploy/{key}", f"MIIEpAIB{'A' * 8}{key}/x", f"{key}EXAMPLE{key}0123456789{key}", f"{key}{'=' * 9}", f"{'A' * 60}9", f"{key[:23]}sample{key[:24]}",
+        f"{'0' * 9}{'1b9d6bcd4bbfd4b2d9b5dab8dfbbd4'}", f"-{'_' * 8}-{key}-{'-' * 8}", f"abcdefghij{key}",
+    ])
+
+
+def test_a_candidate_of_a_hundred_thousand_characters(spark):
+    rng = random.Random(11)
+    blob = "".join(rng.choice(S.BASE64_ALPHABET) for _ in range(50_000))
+    dull = "".join(rng.choice("ab1") for _ in range(100)) * 500
+    text = f"key {blob}{dull} and {'0a' * 50_000}"
+    S.scan(spark.createDataFrame([(0, "warm " + blob[:40])], "doc_id long, text string")).collect()
+    start = time.perf_counter()
+    check(spark, [text])
+    assert time.perf_counter() - start < 60
+
+
 def test_random(spark):
     rng = random.Random(3)
-    parts = ["password", "token", "API_KEY", "=", ": ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0f3a", "deadbeef" * 4, " ", "\n", "é", "𝄞", "x9Q/", "-"]
+    parts = ["password", "token", "API_KEY", "=", ": ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0f3a", "deadbeef" * 4, " ", "\n", "é", "𝄞", "x9Q/", "-", "sample", "AAAAAAAAA", "0123456789", "tB9xQ2mZ7kLp0WvR4sYcD8nHq1"]
     check(spark, ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(300)])
 
 
