@@ -197,23 +197,24 @@ def _mark(n: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles."""
-    v = F.col(vector).cast("array<double>")
+    """(vec_id, v): the vectors that take part; components stay as wide as they are and are computed on as doubles."""
+    v = F.col(vector)
+    kind = rows.schema[vector].dataType.simpleString()
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     found = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)))
     # Negative zeros equal zeros, also as grouping keys.
-    return found.select(F.col("vec_id").cast("long"), F.transform(v, lambda x: x + 0.0).alias("v"))
+    return found.select(F.col("vec_id").cast("long"), F.transform(v, lambda x: x + 0.0).cast(kind).alias("v"))
 
 
 def entries(vectors: DataFrame, k: int) -> DataFrame:
     """(v, ids): distinct vectors, each with its ``k + 1`` smallest ids in order."""
     order = Window.partitionBy("v").orderBy("vec_id")
-    least = vectors.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-    return least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    least = vectors.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= k + 1)
+    return least.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
 def nearest_pivot(rows: DataFrame, pivots: dict[int, np.ndarray], parent: str | None, out: str) -> DataFrame:
@@ -250,7 +251,7 @@ class Layout:
     def __init__(self, rows: DataFrame):
         n = rows.count()
         chosen = rows.orderBy(F.xxhash64("v"), "v").limit(max(1, min(PIVOTS, -(-n // SHARD)))).collect()
-        self.first = {0: np.array([r.v for r in chosen])}
+        self.first = {0: np.array([r.v for r in chosen], np.float64)}
         placed = nearest_pivot(rows, self.first, None, "area")
         sizes = placed.groupBy("area").count().collect()
         wanted = {r.area: min(PIVOTS, -(-r["count"] // SHARD)) for r in sizes if r["count"] > 2 * SHARD}
@@ -262,7 +263,7 @@ class Layout:
             found: dict[int, list] = {}
             for r in drawn.select("area", "v").toLocalIterator():
                 found.setdefault(r.area, []).append(r.v)
-            self.second = {area: np.array(x) for area, x in found.items()}
+            self.second = {area: np.array(x, np.float64) for area, x in found.items()}
         placed = materialize(nearest_pivot(placed, self.second or self.first, "area" if self.second else None, "spot"))
         # At most PIVOTS x PIVOTS rows; only shards still crowded are cut at quantiles of their distances.
         crowded = placed.groupBy("area", "spot").agg(F.count("*").alias("n"), F.percentile_approx("gap", [i / 64 for i in range(1, 64)]).alias("at"))
