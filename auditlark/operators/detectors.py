@@ -59,11 +59,11 @@ def with_pattern(hits: DataFrame) -> DataFrame:
 
 def bruteforce_windows(
     events: DataFrame, *, keys: tuple[str, ...] = ("src_ip", "user"), window_s: int = 60, threshold: int = 10,
-    slice_s: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Failed logins whose window holds ``threshold`` failures; ``nth_us`` tripped the rule."""
     fails = events.where("event = 'AUTH_FAIL'")
-    state = sliding_state(fails, keys, window_s, first=True, nth=threshold, slice_s=slice_s)
+    state = sliding_state(fails, keys, window_s, first=True, nth=threshold, hot_rows=hot_rows)
     return state.where(F.col("n") >= threshold).withColumn("last_us", F.col("ts_us"))
 
 
@@ -85,12 +85,12 @@ def active_attacks(hits: DataFrame, keys: tuple[str, ...] = ("src_ip", "user"))
 
 def password_spray(
     events: DataFrame, *, ip: str = "src_ip", window_s: int = 120, min_users: int = 5, min_fails: int = 8,
-    max_per_user: int = 3, slice_s: int | None = None,
+    max_per_user: int = 3, hot_rows: int | None = None,
 ) -> DataFrame:
     fails = events.where((F.col("event") == "AUTH_FAIL") & ~F.col(ip).isin("", "0.0.0.0"))
     state = sliding_state(
         fails, [ip], window_s, distinct={"n_users": "user"}, over={"n_over": Over("user", max_per_user)},
-        slice_s=slice_s,
+        hot_rows=hot_rows,
     )
     return state.where(
         (F.col("n_users") >= min_users) & (F.col("n") >= min_fails) & (F.col("n_over") == 0)
@@ -98,15 +98,15 @@ def password_spray(
 
 
 def distributed_bruteforce(
-    events: DataFrame, *, window_s: int = 300, min_ips: int = 5, min_fails: int = 10, slice_s: int | None = None
+    events: DataFrame, *, window_s: int = 300, min_ips: int = 5, min_fails: int = 10, hot_rows: int | None = None
 ) -> DataFrame:
     fails = events.where((F.col("event") == "AUTH_FAIL") & ~F.col("user").isin("", "unknown"))
-    state = sliding_state(fails, ["user"], window_s, distinct={"n_ips": "src_ip"}, slice_s=slice_s)
+    state = sliding_state(fails, ["user"], window_s, distinct={"n_ips": "src_ip"}, hot_rows=hot_rows)
     return state.where((F.col("n_ips") >= min_ips) & (F.col("n") >= min_fails))
 
 
 def impossible_travel(
-    events: DataFrame, *, window_s: int = 900, min_nets: int = 2, slice_s: int | None = None
+    events: DataFrame, *, window_s: int = 900, min_nets: int = 2, hot_rows: int | None = None
 ) -> DataFrame:
     """Logins of one user from several /16 networks inside the window; 10.* is internal."""
     logins = events.where(
@@ -115,16 +115,16 @@ def impossible_travel(
         & (F.col("src_ip") != "")
         & ~F.col("src_ip").startswith("10.")
     ).withColumn("net16", F.substring_index("src_ip", ".", 2))
-    state = sliding_state(logins, ["user"], window_s, distinct={"n_nets": "net16"}, slice_s=slice_s)
+    state = sliding_state(logins, ["user"], window_s, distinct={"n_nets": "net16"}, hot_rows=hot_rows)
     return state.where(F.col("n_nets") >= min_nets)
 
 
 def exfil_bursts(
     events: DataFrame, *, window_s: int = 120, threshold: int = 20, keys: tuple[str, ...] = ("src_ip",),
-    slice_s: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     reads = scanned(events).where(F.col("msg").rlike(R.EXFIL_REGEX))
-    return sliding_state(reads, list(keys), window_s, slice_s=slice_s).where(F.col("n") >= threshold)
+    return sliding_state(reads, list(keys), window_s, hot_rows=hot_rows).where(F.col("n") >= threshold)
 
 
 def telemetry_gap(

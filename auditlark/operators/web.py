@@ -38,11 +38,11 @@ def site_hits(pattern_hits: DataFrame, owasp_hits: DataFrame, sites: DataFrame)
 
 def auto_blocks(
     hits: DataFrame, *, window_s: int = BLOCK_WINDOW_S, threshold: int = BLOCK_THRESHOLD,
-    unblocks: DataFrame | None = None, slice_s: int | None = None,
+    unblocks: DataFrame | None = None, hot_rows: int | None = None,
 ) -> DataFrame:
     """First crossing per (site, source); an unblock starts a new episode."""
     keys = ["site_id", "site", "src_ip"]
-    crossed = sliding_state(hits, keys, window_s, slice_s=slice_s).where(F.col("n") >= threshold)
+    crossed = sliding_state(hits, keys, window_s, hot_rows=hot_rows).where(F.col("n") >= threshold)
     episode_keys = ["site_id", "src_ip"]
     if unblocks is not None:
         marks = unblocks.select("site_id", "src_ip", F.col("unblocked_us").alias("ts_us"), F.lit(1).alias("_u"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlark.operators.stats import exact_median, ewma_spikes
-from auditlark.operators.windows import Over, Total, row_blocks, running_totals, sliding_state
+from auditlark.operators.windows import Over, Total, carried, find_slices, row_blocks, running_totals, sliding_state
 
 US = 1_000_000
 
@@ -20,15 +20,16 @@ def random_rows(seed, n=300, span=400):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_sliding_state_equals_replay(spark, seed):
+@pytest.mark.parametrize("hot_rows", [10, 1_000])
+@pytest.mark.parametrize("window", [30, 2_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sliding_state_equals_replay(spark, seed, window, hot_rows):
     rows = random_rows(seed)
-    window = 30
     df = spark.createDataFrame(rows, "event_id long, ts_us long, ip string, user string")
     got = {
         r.event_id: (r.n, r.users, r.over > 0, r.first_us, r.nth_us)
         for r in sliding_state(
-            df, ["ip"], window, distinct={"users": "user"}, over={"over": Over("user", 3)}, first=True, nth=3, slice_s=40
+            df, ["ip"], window, distinct={"users": "user"}, over={"over": Over("user", 3)}, first=True, nth=3, hot_rows=hot_rows
         ).collect()
     }
     assert len(got) == len(rows)
@@ -42,14 +43,31 @@ def test_sliding_state_equals_replay(spark, seed):
             assert got[event_id][4] == third
 
 
-def test_sliding_state_does_not_depend_on_slices(spark):
-    df = spark.createDataFrame(random_rows(9), "event_id long, ts_us long, ip string, user string")
-
-    def run(slice_s):
-        out = sliding_state(df, ["ip"], 25, distinct={"users": "user"}, over={"o": Over("user", 2)}, slice_s=slice_s)
-        return sorted(out.select("event_id", "n", "users", "o").collect())
-
-    assert run(25) == run(100) == run(100_000)
+def test_one_key_in_one_window_is_many_even_tasks(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(5_000) * US, "ip", f"u{rng.randrange(3)}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "event_id long, ts_us long, ip string, user string")
+    slices = find_slices(df, ["ip"], hot_rows=100)
+    sizes = [r["count"] for r in slices.cut(df, "ts_us").groupBy("_slice").count().collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) >= tasks and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    out = sliding_state(df, ["ip"], 10_000, distinct={"users": "user"}, first=True, hot_rows=100)
+    upto = Counter(ts for _, ts, _, _ in rows)
+    n, total = {}, 0
+    for ts in sorted(upto):
+        total += upto[ts]
+        n[ts] = total
+    oldest = min(upto)
+    for r in out.collect():
+        assert (r.n, r.first_us) == (n[r.ts_us], oldest) and 1 <= r.users <= 3
+
+
+def test_carried_rows_reach_over_empty_slices(spark):
+    df = spark.createDataFrame([("k", 1, 10, 1), ("k", 1, 20, 2), ("k", 3, 50, 3), ("k", 4, 60, 4)], "k string, _slice int, ts long, id int")
+    before = carried(df, ["k"], ["ts"], 2).orderBy("_slice", "ts").collect()
+    assert [(r._slice, r.id) for r in before] == [(3, 1), (3, 2), (4, 2), (4, 3)]
+    after = carried(df, ["k"], ["ts"], 3, back=True).orderBy("_slice", "ts").collect()
+    assert [(r._slice, r.id) for r in after] == [(1, 3), (1, 4), (3, 4)]
 
 
 @pytest.mark.parametrize("hot_rows", [None, 20, 1000])
