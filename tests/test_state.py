@@ -16,6 +16,7 @@ from auditlark.operators import intel as I
 from auditlark.operators import ledger as L
 from auditlark.operators import sessions as S
 from auditlark.operators import web as W
+from auditlark.operators.windows import find_slices
 
 US = 1_000_000
 
@@ -157,15 +158,24 @@ def replay_cases(steps):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [7, 50_000])
-def test_case_replay_over_blocks(spark, block_rows):
+@pytest.mark.parametrize("block_rows,hot_rows", [(3, 20), (7, None), (256, None)])
+def test_case_replay_over_blocks(spark, monkeypatch, block_rows, hot_rows):
+    monkeypatch.setattr(folds, "CHAINED", 4)
     rng = random.Random(8)
     steps = [(rng.randrange(3), rng.randrange(10_000) * US, i, rng.choice(R.CASE_STATES)) for i in range(400)]
     df = spark.createDataFrame(steps, "case_id long, ts_us long, event_id long, to_status string")
-    got = {r.event_id: (r.from_status, r.legal, r.status) for r in folds.case_transitions(df, block_rows=block_rows).collect()}
+    got = {r.event_id: (r.from_status, r.legal, r.status) for r in folds.case_transitions(df, block_rows=block_rows, hot_rows=hot_rows).collect()}
     assert got == replay_cases(steps)
 
 
+def test_case_replay_stays_in_the_engine(spark):
+    df = spark.createDataFrame([(1, 0, 1, "triage"), (1, 1, 2, None), (1, 2, 3, "odd")], "case_id long, ts_us long, event_id long, to_status string")
+    out = folds.case_transitions(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    assert [(r.legal, r.status) for r in out.orderBy("step").collect()] == [(True, "triage"), (False, "triage"), (False, "triage")]
+
+
 def test_case_current(spark):
     cases = spark.createDataFrame([(1, 0), (2, 0)], "case_id long, created_us long")
     steps = spark.createDataFrame([(1, 5, 1, "triage"), (1, 6, 2, "closed")], "case_id long, ts_us long, event_id long, to_status string")
@@ -174,12 +184,13 @@ def test_case_current(spark):
     assert got == {1: ("triage", 5, ["contained"]), 2: ("open", 9, ["triage"])}
 
 
+@pytest.mark.parametrize("hot_rows", [10, None])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_suppression_equals_replay(spark, seed):
+def test_suppression_equals_replay(spark, seed, hot_rows):
     rng = random.Random(seed)
     rows = [(i, rng.randrange(20_000) * US + rng.randrange(US), f"k{rng.randrange(2)}") for i in range(300)]
     df = spark.createDataFrame(rows, "event_id long, ts_us long, k string")
-    got = {r.event_id: r.status for r in folds.suppress_repeats(df, ["k"]).collect()}
+    got = {r.event_id: r.status for r in folds.suppress_repeats(df, ["k"], hot_rows=hot_rows).collect()}
     last = {}
     for i, ts, k in sorted(rows, key=lambda r: (r[1], r[0])):
         second = ts // US
@@ -188,6 +199,14 @@ def test_suppression_equals_replay(spark, seed):
         assert got[i] == ("sent" if send else "deduped")
 
 
+def test_an_unbroken_run_of_a_million_alerts(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("event_id"), (F.col("id") * US).alias("ts_us"), F.lit("one").alias("k"))
+    slices = find_slices(df, ["k"], hot_rows=10_000)
+    assert len(slices.borders) == 1 and len(next(iter(slices.borders.values()))) >= 3
+    out = folds.suppress_repeats(df, ["k"], hot_rows=10_000).where("status = 'sent'").agg(F.count("*"), F.min("event_id"), F.max("event_id"), F.sum(F.col("event_id") % 901)).first()
+    assert tuple(out) == (1110, 0, 901 * 1109, 0)
+
+
 def test_dispatch_routes_and_log(spark):
     both = {"email": ["a", "b"], "webhook": ["w"]}
     rows = [(1, 0, "Critical", "x", both), (2, 900 * US, "Critical", "x", both), (3, 901 * US, "Critical", "x", both),
