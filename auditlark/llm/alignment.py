@@ -34,6 +34,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ from .bpe import byte_symbols
 CHUNK = 1 << 16
 FAN = 16
 BLOCK_LINKS = 1 << 22
-CACHE_UNITS = 200_000
+CACHE_UNITS = 300_000
 CACHED_LENGTH = 64
 SLICE_CHARS = 1 << 20
 
@@ -85,6 +86,7 @@ class Encoders:
         self.a_bytes = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [self._piece(p) for p in pieces]
+        self.a_lengths, self.b_lengths = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
         if any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{piece_file}: pieces that cross a break")
         if n > 1 << _SHIFT or len(pieces) > 1 << 15:
@@ -95,48 +97,46 @@ class Encoders:
         found = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]) -> list[Unit]:
-        """Both encodings of texts that start with a break."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+    def encode(self, units: list[str]) -> tuple[np.ndarray, list[list[int]], list[list[int]], np.ndarray]:
+        """(valid, ids of A, ids of B, bytes) of texts that start with a break; valid where both spell the text."""
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         # A line end in front takes the blank that the model adds; it stays a token of its own.
         b = [ids[2:] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-        return [self._unit(u.encode(), x, y) for u, x, y in zip(units, a, b)]
+        raw = [u.encode() for u in units]
+        spelt = zip(raw, (b"".join([self.a_bytes[i] for i in x]) for x in a), (b"".join([self.b_bytes[i] for i in x]) for x in b))
+        return np.array([t == x == y for t, x, y in spelt], bool), a, b, np.array([len(t) for t in raw], np.int64)
 
-    def _unit(self, text: bytes, a: list[int], b: list[int]) -> Unit:
-        ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        valid = b"".join(ta) == text and b"".join(tb) == text
-        return Unit(np.array(a, np.int64), np.cumsum([len(t) for t in ta], dtype=np.int64), np.array(b, np.int64), np.cumsum([len(t) for t in tb], dtype=np.int64), valid)
+    def ends(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, their byte ends, ids of B, their byte ends) of neighbouring texts."""
+        x, y = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        return x, np.cumsum(self.a_lengths[x]), y, np.cumsum(self.b_lengths[y])
 
 
 @dataclass
-class Unit:
-    """Tokens of a text and their byte ends; the rest follows when first asked for."""
+class Aligned:
+    """Groups and links of tokens that start and end together: where they end, the groups as text, the linked pairs."""
 
-    a: np.ndarray
-    a_ends: np.ndarray
-    b: np.ndarray
-    b_ends: np.ndarray
-    valid: bool
-    groups: str = field(init=False, default="")
-    n_groups: int = field(init=False, default=0)
-    pairs: np.ndarray = field(init=False)
+    common: np.ndarray
+    groups: list[str]
+    ends: np.ndarray
+    pairs: np.ndarray
 
-    def __post_init__(self):
-        self.pairs = np.zeros(0, np.int32)
-        if self.valid and len(self.a):
-            self.groups, self.n_groups, self.pairs = closed(self.a, self.a_ends, self.b, self.b_ends)
+
+def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Aligned:
+    ends = np.unique(np.concatenate([a_ends, b_ends]))
+    i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    shared = (a_ends[i] == ends) & (b_ends[j] == ends)
+    names = []
+    for ids, at in ((a, i), (b, j)):
+        shown, cut = list(map(str, ids.tolist())), [0, *(at[shared] + 1).tolist()]
+        names.append([shown[x] if y - x == 1 else ",".join(shown[x:y]) for x, y in zip(cut, cut[1:])])
+    return Aligned(ends[shared], [f"{x}|{y}" for x, y in zip(*names)], ends, (b[j] << _SHIFT | a[i]).astype(np.int32))
 
 
 def closed(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """(groups as text, their number, linked pairs) of tokens that start and end together."""
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    ends = np.union1d(a_ends, b_ends)
-    pairs = (b[np.searchsorted(b_ends, ends)] << _SHIFT | a[np.searchsorted(a_ends, ends)]).astype(np.int32)
-    names = []
-    for ids, cut in ((a, np.searchsorted(a_ends, common) + 1), (b, np.searchsorted(b_ends, common) + 1)):
-        shown, at = list(map(str, ids.tolist())), [0, *cut.tolist()]
-        names.append([",".join(shown[i:j]) for i, j in zip(at, at[1:])])
-    return ";".join(f"{x}|{y}" for x, y in zip(*names)), len(common), pairs
+    """(groups as text, their number, linked pairs)."""
+    found = aligned(a, a_ends, b, b_ends)
+    return ";".join(found.groups), len(found.groups), found.pairs
 
 
 _NONE = np.zeros(0, np.int64)
@@ -189,15 +189,12 @@ class Fragment:
         return Fragment(cut=True).then(self)
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
         numbers = np.array([self.cut, self.n_body, self.n_a, self.n_b, self.valid], np.int64)
-        np.savez(out, *self.head, *self.tail, self.pairs, numbers, np.frombuffer(self.body.encode(), np.uint8))
-        return out.getvalue()
+        return _pack(*self.head, *self.tail, self.pairs, numbers, np.frombuffer(self.body.encode(), np.uint8))
 
     @classmethod
     def load(cls, data: bytes) -> Fragment:
-        with np.load(io.BytesIO(data)) as parts:
-            p = [parts[name] for name in parts.files]
+        p = _unpack(data)
         cut, n_body, n_a, n_b, valid = p[9].tolist()
         return cls(tuple(p[:4]), bool(cut), p[10].tobytes().decode(), n_body, p[8], tuple(p[4:8]), n_a, n_b, bool(valid))
 
@@ -222,69 +219,136 @@ def cut_ranges(data: bytes, chunk: int) -> Iterator[tuple[bytes, int, int, int]]
         yield data[first:last], first, start, end
 
 
-class Reader:
-    """Encodes texts of a task and collects its blocks of links."""
+class Blocks:
+    """Rows of links, each of about ``BLOCK_LINKS``: distinct pairs with counts, and how units and documents are made of them."""
 
-    def __init__(self, encoders: Encoders, task: int):
-        self.encoders, self.task, self.made = encoders, task, 0
-        self.known: dict[str, Unit] = {}
+    def __init__(self, task: int):
+        self.task, self.made = task, 0
         self.clear()
 
     def clear(self) -> None:
-        self.local: dict[str, int] = {}
-        self.units: list[np.ndarray] = []
-        self.docs: list[tuple[int, np.ndarray]] = []
+        self.rids: list[np.ndarray] = []
+        self.n_units: list[np.ndarray] = []
+        self.of_doc: list[np.ndarray] = []
         self.links = 0
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known = {u: self.known[u] for u in units if u in self.known}
-        self.known |= zip(new, self.encoders.encode(new))
-
-    def forget(self, units: set[str]) -> None:
-        """Long units are not kept: they hardly come again."""
-        for u in units:
-            if len(u) > CACHED_LENGTH:
-                del self.known[u]
-
-    def add(self, rid: int, units: list[str]) -> None:
-        """Links of a document, unit by unit."""
-        local, own = self.local, []
-        for u in units:
-            i = local.get(u)
-            if i is None:
-                i = local[u] = len(self.units)
-                self.units.append(self.known[u].pairs)
-            own.append(i)
-        self.docs.append((rid, np.array(own, np.int32)))
-
-    def add_pairs(self, rid: int, pairs: np.ndarray) -> None:
-        self.docs.append((rid, np.array([len(self.units)], np.int32)))
-        self.units.append(pairs)
-        self.links += len(pairs)
-
-    def full(self) -> bool:
-        return self.links >= BLOCK_LINKS
-
-    def block(self) -> dict | None:
-        """A row of the links collected so far: distinct pairs with counts, and how units and documents are made of them."""
-        if not self.docs:
-            return None
-        sizes = np.array([len(u) for u in self.units])
-        n_units = np.array([len(d) for _, d in self.docs])
-        of_doc = np.concatenate([d for _, d in self.docs])
-        times = np.bincount(of_doc, minlength=len(self.units))
-        pairs, rank = np.unique(np.concatenate(self.units), return_inverse=True)
+    def add(self, rids: np.ndarray, n_units: np.ndarray, of_doc: np.ndarray, links: int) -> None:
+        """Documents as runs of numbers of units."""
+        self.rids.append(rids)
+        self.n_units.append(n_units)
+        self.of_doc.append(of_doc)
+        self.links += links
+
+    def row(self, flat: np.ndarray, starts: np.ndarray) -> list[dict]:
+        """The block of what was added; unit u has the pairs ``flat[starts[u]:starts[u + 1]]``."""
+        if not self.links:
+            return []
+        used, of_doc = np.unique(np.concatenate(self.of_doc), return_inverse=True)
+        sizes = starts[used + 1] - starts[used]
+        at = np.repeat(starts[used] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        pairs, rank = np.unique(flat[at], return_inverse=True)
+        times = np.bincount(of_doc, minlength=len(used))
         counts = np.bincount(rank, weights=np.repeat(times, sizes).astype(np.float64), minlength=len(pairs)).astype(np.int64)
-        out = io.BytesIO()
-        np.savez_compressed(out, rids=np.array([r for r, _ in self.docs], np.int64), n_units=n_units, of_doc=of_doc, sizes=sizes, rank=rank.astype(np.int32))
-        row = {"block": self.task << 24 | self.made, "payload": out.getvalue(), "pairs": pairs, "counts": counts}
+        payload = _pack(np.concatenate(self.rids), np.concatenate(self.n_units), of_doc.astype(np.int32), sizes.astype(np.int32), rank.astype(np.int32))
+        row = {"block": self.task << 24 | self.made, "payload": payload, "pairs": pairs, "counts": counts}
         self.made += 1
         self.clear()
-        return row
+        return [row]
+
+
+def _pack(*parts: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, *parts)
+    data = out.getvalue()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    with np.load(io.BytesIO(raw)) as parts:
+        return [parts[name] for name in parts.files]
 
 
+class Reader:
+    """Encodes texts of a task and remembers the units it has met; unit 0 stands for those that are not valid."""
+
+    def __init__(self, encoders: Encoders, task: int):
+        self.encoders, self.blocks = encoders, Blocks(task)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups = [""]
+        # Tokens of A and B, groups, and end of the pairs of each unit.
+        self.sizes = np.zeros((4, 1), np.int64)
+        self.flat: list[np.ndarray] = []
+
+    def block(self) -> list[dict]:
+        return self.blocks.row(np.concatenate([*self.flat, np.zeros(0, np.int32)]), np.concatenate([[0], self.sizes[3]]))
+
+    def learn(self, units: list[str]) -> None:
+        valid, a, b, lengths = self.encoders.encode(units)
+        self.known |= dict.fromkeys((u for u, ok in zip(units, valid) if not ok), 0)
+        names, a, b = ([x for x, ok in zip(own, valid) if ok] for own in (units, a, b))
+        if not names:
+            return
+        ends = np.cumsum(lengths[valid])
+        found = aligned(*self.encoders.ends(a, b))
+        cut = np.searchsorted(found.common, ends, side="right")
+        links = np.searchsorted(found.ends, ends, side="right")
+        self.known |= zip(names, range(len(self.groups), len(self.groups) + len(names)))
+        self.groups += [";".join(found.groups[x:y]) for x, y in zip([0, *cut.tolist()], cut.tolist())]
+        size = np.array([list(map(len, a)), list(map(len, b)), np.diff(cut, prepend=0), self.sizes[3, -1] + links])
+        self.sizes = np.concatenate([self.sizes, size], 1)
+        self.flat.append(found.pairs)
+
+    def read(self, rows: list[dict]) -> list[dict]:
+        """Result rows of whole documents and fragments of parts, and blocks that are complete."""
+        parts = [self.part(r) for r in rows if r["part"] is not None]
+        rows = [r for r in rows if r["part"] is None]
+        found = [_UNIT.findall(" " + r["text"]) if r["text"] else [] for r in rows]
+        known = self.known
+        new = list({u for units in found for u in units if u not in known})
+        out = []
+        if len(known) + len(new) > CACHE_UNITS:
+            out = self.block()
+            self.forget()
+            known = self.known
+            new = list({u for units in found for u in units})
+        self.learn(new)
+        docs = [[known[u] for u in units] for units in found]
+        n = np.array([len(d) for d in docs], np.int64)
+        flat = np.fromiter(chain.from_iterable(docs), np.int64, int(n.sum()))
+        first = np.cumsum(n) - n
+        total = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(self.sizes[:3, flat], 1)], 1)
+        n_a, n_b, n_groups = total[:, first + n] - total[:, first]
+        broken = np.concatenate([[0], np.cumsum(flat == 0)])
+        ok = (n > 0) & (broken[first + n] == broken[first])
+        groups = self.groups
+        for r, d, good, x, y, z in zip(rows, docs, ok.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist()):
+            own = {"n_a": x, "n_b": y, "n_groups": z, "groups_sha256": _digest(";".join([groups[u] for u in d]))} if good else _EMPTY
+            out.append({"rid": r["rid"], "doc_id": r["doc_id"]} | own)
+        rids = np.array([r["rid"] for r in rows], np.int64)
+        self.blocks.add(rids[ok], n[ok], flat[np.repeat(ok, n)], int((n_a + n_b - n_groups)[ok].sum()))
+        if self.blocks.links >= BLOCK_LINKS:
+            out += self.block()
+        for u in new:
+            if len(u) > CACHED_LENGTH:
+                del known[u]  # hardly comes again
+        return out + parts
+
+    def part(self, row: dict) -> dict:
+        """The fragment of a range, from the units around it."""
+        valid, a, b, _ = self.encoders.encode(_UNIT.findall(row["text"]))
+        whole = Fragment(valid=False)
+        if valid.all():
+            x, x_ends, y, y_ends = self.encoders.ends(a, b)
+            keep = [(e + row["first"] > row["start"]) & (e + row["first"] <= row["stop"]) for e in (x_ends, y_ends)]
+            whole = Fragment.of(x[keep[0]], x_ends[keep[0]] + row["first"], y[keep[1]], y_ends[keep[1]] + row["first"])
+        return {"rid": row["rid"], "doc_id": row["doc_id"], "part": row["part"], "fragment": whole.dump()}
+
+
+_EMPTY = {"n_a": 0, "n_b": 0, "n_groups": 0, "groups_sha256": ""}
 _ROWS = pa.schema([
     ("rid", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("fragment", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("block", pa.int64()), ("payload", pa.binary()), ("pairs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
@@ -308,15 +372,8 @@ def read_texts(chunks: DataFrame, files: tuple[str, str]) -> DataFrame:
         reader = Reader(Encoders(*files), TaskContext.get().partitionId())
         for batch in batches:
             for rows in _slices(batch):
-                out = []
-                for group in _documents(reader, rows):
-                    out.append(group)
-                    if reader.full():
-                        out.append(reader.block())
-                yield pa.RecordBatch.from_pylist(out, _ROWS)
-        last = reader.block()
-        if last:
-            yield pa.RecordBatch.from_pylist([last], _ROWS)
+                yield pa.RecordBatch.from_pylist(reader.read(rows), _ROWS)
+        yield pa.RecordBatch.from_pylist(reader.block(), _ROWS)
 
     return chunks.select("rid", "doc_id", "part", "text", "first", "start", "stop").mapInArrow(run, _DDL)
 
@@ -333,41 +390,6 @@ def _slices(batch: pa.RecordBatch) -> Iterator[list[dict]]:
         yield rows
 
 
-def _documents(reader: Reader, rows: list[dict]) -> Iterator[dict]:
-    found = [_UNIT.findall(r["text"] if r["part"] is not None else " " + r["text"]) if r["text"] else [] for r in rows]
-    asked = {u for units in found for u in units}
-    reader.learn(asked)
-    known = reader.known
-    for row, names in zip(rows, found):
-        row = {"rid": row["rid"], "doc_id": row["doc_id"], "part": row["part"]} | {k: row[k] for k in ("first", "start", "stop")}
-        units = [known[u] for u in names]
-        valid = all(u.valid for u in units)
-        if row["part"] is not None:
-            yield {"rid": row["rid"], "doc_id": row["doc_id"], "part": row["part"], "fragment": _part(units, row, valid).dump()}
-            continue
-        empty = not (valid and units)
-        n_a, n_b, n_groups = (0, 0, 0) if empty else (sum(len(u.a) for u in units), sum(len(u.b) for u in units), sum(u.n_groups for u in units))
-        if not empty:
-            reader.add(row["rid"], names)
-            reader.links += n_a + n_b - n_groups
-        yield {
-            "rid": row["rid"], "doc_id": row["doc_id"], "n_a": n_a, "n_b": n_b, "n_groups": n_groups,
-            "groups_sha256": "" if empty else _digest(";".join([u.groups for u in units])),
-        }
-    reader.forget(asked)
-
-
-def _part(units: list[Unit], row: dict, valid: bool) -> Fragment:
-    """The fragment of a range, from the units around it."""
-    if not valid:
-        return Fragment(valid=False)
-    at = row["first"] + np.cumsum([0, *(int(u.a_ends[-1]) for u in units)])
-    ids = [np.concatenate([getattr(u, c) for u in units] or [_NONE]) for c in ("a", "b")]
-    ends = [np.concatenate([getattr(u, c) + s for u, s in zip(units, at)] or [_NONE]) for c in ("a_ends", "b_ends")]
-    keep = [(e > row["start"]) & (e <= row["stop"]) for e in ends]
-    return Fragment.of(ids[0][keep[0]], ends[0][keep[0]], ids[1][keep[1]], ends[1][keep[1]])
-
-
 def compose(fragments: DataFrame, levels: int) -> DataFrame:
     """(rid, doc_id, part 0, fragment) of whole documents: neighbours are composed ``FAN`` at a time, level by level."""
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
@@ -386,27 +408,29 @@ def compose(fragments: DataFrame, levels: int) -> DataFrame:
 def finish(composed: DataFrame) -> DataFrame:
     """Rows like those of ``read_texts`` for the composed documents: their results, and blocks of their links."""
     def run(batches):
-        # Negative block numbers keep these apart from those of whole documents.
-        reader = Reader.__new__(Reader)
-        reader.task, reader.made = -1 - TaskContext.get().partitionId(), 0
-        reader.clear()
+        # Negative numbers keep these blocks apart from those of whole documents.
+        blocks, flat, ends = Blocks(-1 - TaskContext.get().partitionId()), [], [0]
+
+        def block() -> list[dict]:
+            out = blocks.row(np.concatenate([*flat, np.zeros(0, np.int32)]), np.array(ends))
+            flat.clear()
+            del ends[1:]
+            return out
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 whole = Fragment.load(row["fragment"]).finished()
-                ok = whole.valid and whole.n_a > 0
-                if ok:
-                    reader.add_pairs(row["rid"], whole.pairs)
-                out = [{
-                    "rid": row["rid"], "doc_id": row["doc_id"], "n_a": whole.n_a if ok else 0, "n_b": whole.n_b if ok else 0,
-                    "n_groups": whole.n_body if ok else 0, "groups_sha256": _digest(whole.body) if ok else "",
-                }]
-                if reader.full():
-                    out.append(reader.block())
-                yield pa.RecordBatch.from_pylist(out, _ROWS)
-        last = reader.block()
-        if last:
-            yield pa.RecordBatch.from_pylist([last], _ROWS)
+                own = _EMPTY
+                if whole.valid and whole.n_a:
+                    # A document is one unit here.
+                    blocks.add(np.array([row["rid"]]), np.array([1]), np.array([len(flat)]), len(whole.pairs))
+                    flat.append(whole.pairs)
+                    ends.append(ends[-1] + len(whole.pairs))
+                    own = {"n_a": whole.n_a, "n_b": whole.n_b, "n_groups": whole.n_body, "groups_sha256": _digest(whole.body)}
+                out = [{"rid": row["rid"], "doc_id": row["doc_id"]} | own]
+                yield pa.RecordBatch.from_pylist(out + (block() if blocks.links >= BLOCK_LINKS else []), _ROWS)
+        yield pa.RecordBatch.from_pylist(block(), _ROWS)
 
     return composed.select("rid", "doc_id", "fragment").mapInArrow(run, _DDL)
 
@@ -438,8 +462,7 @@ def pair_sums(blocks: DataFrame) -> DataFrame:
     def run(counts: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         order = counts["place"].to_numpy().argsort()
         total, best = counts["total"].to_numpy()[order], counts["best"].to_numpy()[order].astype(np.int64)
-        with np.load(io.BytesIO(block["payload"].iloc[0])) as p:
-            rank, sizes, of_doc, n_units, rids = (p[c] for c in ("rank", "sizes", "of_doc", "n_units", "rids"))
+        rids, n_units, of_doc, sizes, rank = _unpack(block["payload"].iloc[0])
         ends, doc_ends = np.cumsum(sizes), np.cumsum(n_units)
         out = {"rid": rids}
         for name, value in (("n_best", best), ("count_sum", total)):
