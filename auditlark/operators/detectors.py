@@ -268,3 +268,11 @@ def behaviour_hits(found: DataFrame, pattern_id: str, matched: Column) -> DataFr
     return found.select(
         "event_id", "ts_us", "user", "src_ip", "host", "asset_class", F.lit(pattern_id).alias("pattern_id"), matched.alias("matched")
     )
+
+
+def gap_hits(gaps: DataFrame, *, bucket_s: int = 60) -> DataFrame:
+    """Telemetry gaps per host as pattern hits, at the end of the silent bucket; no event stands behind them, so their id is -1."""
+    return gaps.select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("bucket_us") + bucket_s * US).alias("ts_us"), F.lit("-").alias("user"), F.lit("-").alias("src_ip"),
+        "host", F.lit(R.CLASS_STANDARD).alias("asset_class"), F.lit("TELEMETRY_GAP").alias("pattern_id"), F.concat(F.lit("host "), "host").alias("matched"),
+    )

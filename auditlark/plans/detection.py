@@ -12,6 +12,9 @@ from .catalog import over_events, query
 
 DAY = 86_400
 
+# Host 4 falls silent on 20 January, and the clock stands at the end of the month.
+SILENT_US, CLOCK_US = 1_705_708_800 * US, 1_706_745_600 * US
+
 # The event table is sparse (a user has at most 17 events in three days), so
 # the registered runs use wider windows than the library defaults.
 PATTERN_ROWS_SQL = "(VALUES " + ", ".join(
@@ -66,15 +69,6 @@ def page_owasp_scan(spark, sf_dir):
     return found.select("page_id", F.array_join("signatures", ",").alias("labels"))
 
 
-@query(over_events(HITS_SQL + """
-SELECT event_id, ts_us, pattern_id, name, owasp, control_id, severity, src_ip, "user", host,
-  left(matched, 120) AS matched FROM dedup"""))
-def pattern_hits(spark, sf_dir):
-    return D.dedup_hits(hits(spark, sf_dir)).select(
-        "event_id", "ts_us", "pattern_id", "name", "owasp", "control_id", "severity", "src_ip", "user", "host", "matched"
-    )
-
-
 BRUTE_SQL = f"""
 , fails AS (
   SELECT *, count(*) OVER w AS n, min(ts_us) OVER w AS first_us, list(ts_us) OVER w AS seen
@@ -154,7 +148,29 @@ def exfil_bursts(spark, sf_dir):
 
 
 # Behavioural detections in the shape of signature hits; the text they are known by is the user or source they speak of.
-BEHAVIOUR_SQL = HITS_SQL + f"""
+GAP_SQL = f"""
+, g_heard AS (SELECT * FROM sec WHERE host <> 'host-4' OR ts_us < {SILENT_US})
+, g_count AS (SELECT host, ts_us // {3600 * US} AS b, count(*) AS c, min(ts_us) AS lo FROM g_heard GROUP BY ALL)
+, g_lim AS (SELECT host, min(lo) AS lo FROM g_count GROUP BY 1)
+, g_cal AS (SELECT host, lo, unnest(range(lo // {3600 * US}, {CLOCK_US // (3600 * US)} + 1)) AS b FROM g_lim)
+, g_rows AS (SELECT g_cal.host, g_cal.lo, g_cal.b, coalesce(g_count.c, 0) AS current,
+   sum(coalesce(g_count.c, 0)) OVER (PARTITION BY g_cal.host ORDER BY g_cal.b ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / 5.0::DOUBLE AS baseline
+   FROM g_cal LEFT JOIN g_count ON g_count.host = g_cal.host AND g_count.b = g_cal.b)
+, gaps AS (SELECT host, b * {3600 * US} AS bucket_us, current, baseline FROM g_rows
+  WHERE lo <= (b - 5) * {3600 * US} AND baseline >= 2.0 AND current < 0.5::DOUBLE * baseline)"""
+
+
+def gaps(spark, sf_dir):
+    heard = sec_events(spark, sf_dir).where((F.col("host") != "host-4") | (F.col("ts_us") < SILENT_US))
+    return D.telemetry_gap(heard, keys=("host",), bucket_s=3600, min_mean=2.0, ratio=0.5, as_of_us=CLOCK_US)
+
+
+@query(over_events(GAP_SQL + " SELECT * FROM gaps"))
+def telemetry_gap(spark, sf_dir):
+    return gaps(spark, sf_dir).select("host", "bucket_us", "current", "baseline")
+
+
+BEHAVE_SQL = GAP_SQL + f"""
 , b_spray AS (SELECT *, count(*) OVER w AS n, count(DISTINCT "user") OVER w AS n_users, max(back) OVER w AS m FROM (
     SELECT *, lag(ts_us, 3) OVER (PARTITION BY atk_ip, "user" ORDER BY ts_us, event_id) AS back FROM sec
     WHERE event = 'AUTH_FAIL' AND atk_ip NOT IN ('', '0.0.0.0'))
@@ -172,15 +188,18 @@ BEHAVIOUR_SQL = HITS_SQL + f"""
     WHERE n >= 3 AND n_users >= 3 AND (m IS NULL OR m < ts_us - {6 * 3600 * US})
   UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'DISTRIBUTED_BRUTEFORCE', 'user ' || "user" FROM b_wide WHERE n >= 4 AND n_ips >= 3
   UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'IMPOSSIBLE_TRAVEL', 'user ' || "user" FROM b_travel WHERE n_nets >= 2
-  UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'EXFILTRATION', 'user ' || "user" FROM b_exfil WHERE n >= 3)
+  UNION ALL SELECT event_id, ts_us, "user", src_ip, host, asset_class, 'EXFILTRATION', 'user ' || "user" FROM b_exfil WHERE n >= 3
+  UNION ALL SELECT -1, bucket_us + {3600 * US}, '-', '-', host, 'Standard', 'TELEMETRY_GAP', 'host ' || host FROM gaps)"""
+EVERY_SQL = BEHAVE_SQL + f"""
 , every_hit AS (SELECT event_id, ts_us, "user", src_ip, host, asset_class, pattern_id, matched FROM hits
   UNION ALL SELECT * FROM behave)
-, known AS (SELECT e.*, p.severity, p.soar_action, p.control_id FROM every_hit e JOIN {PATTERN_ROWS_SQL.replace(' AS pat(', ' AS p(')} USING (pattern_id)
+, known AS (SELECT e.*, p.name, p.owasp, p.severity, p.soar_action, p.control_id FROM every_hit e JOIN {PATTERN_ROWS_SQL.replace(' AS pat(', ' AS p(')} USING (pattern_id)
   QUALIFY row_number() OVER (PARTITION BY pattern_id, src_ip, left(matched, 60) ORDER BY ts_us, event_id) = 1)"""
+BEHAVIOUR_SQL = HITS_SQL + EVERY_SQL
 
 
 def behaviours(spark, sf_dir):
-    """Spray, distributed attempts, travel and exfiltration as pattern hits."""
+    """Spray, distributed attempts, travel, exfiltration and silent hosts as pattern hits."""
     fails, logins = sec_events(spark, sf_dir, "AUTH_FAIL"), sec_events(spark, sf_dir, "AUTH_OK")
     of_user = F.concat(F.lit("user "), "user")
     spray = D.password_spray(fails, ip="atk_ip", window_s=6 * 3600, min_users=3, min_fails=3, max_per_user=3).withColumn("src_ip", F.col("atk_ip"))
@@ -190,7 +209,7 @@ def behaviours(spark, sf_dir):
     found = D.behaviour_hits(spray, "PASSWORD_SPRAY", F.concat(F.lit("source "), "src_ip"))
     for rows, pattern in ((wide, "DISTRIBUTED_BRUTEFORCE"), (travel, "IMPOSSIBLE_TRAVEL"), (exfil, "EXFILTRATION")):
         found = found.unionByName(D.behaviour_hits(rows, pattern, of_user))
-    return found
+    return found.unionByName(D.gap_hits(gaps(spark, sf_dir), bucket_s=3600))
 
 
 def every_hit(spark, sf_dir):
@@ -200,32 +219,21 @@ def every_hit(spark, sf_dir):
     return D.dedup_hits(D.with_pattern(signed.unionByName(behaviours(spark, sf_dir).select(*columns))))
 
 
-@query(over_events(BEHAVIOUR_SQL + " SELECT event_id, pattern_id, src_ip, matched FROM known WHERE pattern_id IN (SELECT pattern_id FROM behave)"))
+@query(over_events(BEHAVIOUR_SQL + """
+SELECT event_id, ts_us, pattern_id, name, owasp, control_id, severity, src_ip, "user", host, left(matched, 120) AS matched FROM known"""))
+def pattern_hits(spark, sf_dir):
+    return every_hit(spark, sf_dir).select(
+        "event_id", "ts_us", "pattern_id", "name", "owasp", "control_id", "severity", "src_ip", "user", "host", "matched"
+    )
+
+
+@query(over_events(BEHAVE_SQL + """
+SELECT event_id, pattern_id, src_ip, matched FROM behave QUALIFY row_number() OVER (PARTITION BY pattern_id, src_ip, left(matched, 60) ORDER BY ts_us, event_id) = 1"""))
 def behaviour_pattern_hits(spark, sf_dir):
     found = D.dedup_hits(D.with_pattern(behaviours(spark, sf_dir)))
     return found.select("event_id", "pattern_id", "src_ip", "matched")
 
 
-# Host 4 falls silent on 20 January, and the clock stands at the end of the month.
-SILENT_US, CLOCK_US = 1_705_708_800 * US, 1_706_745_600 * US
-
-
-@query(over_events(f"""
-, heard AS (SELECT * FROM sec WHERE host <> 'host-4' OR ts_us < {SILENT_US})
-, c AS (SELECT host, ts_us // {3600 * US} AS b, count(*) AS c, min(ts_us) AS lo FROM heard GROUP BY ALL)
-, lim AS (SELECT host, min(lo) AS lo FROM c GROUP BY 1)
-, cal AS (SELECT host, lo, unnest(range(lo // {3600 * US}, {CLOCK_US // (3600 * US)} + 1)) AS b FROM lim)
-, d AS (SELECT cal.host, cal.lo, cal.b, coalesce(c.c, 0) AS current,
-   sum(coalesce(c.c, 0)) OVER (PARTITION BY cal.host ORDER BY cal.b ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / 5.0::DOUBLE AS baseline
-   FROM cal LEFT JOIN c ON c.host = cal.host AND c.b = cal.b)
-SELECT host, b * {3600 * US} AS bucket_us, current, baseline FROM d
-WHERE lo <= (b - 5) * {3600 * US} AND baseline >= 2.0 AND current < 0.5::DOUBLE * baseline"""))
-def telemetry_gap(spark, sf_dir):
-    heard = sec_events(spark, sf_dir).where((F.col("host") != "host-4") | (F.col("ts_us") < SILENT_US))
-    found = D.telemetry_gap(heard, keys=("host",), bucket_s=3600, min_mean=2.0, ratio=0.5, as_of_us=CLOCK_US)
-    return found.select("host", "bucket_us", "current", "baseline")
-
-
 # Door and badge readers are not in the event table; failed logins on a host stand in.
 @query(over_events("""
 SELECT event_id, "user", host FROM (SELECT *, CASE WHEN event <> 'AUTH_FAIL' THEN event

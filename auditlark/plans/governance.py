@@ -225,8 +225,9 @@ def orgs(spark, sf_dir):
 
 
 def with_org(rows, spark, sf_dir):
-    """Users belong to the nation with their number modulo 25."""
-    key = (F.regexp_extract("user", r"(\d+)$", 1).cast("bigint") % 25).cast("int")
+    """Users, and hosts where no user is known, belong to the nation with their number modulo 25."""
+    named = F.when(F.col("user") == "-", F.col("host")).otherwise(F.col("user"))
+    key = (F.regexp_extract(named, r"(\d+)$", 1).cast("bigint") % 25).cast("int")
     return rows.withColumn("n_nationkey", key).join(orgs(spark, sf_dir), "n_nationkey").drop("n_nationkey")
 
 
@@ -249,16 +250,16 @@ def promotions(spark, sf_dir):
     )
 
 
-NATION_SQL = "(substr(\"user\", 5)::BIGINT % 25)::INT"
+NATION_SQL = "((CASE WHEN \"user\" = '-' THEN substr(host, 6) ELSE substr(\"user\", 5) END)::BIGINT % 25)::INT"
 PROMOTIONS_SQL = BEHAVIOUR_SQL + BRUTE_SQL + FINDINGS_SQL + f"""
 , owasp_rows AS (SELECT *, {OWASP_SQL.replace('{0}', 'msg')} AS labels FROM sec WHERE event IN ('HTTP_REQ', 'APP_INPUT', 'RAW'))
 , promo_raw AS (
-  SELECT "user", event_id, ts_us, unnest(CASE WHEN asset_class = {sql_text(R.CLASS_CII)} THEN ['PISF-05.2', 'PISF-05.1', 'PISF-13.2']
+  SELECT "user", host, event_id, ts_us, unnest(CASE WHEN asset_class = {sql_text(R.CLASS_CII)} THEN ['PISF-05.2', 'PISF-05.1', 'PISF-13.2']
     ELSE ['PISF-05.2', 'PISF-05.1'] END) AS control_id, 'brute force' AS source FROM brute
-  UNION ALL SELECT "user", event_id, ts_us, unnest(CASE WHEN contains(labels, 'BAC') THEN ['PISF-04.2', 'PISF-10.1', 'PISF-05.1'] ELSE ['PISF-04.2', 'PISF-10.1'] END),
+  UNION ALL SELECT "user", host, event_id, ts_us, unnest(CASE WHEN contains(labels, 'BAC') THEN ['PISF-04.2', 'PISF-10.1', 'PISF-05.1'] ELSE ['PISF-04.2', 'PISF-10.1'] END),
     'request scan' FROM owasp_rows WHERE labels <> ''
-  UNION ALL SELECT "user", event_id, ts_us, 'PISF-05.3', 'user behaviour' FROM unique_findings
-  UNION ALL SELECT "user", event_id, ts_us, control_id, 'pattern' FROM known)
+  UNION ALL SELECT "user", host, event_id, ts_us, 'PISF-05.3', 'user behaviour' FROM unique_findings
+  UNION ALL SELECT "user", host, event_id, ts_us, control_id, 'pattern' FROM known)
 , promo AS (SELECT n_name AS org, event_id, ts_us, control_id, source, 'Under Attack' AS status, source || ' event ' || event_id AS evidence
   FROM promo_raw JOIN nation ON n_nationkey = {NATION_SQL})"""
 CONTROL_ROWS_SQL = "(VALUES " + ", ".join(

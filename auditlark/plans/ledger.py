@@ -15,7 +15,7 @@ from ..session import materialize
 from .adapters import sec_events, sql_text, table
 from .anomaly import INCIDENT_SQL, found_anomalies, over_events_recursive
 from .catalog import over_events, query
-from .detection import BEHAVIOUR_SQL, BRUTE_SQL, HITS_SQL, brute, every_hit, hits, host_assets
+from .detection import BEHAVIOUR_SQL, BRUTE_SQL, EVERY_SQL, HITS_SQL, brute, every_hit, hits, host_assets
 from .web import BLOCK_INCIDENTS_SQL, moded_blocks, owasp_found
 
 # ---------------------------------------------------------------- sessions
@@ -93,23 +93,24 @@ def ml_incidents(spark, sf_dir):
 
 
 def decided(spark, sf_dir):
-    return D.response_decisions(D.dedup_hits(hits(spark, sf_dir)))
+    return D.response_decisions(every_hit(spark, sf_dir))
 
 
 def found_ledger(spark, sf_dir):
-    """Site blocks and critical pattern hits."""
+    """Site blocks and critical hits of signatures and behaviours."""
     decisions = materialize(decided(spark, sf_dir))
     playbook = L.playbook_incidents(decisions.where("severity = 'Critical'"))
-    return L.build_ledger(W.block_incidents(moded_blocks(spark, sf_dir, decisions)), playbook)
+    signed = decisions.where(F.col("pattern_id").isin(*[p.pattern_id for p in R.SIGNATURES]))
+    return L.build_ledger(W.block_incidents(moded_blocks(spark, sf_dir, signed)), playbook)
 
 
-LEDGER_SQL = BLOCK_INCIDENTS_SQL + """
+LEDGER_SQL = BLOCK_INCIDENTS_SQL + EVERY_SQL + """
 , raw_ledger AS (SELECT blocked_us AS ts_us, src_ip AS source_ip, site AS target_host, 'WEBSITE_AUTO_BLOCK' AS classification, reason AS detection_rule,
     mode || ': ' || reason AS mitigating_action, 'website-monitor' AS privilege_state,
     format('auto-block site={} ip={} hits={}', site, src_ip, hits) AS raw_record FROM moded UNION ALL
   SELECT ts_us, src_ip, host, asset_class, pattern_id || ' ' || name,
     CASE WHEN soar_action = 'block_ip' AND src_ip NOT IN ('', '0.0.0.0') THEN 'block_ip' WHEN soar_action = 'kill_session' THEN 'kill_session' ELSE 'alert' END,
-    'user', 'matched=' || matched FROM dedup WHERE severity = 'Critical')
+    'user', 'matched=' || matched FROM known WHERE severity = 'Critical')
 , canon AS (SELECT *, strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S UTC') AS "timestamp" FROM raw_ledger)
 , hashed AS (SELECT *, 'timestamp=' || "timestamp" || '|source_ip=' || source_ip || '|target_host=' || target_host || '|classification=' || classification
     || '|detection_rule=' || detection_rule || '|mitigating_action=' || mitigating_action || '|privilege_state=' || privilege_state AS canonical FROM canon)
