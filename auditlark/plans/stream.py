@@ -10,12 +10,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import registry as R
 from ..operators import detectors as D
 from ..operators import intel as I
 from ..operators.windows import US
 from ..session import scratch
 from ..streaming import stream as M
-from .adapters import sec_events, sec_events_from
+from .adapters import sec_events, sec_events_from, sql_text
 from .anomaly import EWMA_SQL, RISK_SQL, over_events_recursive
 from .catalog import over_events, query
 from .detection import BRUTE_SQL, DAY, HITS_SQL
@@ -128,6 +129,46 @@ def stream_impossible_travel(spark, sf_dir):
     return found.select("event_id", F.col("key").alias("user"), F.col("n_distinct").alias("n_nets"))
 
 
+def by_time(rows, *cuts):
+    """``rows`` in parts that follow each other in time."""
+    bounds = [None, *cuts, None]
+    return [
+        rows.where((F.lit(a is None) | (F.col("ts_us") >= F.lit(a or 0))) & (F.lit(b is None) | (F.col("ts_us") < F.lit(b or 0))))
+        for a, b in zip(bounds, bounds[1:])
+    ]
+
+
+# Borders of the files that arrive one after the other.
+FIRST_CUT, SECOND_CUT = 1_704_800_000 * US, 1_705_700_000 * US
+
+
+@query(over_events(f"""
+, r AS (SELECT * FROM sec WHERE event = 'HTTP_REQ' AND regexp_matches(msg, {sql_text(R.EXFIL_REGEX)}))
+, f AS (SELECT *, count(*) OVER (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {10 * DAY * US} PRECEDING AND CURRENT ROW) AS n FROM r)
+SELECT event_id, "user", n FROM f WHERE n >= 3 AND ts_us < (SELECT max(ts_us) FROM r)"""))
+def stream_exfil_bursts(spark, sf_dir):
+    reads = D.scanned(sec_events(spark, sf_dir, "HTTP_REQ")).where(F.col("msg").rlike(R.EXFIL_REGEX))
+    bursts = lambda rows: M.sliding_window_stream(rows, F.col("user"), 10 * DAY, 3, delay=NOW)
+    found, _ = M.run_released(by_time(reads, FIRST_CUT, SECOND_CUT), bursts)
+    return found.select("event_id", F.col("key").alias("user"), "n")
+
+
+# Some failures of the first days arrive with the last file and are too late.
+LATE = f"event_id % 40 = 7 AND ts_us < {FIRST_CUT}"
+
+
+@query(over_events(f"""
+, f AS (SELECT *, count(*) OVER (PARTITION BY "user" ORDER BY ts_us RANGE BETWEEN {3 * DAY * US} PRECEDING AND CURRENT ROW) AS n
+  FROM sec WHERE event = 'AUTH_FAIL' AND NOT ({LATE}))
+SELECT event_id, "user", n, (SELECT count(*) FROM sec WHERE event = 'AUTH_FAIL' AND {LATE}) AS dropped
+FROM f WHERE n >= 4 AND ts_us < {of_type('AUTH_FAIL')}"""))
+def stream_late_rows(spark, sf_dir):
+    fails = sec_events(spark, sf_dir, "AUTH_FAIL")
+    parts = [*by_time(fails.where(f"NOT ({LATE})"), FIRST_CUT, SECOND_CUT), fails.where(LATE)]
+    found, dropped = M.run_released(parts, lambda rows: M.sliding_window_stream(rows, F.col("user"), 3 * DAY, 4, delay=NOW))
+    return found.select("event_id", F.col("key").alias("user"), "n", F.lit(dropped).cast("long").alias("dropped"))
+
+
 @query(over_events_recursive("," + EWMA_SQL.format(
     key='"user"', value="num", rank='row_number() OVER (PARTITION BY "user" ORDER BY ts_us, event_id)', source="sec") + """
 SELECT event_id, n AS n_sample, round(z, 4) AS z, n > 10 AND z >= 3 AS spike FROM step JOIN sec USING (event_id)

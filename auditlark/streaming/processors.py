@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 US = 1_000_000
 
@@ -29,45 +29,97 @@ ROW = StructType(
 )
 
 
+BUCKET = StructType([StructField("bucket", LongType())])
+BUCKET_ROWS = StructType([StructField("rows", ArrayType(ROW))])
+
+
+class Buckets:
+    """Rows of a key by time bucket; adding or dropping rows rewrites only the buckets they lie in."""
+
+    def __init__(self, state, width_us: int) -> None:
+        self.state, self.width_us = state, width_us
+
+    def _read(self, bucket: int) -> list[tuple]:
+        found = self.state.getValue((bucket,))
+        return [tuple(r) for r in found[0]] if found is not None else []
+
+    def _write(self, bucket: int, rows: list[tuple]) -> None:
+        if rows:
+            self.state.updateValue((bucket,), (rows,))
+        else:
+            self.state.removeKey((bucket,))
+
+    def _buckets(self) -> list[int]:
+        return sorted(k[0] for k in self.state.keys())
+
+    def add(self, rows: list[tuple]) -> None:
+        own: dict[int, list[tuple]] = {}
+        for r in rows:
+            own.setdefault(r[0] // self.width_us, []).append(r)
+        for bucket, more in own.items():
+            self._write(bucket, self._read(bucket) + more)
+
+    def first(self) -> int | None:
+        """The earliest time."""
+        known = self._buckets()
+        return min(r[0] for r in self._read(known[0])) if known else None
+
+    def rows(self) -> list[tuple]:
+        return sorted(r for bucket in self._buckets() for r in self._read(bucket))
+
+    def take(self, before_us: int) -> list[tuple]:
+        """Remove the rows before a time and return them in order."""
+        out = []
+        for bucket in self._buckets():
+            if bucket * self.width_us >= before_us:
+                break
+            own = self._read(bucket)
+            rest = [r for r in own if r[0] >= before_us]
+            out += [r for r in own if r[0] < before_us]
+            self._write(bucket, rest)
+        return sorted(out)
+
+
 class OrderedProcessor(StatefulProcessor):
     """Releases rows of a key in (ts_us, event_id) order once the watermark is past them."""
 
+    #: Width of the buckets that rows wait in.
+    bucket_us = 60 * US
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", ROW)
+        self.pending = Buckets(handle.getMapState("pending", BUCKET, BUCKET_ROWS), self.bucket_us)
         self.memory = handle.getListState("memory", ROW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.pending.get()]
-        armed = bool(held)
-        first = min((r[0] for r in held), default=None)
+        first = self.pending.first()
+        earliest = math.inf
         for pdf in rows:
-            held += list(pdf[["ts_us", "event_id", "member", "value"]].itertuples(index=False, name=None))
-        self.pending.put(held)
-        earliest = min(r[0] for r in held)
-        if not armed or earliest < first:
-            self.handle.registerTimer(earliest // 1000 + 1)
+            new = list(pdf[["ts_us", "event_id", "member", "value"]].itertuples(index=False, name=None))
+            self.pending.add(new)
+            earliest = min(earliest, min(r[0] for r in new))
+        if first is None or earliest < first:
+            self.handle.registerTimer(int(earliest) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        reached = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.pending.get())
-        ready = [r for r in held if r[0] < reached]
-        rest = held[len(ready):]
-        if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.pending.clear()
+        ready = self.pending.take(timerValues.getCurrentWatermarkInMs() * 1000)
+        rest = self.pending.first()
+        if rest is not None:
+            self.handle.registerTimer(rest // 1000 + 1)
         if not ready:
             return
+        out = self.released(ready)
+        if len(out):
+            yield out.assign(key=key[0])[self.columns]
+
+    def released(self, ready: list[tuple]) -> pd.DataFrame:
         out, memory = self.advance([tuple(r) for r in self.memory.get()], ready)
         if memory:
             self.memory.put(memory)
         else:
             self.memory.clear()
-        if len(out):
-            yield out.assign(key=key[0])[self.columns]
+        return out
 
     def advance(self, memory: list[tuple], ready: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
         raise NotImplementedError
@@ -89,6 +141,21 @@ class SlidingWindow(OrderedProcessor):
         self.min_distinct = min_distinct
         self.fire_from_us = fire_from_us
         self.max_per_member = max_per_member
+        # A window is some tens of buckets, so little is rewritten and little is read in vain.
+        self.bucket_us = max(60, window_s // 32) * US
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.window = Buckets(handle.getMapState("window", BUCKET, BUCKET_ROWS), self.bucket_us)
+
+    def released(self, ready: list[tuple]) -> pd.DataFrame:
+        """Rows stay in the window's buckets until it has passed them."""
+        self.window.take(ready[0][0] - self.window_us)
+        out, kept = self.advance(self.window.rows(), ready)
+        if kept:
+            self.window.take(kept[0][0])
+            self.window.add([r for r in ready if r >= kept[0]])
+        return out
 
     def advance(self, memory, ready):
         rows = memory + ready

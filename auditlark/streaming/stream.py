@@ -8,7 +8,7 @@ in the query progress, and exact per-event windows use keyed state.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +153,23 @@ def run_available(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def run_released(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Input that arrives part by part: (output rows, input rows that came behind the watermark and were dropped).
+
+    Each part is written to the watched folder and processed to its end before the
+    next one is; state, watermark and output go on from the same checkpoint.
+    """
+    spark = parts[0].sparkSession
+    root, dropped = f"{scratch(spark)}/{uuid.uuid4().hex}", 0
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        out = build(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        query = append_sink(out, f"{root}/out", f"{root}/state", {"availableNow": True})
+        query.awaitTermination()
+        dropped += sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(out.schema).parquet(f"{root}/out"), dropped
+
+
 class LateRows(StreamingQueryListener):
     """Counts the rows that fell behind the watermark, by query, over all batches while it is registered."""
 
