@@ -20,7 +20,9 @@ from .adapters import sec_events, sec_events_from, sql_text
 from .anomaly import EWMA_SQL, RISK_SQL, over_events_recursive
 from .catalog import over_events, query
 from .detection import BRUTE_SQL, DAY, HITS_SQL
+from .ingest import sites
 from .intel import STORE_SQL, merged_store
+from .web import BLOCK_WINDOW, BLOCKS_SQL
 
 NOW = "0 seconds"
 
@@ -153,6 +155,29 @@ def stream_exfil_bursts(spark, sf_dir):
     return found.select("event_id", F.col("key").alias("user"), "n")
 
 
+@query(over_events(BLOCKS_SQL + """
+SELECT site, src_ip, blocked_us, hits FROM blocks
+WHERE blocked_us < (SELECT max(ts_us) FROM (SELECT ts_us FROM hits UNION ALL SELECT ts_us FROM owasp_hits))"""))
+def stream_auto_blocks(spark, sf_dir):
+    requests = sec_events(spark, sf_dir, "HTTP_REQ")
+    known = sites(spark, sf_dir)
+    blocks = lambda rows: M.auto_block_stream(rows, known, window_s=BLOCK_WINDOW, threshold=3, delay=NOW)
+    found, _ = M.run_released(by_time(requests, FIRST_CUT, SECOND_CUT), blocks)
+    return found.select("site", F.col("key").alias("src_ip"), F.col("ts_us").alias("blocked_us"), "hits")
+
+
+@query(over_events("""
+SELECT "user", ts_us, event_id, src_ip, host FROM sec WHERE event = 'AUTH_OK' QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts_us DESC, event_id DESC) = 1"""))
+def stream_latest_logins(spark, sf_dir):
+    logins = sec_events(spark, sf_dir, "AUTH_OK").select("user", "ts_us", "event_id", "src_ip", "host")
+    root = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for part in by_time(logins, FIRST_CUT, SECOND_CUT):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(logins.schema).parquet(f"{root}/in").withColumn("version", F.struct("ts_us", "event_id"))
+        M.upsert_sink(stream, f"{root}/table", f"{root}/state", ["user"], "version", {"availableNow": True}, compact_after=1).awaitTermination()
+    return M.latest_state(spark, f"{root}/table", ["user"], "version").drop("version")
+
+
 # Some failures of the first days arrive with the last file and are too late.
 LATE = f"event_id % 40 = 7 AND ts_us < {FIRST_CUT}"
 

@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Batches of long texts stay small in Python workers.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # CEF extensions may repeat a key; the last value wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }

@@ -11,6 +11,7 @@ import json
 import math
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -186,6 +187,61 @@ class SlidingWindow(OrderedProcessor):
         return pd.DataFrame(out, columns=self.columns[1:]), rows[start:]
 
 
+TEXT = StructType([StructField("text", StringType())])
+TIME = StructType([StructField("ts_us", LongType())])
+
+
+class SiteBlocks(OrderedProcessor):
+    """The first time a source has enough hits on a site within the window.
+
+    Each pattern text counts once per source, each request once per instant. Rows carry
+    ``{"site", "kind", "text"}``; the state is a bucketed window, the texts seen and the sites blocked.
+    """
+
+    columns = ["key", "event_id", "ts_us", "site", "hits"]
+
+    def __init__(self, window_s: int, threshold: int) -> None:
+        self.window_us, self.threshold = window_s * US, threshold
+        self.bucket_us = max(60, window_s // 32) * US
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.window = Buckets(handle.getMapState("window", BUCKET, BUCKET_ROWS), self.bucket_us)
+        self.seen = handle.getMapState("seen", TEXT, TIME)
+        self.blocked = handle.getMapState("blocked", TEXT, TIME)
+
+    def released(self, ready: list[tuple]) -> pd.DataFrame:
+        self.window.take(ready[0][0] - self.window_us)
+        recent: dict[str, deque] = {}
+        for r in self.window.rows():
+            recent.setdefault(r[2], deque()).append(r[0])
+        out, kept = [], []
+        for now, peers in groupby(sorted(ready), key=lambda r: r[0]):
+            first: dict[str, int] = {}
+            instant: set[tuple[str, str]] = set()
+            for r in peers:
+                hit = json.loads(r[3])
+                same = (hit["kind"], hit["text"])
+                if same in instant or (hit["kind"] == "pattern" and self.seen.containsKey((hit["text"],))):
+                    continue
+                instant.add(same)
+                if hit["kind"] == "pattern":
+                    self.seen.updateValue((hit["text"],), (now,))
+                if hit.get("site") is not None:
+                    first.setdefault(hit["site"], r[1])
+                    recent.setdefault(hit["site"], deque()).append(now)
+                    kept.append((now, r[1], hit["site"], ""))
+            for site, event_id in first.items():
+                hits = recent[site]
+                while hits[0] < now - self.window_us:
+                    hits.popleft()
+                if len(hits) >= self.threshold and not self.blocked.containsKey((site,)):
+                    self.blocked.updateValue((site,), (now,))
+                    out.append((event_id, now, site, len(hits)))
+        self.window.add([r for r in kept if r[0] >= ready[-1][0] - self.window_us])
+        return pd.DataFrame(out, columns=self.columns[1:])
+
+
 class EwmaSpikes(OrderedProcessor):
     """Running mean and deviation of a key; state is one row whatever the history."""
 

@@ -17,16 +17,17 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import registry as R
 from ..operators import ueba
-from ..operators.detectors import scanned, signature_hits, with_pattern
+from ..operators.detectors import owasp_scan, scanned, signature_hits, with_pattern
 from ..operators.windows import first_row
 from ..session import scratch
 from ..sources.json_lines import parse_jsonl_events
-from .processors import EwmaSpikes, OrderedProcessor, SlidingWindow, SuppressRepeats, UserRisk
+from .processors import EwmaSpikes, OrderedProcessor, SiteBlocks, SlidingWindow, SuppressRepeats, UserRisk
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "10 minutes"
 
 WINDOW_OUT = "key string, event_id long, ts_us long, n long, n_distinct long, first_us long"
+BLOCK_OUT = "key string, event_id long, ts_us long, site string, hits long"
 EWMA_OUT = "key string, event_id long, ts_us long, n_sample long, z double, spike boolean"
 RISK_OUT = "key string, event_id long, ts_us long, logins long, score double, factors string"
 SUPPRESS_OUT = "key string, event_id long, ts_us long, status string"
@@ -104,6 +105,17 @@ def sliding_window_stream(rows: DataFrame, key: Column, window_s: int, min_rows:
     return _keyed(rows, key, processor, WINDOW_OUT, delay, member)
 
 
+def auto_block_stream(events: DataFrame, sites: DataFrame, *, window_s: int, threshold: int, delay: str = WATERMARK) -> DataFrame:
+    """Site blocks from signature and request-scan hits: (key: source, event_id, ts_us, site, hits) of each first crossing."""
+    requests = scanned(events)
+    pattern = signature_hits(requests).withColumn("kind", F.lit("pattern")).withColumn("text", F.concat_ws("|", "pattern_id", F.substring("matched", 1, 60)))
+    injection = owasp_scan(requests).withColumn("kind", F.lit("injection")).withColumn("text", F.substring("msg", 1, 60))
+    columns = ["event_id", "ts_us", F.trim("src_ip").alias("src_ip"), "host", "kind", "text"]
+    hits = pattern.select(*columns).unionByName(injection.select(*columns)).where(~F.col("src_ip").isin(*R.PLACEHOLDER_IPS))
+    named = hits.join(sites.select(F.col("name").alias("host"), F.col("name").alias("site")), "host", "left")
+    return _keyed(named, F.col("src_ip"), SiteBlocks(window_s, threshold), BLOCK_OUT, delay, value=F.to_json(F.struct("site", "kind", "text")))
+
+
 def ewma_stream(rows: DataFrame, key: Column, value: Column, *, alpha: float = 0.3, threshold: float = 3.0,
                 warmup: int = 10, delay: str = WATERMARK) -> DataFrame:
     return _keyed(rows, key, EwmaSpikes(alpha, threshold, warmup), EWMA_OUT, delay, value=value)
@@ -192,23 +204,43 @@ class LateRows(StreamingQueryListener):
 
 
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "ts_us",
-                trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest row per key: each batch merges with the current snapshot into the next one.
+                trigger: dict | None = None, *, buckets: int = 16, compact_after: int = 8) -> StreamingQuery:
+    """Keep the latest row per key as a log of deltas by key bucket.
 
-    Snapshots are numbered by batch, so a repeated batch writes the same one again;
-    ``latest_state`` reads the newest.
+    A batch writes the latest row of each of its own keys and nothing else, under its
+    batch id, so a repeated batch replaces itself. A bucket with more than ``compact_after`` deltas since its
+    last base gets a new base; the other buckets stay as they are. ``latest_state`` merges on read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/snapshot={batch_id - 1}"))
-        first_row(rows, keys, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        latest = first_row(batch, keys, [F.desc(order)]).withColumn("bucket", bucket)
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/delta/batch_id={batch_id}")
+        log = _log(spark, path)
+        # At most one row per bucket.
+        due = [r.bucket for r in log.where("since > 0").groupBy("bucket").agg(F.count_distinct("batch_id").alias("n")).where(F.col("n") > compact_after).collect()]
+        if due:
+            merged = first_row(log.where(F.col("bucket").isin(*due)).drop("since", "batch_id"), keys, [F.desc(order)])
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base/upto={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def latest_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot of an ``upsert_sink``."""
-    snapshots = spark.read.parquet(path)
-    return snapshots.where(F.col("snapshot") == snapshots.select(F.max("snapshot")).scalar()).drop("snapshot")
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of each bucket's newest base (``since`` 0) and of the deltas after it (``since`` 1)."""
+    delta = spark.read.option("basePath", f"{path}/delta").parquet(f"{path}/delta")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/base")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return delta.withColumn("since", F.lit(1))
+    base = spark.read.option("basePath", f"{path}/base").parquet(f"{path}/base")
+    newest = base.groupBy("bucket").agg(F.max("upto").alias("newest"))
+    kept = base.join(newest, "bucket").where(F.col("upto") == F.col("newest")).withColumn("since", F.lit(0))
+    after = delta.join(newest, "bucket", "left").where(F.col("newest").isNull() | (F.col("batch_id") > F.col("newest"))).withColumn("since", F.lit(1))
+    return after.drop("newest").unionByName(kept.drop("newest").withColumnRenamed("upto", "batch_id"))
+
+
+def latest_state(spark: SparkSession, path: str, keys: list[str], order: str = "ts_us") -> DataFrame:
+    """The latest row per key of an ``upsert_sink``."""
+    return first_row(_log(spark, path).drop("since", "batch_id", "bucket"), keys, [F.desc(order)])

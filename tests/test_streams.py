@@ -81,6 +81,18 @@ def test_ledger_sink_is_idempotent(spark, tmp_path, shuffled):
     assert listener.by_query[query.id] == 0
 
 
+def test_parts_go_on_from_one_checkpoint(spark, shuffled):
+    batch, _ = shuffled
+    late = batch.where("event_id % 50 = 1 AND ts_us < 1000000000")
+    rest = batch.exceptAll(late)
+    parts = [rest.where(f"ts_us < {2000 * US}"), rest.where(f"ts_us >= {2000 * US}"), late]
+    found, dropped = M.run_released(parts, lambda rows: M.sliding_window_stream(rows, F.col("user"), 100, 4, delay="2 minutes"))
+    expected = D.bruteforce_windows(rest, keys=("user",), window_s=100, threshold=4).where(F.col("ts_us") < passed(rest))
+    assert dropped == late.count() > 0
+    got = sorted(map(tuple, found.where(F.col("ts_us") < passed(rest)).select("event_id", "n").collect()))
+    assert got == sorted(map(tuple, expected.select("event_id", "n").collect()))
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     for part, t in enumerate((1000, 2000, 5, 3000)):
         row = [(part, t * US, "AUTH_FAIL", "u", "1.1.1.1", "h", "m")]
@@ -101,10 +113,23 @@ def test_late_rows_are_counted(spark, tmp_path):
 
 def test_upsert_keeps_the_latest_row_per_key(spark, tmp_path, shuffled):
     batch, stream = shuffled
-    query = M.upsert_sink(stream(), str(tmp_path / "state"), str(tmp_path / "ck"), ["user"], trigger={"availableNow": True})
+    out = tmp_path / "state"
+    query = M.upsert_sink(stream(), str(out), str(tmp_path / "ck"), ["user"], trigger={"availableNow": True}, buckets=2, compact_after=2)
     query.awaitTermination()
-    got = {r.user: r.ts_us for r in M.latest_state(spark, str(tmp_path / "state")).collect()}
+    got = {r.user: r.ts_us for r in M.latest_state(spark, str(out), ["user"]).collect()}
     assert got == {r.user: r.last for r in batch.groupBy("user").agg(F.max("ts_us").alias("last")).collect()}
+    assert len(list((out / "delta").iterdir())) == 6 and any((out / "base").iterdir())
+
+
+def test_a_batch_writes_its_own_keys_only(spark, tmp_path):
+    for part, keys in enumerate((range(2000), range(3))):
+        rows = [(i, (part * 10 + 1) * US, "AUTH_OK", f"u{i}", "1.1.1.1", "h", "m") for i in keys]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"f{part}"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "f*"))
+        M.upsert_sink(stream, str(tmp_path / "t"), str(tmp_path / "ck"), ["user"], trigger={"availableNow": True}).awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "t" / "delta"))
+    assert {r.batch_id: r["count"] for r in log.groupBy("batch_id").count().collect()} == {0: 2000, 1: 3}
+    assert M.latest_state(spark, str(tmp_path / "t"), ["user"]).where(f"ts_us = {11 * US}").count() == 3
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
