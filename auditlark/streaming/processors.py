@@ -292,46 +292,70 @@ class SuppressRepeats(OrderedProcessor):
 class UserRisk(OrderedProcessor):
     """Risk of each authentication event from what the user did before.
 
-    The state holds the known sources, hosts and hours, the last attempts and
-    the last event times; it grows with distinct sources, not with events.
+    Known sources and hosts lie in map states with the time they were last seen; one
+    not seen for ``keep_s`` of event time is unknown again, and a sweep removes it. Hours are a
+    map of 24 counts; the last attempts and event times are a bounded list.
     """
 
     columns = ["key", "event_id", "ts_us", "logins", "score", "factors"]
 
-    def __init__(self, weights: dict[str, float], min_logins: int, attempt_span: int, event_span: int, burst_s: int) -> None:
+    def __init__(
+        self, weights: dict[str, float], min_logins: int, attempt_span: int, event_span: int, burst_s: int, keep_s: int = 365 * 86_400
+    ) -> None:
         self.weights, self.min_logins = weights, min_logins
         self.attempt_span, self.event_span, self.burst_us = attempt_span, event_span, burst_s * US
+        self.keep_us = keep_s * US
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.ips = handle.getMapState("ips", TEXT, TIME)
+        self.hosts = handle.getMapState("hosts", TEXT, TIME)
+        self.hours = handle.getMapState("hours", TEXT, TIME)
+
+    def _known(self, state, name: str, now: int) -> bool:
+        found = state.getValue((name,))
+        return found is not None and found[0] >= now - self.keep_us
+
+    def _sweep(self, now: int) -> None:
+        for state in (self.ips, self.hosts):
+            for name in [k[0] for k, v in state.iterator() if v[0] < now - self.keep_us]:
+                state.removeKey((name,))
 
     def advance(self, memory, ready):
-        state = json.loads(memory[0][3]) if memory else {"ips": [], "hosts": [], "hours": {}, "fails": [], "times": [], "n": 0}
-        ips, hosts, hours, n = set(state["ips"]), set(state["hosts"]), state["hours"], state["n"]
-        fails = deque(state["fails"], maxlen=self.attempt_span)
-        times = deque(state["times"], maxlen=self.event_span)
+        # Logins so far and the last sweep, then attempts, then event times.
+        n, swept = (memory[0][1], memory[0][0]) if memory else (0, ready[0][0])
+        fails = deque((r[1] for r in memory if r[2] == "attempt"), maxlen=self.attempt_span)
+        times = deque((r[0] for r in memory if r[2] == "time"), maxlen=self.event_span)
         out = []
         for ts_us, event_id, _, value in ready:
             event = json.loads(value)
-            hour = str(ts_us // (3600 * US) % 24)
+            hour = (str(ts_us // (3600 * US) % 24),)
             kind, ip, host = event["event"], event["src_ip"], event["host"]
+            seen = self.hours.getValue(hour)
             if kind in ("AUTH_OK", "AUTH_FAIL"):
-                found = self.factors(n, ts_us, ip, host, hours.get(hour, 0), ips, hosts, fails, times)
+                known = self._known(self.ips, ip, ts_us), self._known(self.hosts, host, ts_us)
+                found = self.factors(n, ts_us, ip, host, seen[0] if seen is not None else 0, *known, fails, times)
                 score = min(100.0, sum(found.values()))
                 out.append((event_id, ts_us, n, score, ",".join(found)))
             times.append(ts_us)
             if kind == "AUTH_OK":
-                ips.add(ip)
-                hosts.add(host)
-                hours[hour] = hours.get(hour, 0) + 1
+                self.ips.updateValue((ip,), (ts_us,))
+                self.hosts.updateValue((host,), (ts_us,))
+                self.hours.updateValue(hour, ((seen[0] if seen is not None else 0) + 1,))
                 n += 1
             if kind in ("AUTH_OK", "AUTH_FAIL"):
                 fails.append(int(kind == "AUTH_FAIL"))
-        kept = {"ips": sorted(ips), "hosts": sorted(hosts), "hours": hours, "fails": list(fails), "times": list(times), "n": n}
-        return pd.DataFrame(out, columns=self.columns[1:]), [(ready[-1][0], n, "", json.dumps(kept))]
+            if ts_us - swept > self.keep_us // 8:
+                self._sweep(ts_us)
+                swept = ts_us
+        kept = [(swept, n, "logins", ""), *[(0, f, "attempt", "") for f in fails], *[(t, 0, "time", "") for t in times]]
+        return pd.DataFrame(out, columns=self.columns[1:]), kept
 
-    def factors(self, n, now, ip, host, in_hour, ips, hosts, fails, times) -> dict[str, float]:
+    def factors(self, n, now, ip, host, in_hour, ip_known, host_known, fails, times) -> dict[str, float]:
         found: dict[str, float] = {}
         if n < self.min_logins:
             return found
-        if ip not in ips and ip != "0.0.0.0":
+        if not ip_known and ip != "0.0.0.0":
             found["new_ip"] = self.weights["new_ip"]
         if in_hour / n < 0.10:
             found["off_hours"] = self.weights["off_hours"]
@@ -342,6 +366,6 @@ class UserRisk(OrderedProcessor):
             minutes = max(1.0, (times[-1] - times[0]) / (60 * US))
             if recent >= 10 and recent / 10.0 > 5 * len(times) / minutes:
                 found["burst"] = self.weights["burst"]
-        if host not in hosts and host != "-":
+        if not host_known and host != "-":
             found["new_host"] = self.weights["new_host"]
         return found

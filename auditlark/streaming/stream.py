@@ -125,13 +125,13 @@ def suppress_stream(alerts: DataFrame, key: Column, *, window_s: int = 900, dela
     return _keyed(alerts, key, SuppressRepeats(window_s), SUPPRESS_OUT, delay)
 
 
-def risk_stream(events: DataFrame, *, delay: str = WATERMARK) -> DataFrame:
-    """User risk with the factors and weights of the batch operator."""
+def risk_stream(events: DataFrame, *, delay: str = WATERMARK, keep_s: int = 365 * 86_400) -> DataFrame:
+    """User risk with the factors and weights of the batch operator; sources and hosts not seen for ``keep_s`` are new again."""
     weights = {
         "new_ip": ueba.WEIGHT_NEW_IP, "off_hours": ueba.WEIGHT_OFF_HOURS, "failures": ueba.WEIGHT_FAILURES,
         "burst": ueba.WEIGHT_BURST, "new_host": ueba.WEIGHT_NEW_HOST,
     }
-    processor = UserRisk(weights, ueba.MIN_LOGINS, ueba.ATTEMPT_SPAN, ueba.EVENT_SPAN, ueba.BURST_SPAN_S)
+    processor = UserRisk(weights, ueba.MIN_LOGINS, ueba.ATTEMPT_SPAN, ueba.EVENT_SPAN, ueba.BURST_SPAN_S, keep_s)
     known = events.where(~F.col("user").isin(*R.PLACEHOLDER_USERS))
     value = F.to_json(F.struct(
         "event", F.coalesce("src_ip", F.lit("0.0.0.0")).alias("src_ip"), F.coalesce("host", F.lit("-")).alias("host")

@@ -1,5 +1,6 @@
 """Streaming operators over several micro-batches, with rows out of order between files."""
 
+import json
 import random
 import time
 
@@ -11,6 +12,7 @@ from auditlark.operators.folds import suppress_repeats
 from auditlark.session import checkpoint_root
 from auditlark.sources.json_lines import parse_jsonl_events
 from auditlark.streaming import stream as M
+from auditlark.streaming.processors import UserRisk
 
 US = 1_000_000
 SCHEMA = "event_id long, ts_us long, event string, user string, src_ip string, host string, msg string"
@@ -93,6 +95,41 @@ def test_parts_go_on_from_one_checkpoint(spark, shuffled):
     assert got == sorted(map(tuple, expected.select("event_id", "n").collect()))
 
 
+class FakeState(dict):
+    """The calls of a map state that the processors make."""
+
+    def getValue(self, key):  # noqa: N802
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.pop(key, None)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_risk_state_forgets_addresses():
+    day = 86_400
+    risk = UserRisk({"new_ip": 10, "off_hours": 0, "failures": 0, "burst": 0, "new_host": 0}, 1, 10, 10, 60, keep_s=10 * day)
+    risk.ips, risk.hosts, risk.hours = FakeState(), FakeState(), FakeState()
+    memory, most, scores = [], 0, []
+    for step in range(100):
+        rows = [(step * day * US + i * US, step * 1000 + i, "", json.dumps({"event": "AUTH_OK", "src_ip": f"a{step * 1000 + i}", "host": "h"})) for i in range(1000)]
+        out, memory = risk.advance(memory, rows)
+        most = max(most, len(risk.ips))
+        scores += out["score"].tolist()
+    assert most <= 13_000 and len(risk.hours) <= 24 and len(memory) == 21 and set(scores[1:]) == {10.0}
+    again, _ = risk.advance(memory, [(100 * day * US, 1, "", json.dumps({"event": "AUTH_OK", "src_ip": "a99000", "host": "h"})),
+                                     (100 * day * US, 2, "", json.dumps({"event": "AUTH_OK", "src_ip": "a5", "host": "h"}))])
+    assert again["score"].tolist() == [0.0, 10.0]
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     for part, t in enumerate((1000, 2000, 5, 3000)):
         row = [(part, t * US, "AUTH_FAIL", "u", "1.1.1.1", "h", "m")]
