@@ -1,9 +1,12 @@
 r"""Licence scans in DataFrame functions only.
 
-A text is normalised once: lower case, and everything but letters, digits, ``.``,
-``+``, ``-`` and line ends becomes a blank. Its units are its sentences, its lines, its
+A text is normalised once: lower case, ``! ? : ;`` before white space become full stops, and
+everything else but letters, digits, ``.``, ``+``, ``-`` and line ends becomes a blank. Its units
+are its sentences (within lines, and within paragraphs whose lines are joined), its lines, its
 paragraphs and the whole. A unit matches a template if the Dice coefficient of
-their sets of word bigrams, 2 |A n B| / (|A| + |B|), is at least ``threshold``.
+their sets of word bigrams, 2 |A n B| / (|A| + |B|), is at least ``threshold``, and if
+the words that tell licences of one family apart agree: the unit holds every version number and
+family word of the template, and no other family word.
 
 Two bounds prune, and neither loses a match. Size: the coefficient is at most
 2 min(|A|, |B|) / (|A| + |B|), so a template is compared only with units between
@@ -43,6 +46,14 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
                 "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+                "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -60,16 +71,37 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Words that tell licences of one family apart; numbers with at most one point do so too where a template has them.
+FAMILY = (
+    "lesser", "library", "affero", "by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd", "attribution", "attribution-sharealike", "attribution-noncommercial",
+    "attribution-noderivatives", "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives", "sharealike", "noncommercial", "noderivatives",
+)
+# "by" and "library" also occur in running text, so they count only where a template has them.
+_ALONE = ("by", "library")
+VERSION = r"[0-9]+(?:[.][0-9]+)?"
+
+_STOP, _STOPPED = r"[!?:;]+([\"')\]]*)([ \t\r\n]|\z)", ".$1$2"
 _OTHER = r"[^\p{L}\p{N}.+\n-]+"
 _WORDS = r"\.*[ \n]+"
+_PARAGRAPH = r"\n[ ]*\n\s*"
+
+
+def template_words(text: str) -> list[str]:
+    stopped = re.sub(_STOP.replace(r"\z", r"\Z"), r".\1\2", text.lower())
+    return [w for w in re.split(_WORDS, re.sub(r"[^\w.+\n-]+|_", " ", stopped).strip().rstrip(".")) if w]
 
 
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, as ``bigrams`` finds them in a unit."""
-    words = [w for w in re.split(_WORDS, re.sub(r"[^\w.+\n-]+|_", " ", text.lower()).strip().rstrip(".")) if w]
+    words = template_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def template_marks(text: str) -> list[str]:
+    """The version numbers and family words of a template, which a unit must hold."""
+    return sorted({w for w in template_words(text) if w in FAMILY or re.fullmatch(VERSION, w)} - {"by" if "published by" in text else ""})
+
+
 def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
     """Enough bigrams of each template, the rarest among the templates first, that every match holds one."""
     sets = [template_bigrams(text) for _, text in templates]
@@ -83,11 +115,15 @@ def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[st
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _OTHER, " ")
+    stopped = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _STOP, _STOPPED)
+    return F.regexp_replace(stopped, _OTHER, " ")
+
+
+def unit_words(unit: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(unit, r"\.+$", ""), _WORDS), lambda w: w != "")
 
 
-def bigrams(unit: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(unit, r"\.+$", ""), _WORDS), lambda w: w != "")
+def bigrams(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
 
@@ -97,29 +133,39 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
     # A little wider than exact, so that no rounding excludes a pair at the very bound.
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     known = F.array(*[
-        F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(t))).alias("bigrams")) for name, t in templates
+        F.struct(
+            F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(t))).alias("bigrams"),
+            F.array(*map(F.lit, template_marks(t))).cast("array<string>").alias("marks"),
+            F.array(*[F.lit(w) for w in FAMILY if w not in (*template_words(t), *_ALONE)]).cast("array<string>").alias("others"),
+        )
+        for name, t in templates
     ])
     sizes = [len(template_bigrams(t)) for _, t in templates]
     least, most = min(sizes) * low, max(sizes) * high
 
-    def compared(own):
-        fits = lambda t: (F.size(own) >= F.size(t.bigrams) * low) & (F.size(own) <= F.size(t.bigrams) * high)
+    def compared(unit):
+        own = unit.bigrams
+        agrees = lambda t: (F.size(F.array_except(t.marks, unit.words)) == 0) & ~F.arrays_overlap(t.others, unit.words)
+        fits = lambda t: (F.size(own) >= F.size(t.bigrams) * low) & (F.size(own) <= F.size(t.bigrams) * high) & agrees(t)
         dice = lambda t: 2.0 * F.size(F.array_intersect(own, t.bigrams)) / (F.size(own) + F.size(t.bigrams))
         scored = F.transform(F.filter(known, fits), lambda t: F.struct((-dice(t)).alias("order"), t.license.alias("license")))
         return F.array_min(F.filter(scored, lambda s: s["order"] <= -threshold + 1e-12))
 
     norm = "_license_text"
     found = docs.withColumn(norm, normalised(F.col(text)))
-    pattern = "|".join(rf"{a.replace('.', '[.]').replace('+', '[+]').replace(' ', r'[.]*[ \n]+')}" for a in anchors(templates, threshold))
+    pattern = "|".join(rf"{a.replace('.', '[.]').replace('+', '[+]').replace(' ', r'[. \n]*[ \n]')}" for a in anchors(templates, threshold))
     near = F.col(norm).rlike(f"(?<![^ \\n])(?:{pattern})(?![^ .\\n])")
+    joined = F.flatten(F.transform(F.split(F.col(norm), _PARAGRAPH), lambda p: F.split(F.translate(p, "\n", " "), r"\.+[ ]+")))
     units = F.array_distinct(F.concat(
-        F.split(F.col(norm), r"\.+[ \n]+|\n"), F.split(F.col(norm), "\n"), F.split(F.col(norm), r"\n[ ]*\n\s*"), F.array(F.col(norm)),
+        F.split(F.col(norm), r"\.+[ \n]+|\n"), F.split(F.col(norm), "\n"), F.split(F.col(norm), _PARAGRAPH), joined, F.array(F.col(norm)),
     ))
     # Words are counted by their gaps before any bigram is built; a unit has at most one bigram for each gap.
     gaps = lambda u: F.length(u) - F.length(F.translate(u, " \n", ""))
-    sets = F.transform(F.filter(units, lambda u: gaps(u) >= least), bigrams)
-    sets = F.array_distinct(F.filter(sets, lambda s: (F.size(s) >= least) & (F.size(s) <= most)))
-    best = F.filter(F.transform(sets, compared), lambda b: b.isNotNull())
+    words = F.transform(F.filter(units, lambda u: gaps(u) >= least), unit_words)
+    sets = F.transform(words, lambda w: F.struct(bigrams(w).alias("bigrams"), w.alias("words")))
+    sets = F.filter(sets, lambda s: (F.size(s.bigrams) >= least) & (F.size(s.bigrams) <= most))
+    best = F.transform(sets, lambda s: F.struct(F.array_sort(s.bigrams).alias("bigrams"), compared(s).alias("best")))
+    best = F.transform(F.array_distinct(F.filter(best, lambda b: b.best.isNotNull())), lambda b: b.best)
     matches = F.transform(best, lambda b: F.struct(b.license.alias("license"), (-b["order"]).alias("dice")))
     nothing = F.array().cast("array<struct<license:string,dice:double>>")
     return found.withColumn("matches", F.when(near, matches).otherwise(nothing)).drop(norm)

@@ -81,19 +81,25 @@ FROM d LEFT JOIN per_doc USING (rid)"""
 
 
 def licenses_sql() -> str:
+    listed = lambda words: f"[{', '.join(map(_text, words))}]::VARCHAR[]"
     known = ", ".join(
-        f"({_text(name)}, [{', '.join(map(_text, licenses.template_bigrams(t)))}])" for name, t in licenses.TEMPLATES
+        f"({_text(name)}, {listed(licenses.template_bigrams(t))}, {listed(licenses.template_marks(t))}, "
+        f"{listed([w for w in licenses.FAMILY if w not in licenses.template_words(t) and w not in ('by', 'library')])})"
+        for name, t in licenses.TEMPLATES
     )
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}.+\n-]+', ' ', 'g') AS norm FROM documents)
-, cut AS (SELECT rid, unnest(list_distinct(list_concat(list_concat(string_split_regex(norm, '\.+[ \n]+|\n'), string_split_regex(norm, '\n')),
-    list_append(string_split_regex(norm, '\n[ ]*\n\s*'), norm)))) AS unit FROM d)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[!?:;]+(["''\)\]]*)([ \t\r\n]|\z)', '.\1\2', 'g'),
+    '[^\p{{L}}\p{{N}}.+\n-]+', ' ', 'g') AS norm FROM documents)
+, paragraphs AS (SELECT rid, norm, string_split_regex(norm, '\n[ ]*\n\s*') AS para FROM d)
+, cut AS (SELECT rid, unnest(list_distinct(list_concat(list_concat(list_concat(string_split_regex(norm, '\.+[ \n]+|\n'), string_split_regex(norm, '\n')),
+    flatten(list_transform(para, lambda p: string_split_regex(replace(p, chr(10), ' '), '\.+[ ]+')))), list_append(para, norm)))) AS unit FROM paragraphs)
 , worded AS (SELECT rid, list_filter(string_split_regex(regexp_replace(unit, '\.+$', ''), '\.*[ \n]+'), lambda w: w <> '') AS w FROM cut)
-, sets AS (SELECT DISTINCT rid, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS own FROM worded WHERE len(w) > 1)
-, known AS (FROM (VALUES {known}) AS t(license, bigrams))
-, scored AS (SELECT rid, own, license, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM sets, known)
-, best AS (SELECT rid, license, dice FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12
-  QUALIFY row_number() OVER (PARTITION BY rid, own ORDER BY dice DESC, license) = 1)
+, sets AS (SELECT DISTINCT rid, w, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS own FROM worded WHERE len(w) > 1)
+, known AS (FROM (VALUES {known}) AS t(license, bigrams, marks, others))
+, scored AS (SELECT rid, w, own, license, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM sets, known
+  WHERE list_has_all(w, marks) AND NOT list_has_any(w, others))
+, best AS (SELECT DISTINCT rid, own, license, dice FROM (SELECT * FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12
+  QUALIFY row_number() OVER (PARTITION BY rid, w ORDER BY dice DESC, license) = 1))
 , per_doc AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(dice) AS dice FROM best GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(names, '') AS licenses, round(coalesce(dice, 0.0::DOUBLE), 6) AS best_dice
 FROM d LEFT JOIN per_doc USING (rid)"""
