@@ -15,8 +15,10 @@ a third of all pages is never one group, and every page takes part.
 Each container of a wrapper carries what its slots held over all pages: text,
 link text, pages, and whether the text was the same on all of them. From that,
 the host's content roots follow: ``article`` or ``main`` where the host has one, else the
-container that holds most of the text that changes from page to page and is no link.
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+container that holds most of the text that changes from page to page and is no link. Inside
+the roots each page is matched against its host's wrapper: a slot of its own, no heading, whose text was
+the same on at least ``SAME_PAGES`` pages and most pages of its container is a notice of the template and is
+left out, unless nothing in the root changes from page to page. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are recognised by element and by class name, and left out.
 
 Defined results: a null or empty page has an empty text; a page without its
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,13 +51,17 @@ FAN_IN = 64
 HELD_HOSTS = 500
 #: Depth beyond which containers count as their parent's content.
 MAX_DEPTH = 24
+#: Pages on which a slot must hold the same text before it counts as part of the template.
+SAME_PAGES = 5
 
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^<>"'])*+"""
+# An unquoted part of a tag ends at the next tag, so a tag that is never closed costs no more than its own length.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)>""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""|<[!?][^<>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attrs>{_ATTRS})>""",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CONTAINERS = frozenset(
     "html head body article main section div nav header footer aside form ul ol dl table figure blockquote details dialog fieldset button menu".split()
 )
@@ -68,6 +75,12 @@ _OUTSIDE_NAMES = frozenset(
 )
 
 
+# Words that may stand beside a listed word in the name of a region; any other word makes it a name of its own.
+_BESIDE = frozenset(
+    "site page main left right top bottom box bar block wrapper wrap container area list links link button buttons section inner outer primary secondary global "
+    "fixed sticky post posts entry article content unit slot panel form feed icons icon item items text title body thread single group row col column zone "
+    "mobile desktop message center small large big".split()
+)
 # Never a region by name; words before a name that only describe the page; names that no amount of text makes main text.
 _CORE = frozenset("html body main article".split())
 _STATES = frozenset("has with without no not is are hide show".split())
@@ -83,32 +96,44 @@ def key_of(tag: str, attrs: str) -> str:
 
 
 def outside_names(names: list[str]) -> set[str]:
-    """The listed words among ``names``: a name as a whole, its first word, or its last one unless the name describes a state."""
+    """The listed words of those ``names`` that are made of listed words and words that go beside them, and describe no state."""
     found: set[str] = set()
     for name in names:
         words = name.split("-")
-        found |= _OUTSIDE_NAMES.intersection(words[:1] if words[0] in _STATES else (words[0], words[-1]))
+        if words[0] not in _STATES and all(w in _OUTSIDE_NAMES or w in _BESIDE for w in words):
+            found |= _OUTSIDE_NAMES.intersection(words)
     return found
 
 
-def outside(path: tuple[str, ...], by_name: bool = True) -> bool:
-    """Whether the last container of ``path`` is a region that is never main text; without ``by_name``, whatever its text amounts to."""
-    tag, *names = path[-1].split(".")
+def region(key: str, within: bool, by_name: bool = True) -> bool:
+    """Whether a container or block is a region that is never main text; ``within`` an article or main element, a header is none.
+
+    Without ``by_name`` only readers' comments count by their name, whatever their text amounts to.
+    """
+    tag, *names = key.split(".")
     if tag in _CORE:
         return False
-    found = outside_names(names)
-    # An article's own header holds its title.
-    within = any(p.split(".")[0] in ("article", "main") for p in path[:-1])
+    found = outside_names(names) if names else set()
     if within:
+        # An article's own header holds its title.
         found.discard("header")
     if tag in _OUTSIDE or tag == "header" and not within:
         return True
     return bool(found if by_name else found & _READERS)
 
 
+def holds_article(key: str) -> bool:
+    return key.split(".")[0] in ("article", "main")
+
+
+def outside(path: tuple[str, ...], by_name: bool = True) -> bool:
+    return region(path[-1], any(map(holds_article, path[:-1])), by_name)
+
+
 def events(html: str) -> Iterator[tuple]:
-    """("open", key), ("close",) and ("block", tag, text, link characters) in page order."""
+    """("open", key), ("close",) and ("block", key, text, link characters) in page order."""
     open_: list[str] = []
+    known: Counter[str] = Counter()  # open containers by element
     parts: list[str] = []
     tag, links, in_link, at = "", 0, 0, 0
 
@@ -124,6 +149,14 @@ def events(html: str) -> Iterator[tuple]:
             if in_link:
                 links += len(piece)
 
+    def shut(name):
+        while True:
+            last = open_.pop()
+            known[last] -= 1
+            yield ("close",)
+            if last == name:
+                return
+
     for m in _TOKEN.finditer(html):
         add(html[at:m.start()])
         at = m.end()
@@ -138,20 +171,17 @@ def events(html: str) -> Iterator[tuple]:
         elif name in _CONTAINERS or name in _BLOCKS:
             if text := block():
                 yield "block", tag, text, min(links, len(text))
-            links, in_link, tag = 0, 0, "" if closing else name
+            links, in_link, tag = 0, 0, "" if closing else key_of(name, m["attrs"])
             if name in _CONTAINERS:
                 if not closing:
-                    if name in ("body", "article", "main") and "head" in open_:
-                        while open_.pop() != "head":
-                            yield ("close",)
-                        yield ("close",)
+                    if name in ("body", "article", "main") and known["head"]:
+                        yield from shut("head")
                     open_.append(name)
+                    known[name] += 1
                     yield "open", key_of(name, m["attrs"])
                     tag = ""
-                elif name in open_:
-                    while open_.pop() != name:
-                        yield ("close",)
-                    yield ("close",)
+                elif known[name]:
+                    yield from shut(name)
     add(html[at:])
     if text := block():
         yield "block", tag, text, min(links, len(text))
@@ -163,6 +193,10 @@ def events(html: str) -> Iterator[tuple]:
 KEY, OPTIONAL, REPEATED, CHILDREN, PAGES, CHARS, LINKS, HASH = range(8)
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) or 1
+
+
 def page_wrapper(html: str) -> list:
     """The wrapper of one page."""
     root = ["", False, False, [], 1, 0, 0, 0]
@@ -181,7 +215,7 @@ def page_wrapper(html: str) -> list:
             depth = max(depth - 1, 0)
         else:
             _, tag, text, links = event
-            stack[-1][CHILDREN].append([f"#{tag}", False, False, [], 1, len(text), links, xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) or 1])
+            stack[-1][CHILDREN].append([f"#{tag}", False, False, [], 1, len(text), links, text_hash(text)])
     while stack:
         done = stack.pop()
         done[CHILDREN] = folded(done[CHILDREN])
@@ -287,28 +321,69 @@ def content_roots(wrapper: list) -> list[str]:
         node, path = best, (*path, best[KEY])
 
 
-def extract(html: str, roots: list[str]) -> str:
-    """The main text of a page: its blocks inside the content roots and outside the regions that are never main text."""
-    wanted = frozenset(roots)
+def template_slots(wrapper: list, roots: list[str]) -> list[list]:
+    """[path, block key, text hash] of the slots inside ``roots`` that are part of the host's template."""
+    wanted, found = frozenset(roots), []
+
+    def visit(item, path, single, same, varying):
+        """Collect the slots of a root whose text is always the same; whether any other slot varies."""
+        for child in item[CHILDREN]:
+            alone = single and not child[REPEATED]
+            if not child[KEY].startswith("#"):
+                varying = visit(child, (*path, child[KEY]), alone, same, varying)
+            elif not child[HASH]:
+                varying = True
+            elif alone and child[PAGES] >= max(SAME_PAGES, item[PAGES] / 2) and not re.match("#(h[1-6]|dt|th|summary|caption)\\b", child[KEY]):
+                same.append([">".join(path), child[KEY], child[HASH]])
+        return varying
+
+    def search(item, path):
+        for child in item[CHILDREN]:
+            own = (*path, child[KEY])
+            if ">".join(own) in wanted:
+                same: list[list] = []
+                if visit(child, own, True, same, False):
+                    found.extend(same)
+            elif not child[KEY].startswith("#"):
+                search(child, own)
+
+    search(wrapper, ())
+    return found
+
+
+def extract(html: str, roots: list[str], template: list[list] | None = None) -> str:
+    """The main text of a page: its blocks inside the content roots, outside the regions that are never main text and not of the template."""
+    tree: dict = {}
+    for root in roots:
+        node = tree
+        for key in root.split(">"):
+            node = node.setdefault(key, {})
+        node[""] = True
+    slots = {(path, key, h) for path, key, h in template or ()}
+    deepest = max((path.count(">") for path, _, _ in slots), default=-1)
     inside: list[str] = []
     anywhere: list[str] = []
-    path: tuple[str, ...] = ()
-    state: list[tuple[bool, bool]] = [(False, False)]  # for each open container: in a root, in an excluded region
+    keys: list[str] = []
+    # For each open container: place among the roots, in a root, in an excluded region, in an article.
+    state: list[tuple[dict | None, bool, bool, bool]] = [(tree, False, False, False)]
     seen = False
     for event in events(html):
+        place, rooted, excluded, within = state[-1]
         if event[0] == "open":
-            path = (*path, event[1])
-            root = ">".join(path) in wanted
+            key = event[1]
+            place = place.get(key) if place else None
+            root = bool(place and place.get(""))
             seen |= root
             # A root inside a region named above opens it again.
-            state.append((state[-1][0] or root, not root and (state[-1][1] or outside(path))))
+            state.append((place, rooted or root, not root and (excluded or region(key, within)), within or holds_article(key)))
+            keys.append(key)
         elif event[0] == "close":
-            if path:
-                path = path[:-1]
+            if keys:
+                keys.pop()
                 state.pop()
-        elif not state[-1][1]:
+        elif not excluded and not (event[1] and region(event[1], within)):
             anywhere.append(event[2])
-            if state[-1][0]:
+            if rooted and not (len(keys) - 1 <= deepest and (">".join(keys), f"#{event[1]}", text_hash(event[2])) in slots):
                 inside.append(event[2])
     return "\n\n".join(inside if seen else anywhere)
 
@@ -368,8 +443,11 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
 
     def compile_(batches):
         for batch in batches:
-            roots = [json.dumps(content_roots(json.loads(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.string())], ["_rule_host", "_roots"])
+            rules = []
+            for wrapper in map(json.loads, batch.column(1).to_pylist()):
+                roots = content_roots(wrapper)
+                rules.append(json.dumps([roots, template_slots(wrapper, roots)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], ["_rule_host", "_roots"])
 
     # Written, so that the planner knows whether the rules are small enough to broadcast.
     rules = materialize(wrappers.mapInArrow(compile_, "_rule_host string, _roots string"))
@@ -379,13 +457,13 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
 
     def run(batches):
         for batch in batches:
-            parsed: dict[str, list[str]] = {}
+            parsed: dict[str, list] = {}
             texts = []
             for page, roots in zip(batch.column(html), batch.column("_roots")):
-                page, roots = page.as_py(), roots.as_py() or "[]"
+                page, roots = page.as_py(), roots.as_py() or "[[], []]"
                 if roots not in parsed:
                     parsed[roots] = json.loads(roots)
-                texts.append(extract(page, parsed[roots]) if page else "")
+                texts.append(extract(page, *parsed[roots]) if page else "")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return ruled.mapInArrow(run, schema)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from auditlark.llm import wrappers as W
@@ -36,3 +38,41 @@ def test_named_regions_stay_out():
         assert texts(lambda i: f"<body><article><p>Text of {i}.</p>{region}</article></body>") == [f"Text of {i}." for i in range(5)]  # noqa: B023
     html = page("Alpha", 3)
     assert W.extract(html, W.content_roots(wrapper_of([html, page("Beta", 1)]))) == expected("Alpha", 3)
+
+
+def through_wrapper(make, n=8):
+    pages = [make(i) for i in range(n)]
+    whole = wrapper_of(pages)
+    roots = W.content_roots(whole)
+    return [W.extract(p, roots, W.template_slots(whole, roots)) for p in pages]
+
+
+def test_notices_of_the_template_are_no_text():
+    make = lambda i: (
+        f'<body><article><h1>Title {i}</h1><div class="msg">Read us every day</div><p>Text {i}, of some length.</p><p class="ad">Buy now!</p><h2>Summary</h2>'
+        f'<ul><li>One {i}</li><li class="comment">Nice</li></ul><blockquote>Quote {i}</blockquote><p class="end">All rights kept</p></article></body>'
+    )
+    assert through_wrapper(make) == [f"Title {i}\n\nText {i}, of some length.\n\nSummary\n\nOne {i}\n\nQuote {i}" for i in range(8)]
+
+
+def test_copies_of_one_page_keep_their_text():
+    make = lambda i: "<body><article><h1>Same</h1><p>Always the same text.</p></article></body>"
+    assert through_wrapper(make) == ["Same\n\nAlways the same text."] * 8
+
+
+def test_names_that_only_hold_a_listed_word_are_no_regions():
+    for name in ("social-history", "story-alert", "search-results-explained"):
+        assert texts(lambda i: f'<body><article><section class="{name}">Text of {i}.</section></article></body>') == [f"Text of {i}." for i in range(5)]  # noqa: B023
+    make = lambda i: f'<body><article><h1>T {i}</h1><section data-role="banner"><p>Text {i}.</p></section><div data-id="share"><p>More {i}.</p></div></article></body>'
+    assert texts(make) == [f"T {i}\n\nText {i}.\n\nMore {i}." for i in range(5)]
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 100_000 + "<p>x</p>" + "</div>" * 100_000, "<div>" * 100_000 + "x" + "</nav>" * 100_000, "x<b" * 300_000, "<svg" * 250_000 + "x", "<a href='" * 100_000 + "x",
+    '<p class="' * 100_000, "<!" * 300_000, "<ul><li>x" * 50_000,
+])
+def test_a_megabyte_of_broken_markup_takes_seconds(html):
+    start = time.perf_counter()
+    W.page_wrapper(html)
+    W.extract(html, ["html>body>article"])
+    assert time.perf_counter() - start < 20
