@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +31,9 @@ from auditlark.session import materialize
 from .texts import text_buffers
 
 UNKNOWN = "und"
-#: The bounded training sample: documents of a language, languages (the most frequent ones), windows of a document.
+#: The bounded training sample: distinct texts of a language, of all languages (one each at least), windows of a text.
 DOCS_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+SAMPLE_DOCS = 60_000
 WINDOWS_PER_DOC = 6
 WINDOW = 128
 #: Windows scored at once.
@@ -137,17 +137,19 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], s
 
 
 def training_windows(docs: DataFrame) -> DataFrame:
-    """(lang, window): evenly spread windows of at most about DOCS_PER_LANGUAGE documents of each language.
+    """(lang, window): evenly spread windows of at most DOCS_PER_LANGUAGE distinct texts of every language.
 
-    Documents are chosen by a hash of text and language against a share that follows from
-    one count per language, so nothing is sorted or gathered per language.
+    The texts with the smallest hashes are drawn, after copies have become one; with
+    many languages each gets an equal share of SAMPLE_DOCS, at least one text.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(F.col("lang").cast("string"), "text")
+    usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(F.col("lang").cast("string"), "text", F.xxhash64("text", "lang").alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    drawn = usable.select("lang", "draw").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DOCS_PER_LANGUAGE)
     # Written, so that the planner knows its size and need not shuffle the texts.
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    shares = materialize(counts.select("lang", (F.lit(float(DOCS_PER_LANGUAGE)) / F.col("n")).alias("share")))
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")
+    drawn = materialize(drawn)
+    share = max(1, SAMPLE_DOCS // max(1, drawn.filter("place = 1").count()))
+    chosen = usable.join(drawn.filter(F.col("place") <= share).select("lang", "draw"), ["lang", "draw"], "left_semi")
+    chosen = chosen.dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches):
         for batch in batches:

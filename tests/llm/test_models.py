@@ -92,6 +92,17 @@ def test_language_edges(spark):
     assert language.predict(docs.limit(0), net).count() == 0
 
 
+def test_every_language_trains_and_copies_count_once(spark):
+    """300 languages of two texts each, one of them beside a text that is copied 5,000 times."""
+    words = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("ko", "mi", "ta", "re", "su") * 6)
+    rows = [(f"l{i:03d}", words(i) + tail) for i in range(300) for tail in ("", " x")] + [("l007", "the one text that is everywhere")] * 5_000
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    sample = language.training_windows(docs).toPandas()
+    assert sample.lang.nunique() == 300
+    assert sample.groupby("lang").size().max() <= 3 * language.WINDOWS_PER_DOC
+    assert set(sample[sample.lang == "l007"].window.map(lambda w: bytes(w)[:3])) >= {b"the"}
+
+
 def test_language_scores_do_not_depend_on_batching(monkeypatch):
     rng = np.random.default_rng(1)
     net = language.Network(("a", "b"), tuple(rng.normal(size=(w, 256, 4)).astype("f4") for w in (2, 3)), np.zeros(8, "f4"), rng.normal(size=(8, 2)), np.zeros(2))
