@@ -3,9 +3,12 @@ state what a correct parser must give back, from the same columns."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.windows import US
+from ..session import scratch
 from ..sources import access_log as W
 from ..sources import json_lines as J
 from ..sources import syslog as L
@@ -162,6 +165,34 @@ def import_csv_logs(spark, sf_dir):
     return normal.select("event_id", "ts_us", "event", "user", "src_ip", "host", "msg", "parsed")
 
 
+# Every third message is cut by a line break and holds a quotation.
+@query(over_events("""
+SELECT ts_us, event, "user", src_ip, CASE WHEN event_id % 3 = 0 THEN 'no ' || event_id || chr(10) || 'says "' || msg || '"' ELSE 'no ' || event_id || ' ' || msg END AS msg FROM sec"""))
+def import_csv_files(spark, sf_dir):
+    events = sec_events(spark, sf_dir)
+    number = F.concat(F.lit("no "), "event_id")
+    msg = F.when(F.col("event_id") % 3 == 0, F.concat(number, F.lit('\nsays "'), "msg", F.lit('"'))).otherwise(F.concat_ws(" ", number, "msg"))
+    rows = events.select(
+        seconds_text().alias("Timestamp"), F.col("user").alias("UserName"), F.col("src_ip").alias("Source_IP"), F.col("event").alias("Event_Type"), msg.alias("Message"))
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    rows.repartition(3).write.options(header=True, escape='"', quoteAll=True).csv(folder)
+    return J.import_csv_logs(spark, folder, INGEST_US, multi_line=True).select("ts_us", "event", "user", "src_ip", "msg")
+
+
+# Every third message is cut by a line break and holds a quotation.
+@query(over_events("""
+SELECT ts_us, event, "user", src_ip, CASE WHEN event_id % 3 = 0 THEN 'no ' || event_id || chr(10) || 'says "' || msg || '"' ELSE 'no ' || event_id || ' ' || msg END AS msg FROM sec"""))
+def import_csv_files(spark, sf_dir):
+    events = sec_events(spark, sf_dir)
+    number = F.concat(F.lit("no "), "event_id")
+    msg = F.when(F.col("event_id") % 3 == 0, F.concat(number, F.lit('\nsays "'), "msg", F.lit('"'))).otherwise(F.concat_ws(" ", number, "msg"))
+    rows = events.select(
+        seconds_text().alias("Timestamp"), F.col("user").alias("UserName"), F.col("src_ip").alias("Source_IP"), F.col("event").alias("Event_Type"), msg.alias("Message"))
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    rows.repartition(3).write.options(header=True, escape='"', quoteAll=True).csv(folder)
+    return J.import_csv_logs(spark, folder, INGEST_US, multi_line=True).select("ts_us", "event", "user", "src_ip", "msg")
+
+
 def xml_records(spark, sf_dir):
     events = sec_events(spark, sf_dir)
     iso = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
@@ -128,13 +128,77 @@ def normalize_csv_rows(rows: DataFrame, ingest_us: int, columns: list[str] | Non
     return normalize_fields(mapped, "_f", "_raw", ingest_us, "csv_import")
 
 
-def import_csv_logs(spark: SparkSession, path: str, ingest_us: int, delimiter: str = ",",
-                    max_rows: int | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV log files with a header row.
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, first): the records of CSV files whose quoted fields may hold line breaks; ``first`` marks each file's first line.
 
-    ``multi_line`` keeps quoted line breaks inside a record; a file is then read by one task.
+    Files are read as lines by splits. Whether a line begins inside quotes is the parity of the
+    quotes before it: within its split a running sum, before its split the sum of one number per earlier
+    split. Most records are one line; only lines of longer ones are brought together.
+    An unclosed quote makes the rest of its file one record.
     """
-    rows = spark.read.option("header", True).option("sep", delimiter).option("multiLine", multi_line).option("escape", '"').csv(path)
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+    ).withColumn("odd", (F.length("value") - F.length(F.translate("value", '"', ""))) % 2)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"), F.min("id").alias("begin"))
+    open_ = open_.select("file", "split", "begin", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("file", "split").orderBy("id")
+    upto = F.coalesce(F.sum("odd").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(open_, ["file", "split"]).withColumn("inside", (F.col("before") + upto) % 2 == 1)
+    marked = marked.withColumn("first", (F.col("split") == 0) & (F.col("id") == F.col("begin")))
+    whole = ~F.col("inside") & (F.col("odd") == 0)
+    # A record of several lines is named by its first one, which may lie in an earlier split.
+    broken = marked.where(~whole).withColumn("start", F.when(~F.col("inside"), F.col("id")))
+    last = broken.groupBy("file", "split").agg(F.max("start").alias("start"))
+    carried = last.select("file", "split", F.last("start", ignorenulls=True).over(earlier).alias("carried"))
+    named = broken.join(carried, ["file", "split"]).withColumn("start", F.coalesce(F.max("start").over(own.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
+    parts = F.array_sort(F.collect_list(F.struct("split", "id", "value")))
+    joined = named.groupBy("file", "start").agg(F.array_join(F.transform(parts, lambda p: p.value), "\n").alias("value"), F.max("first").alias("first"))
+    return marked.where(whole).select("file", "value", "first").unionByName(joined.select("file", "value", "first"))
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, first): the records of CSV files whose quoted fields may hold line breaks; ``first`` marks each file's first line.
+
+    Files are read as lines by splits. Whether a line begins inside quotes is the parity of the
+    quotes before it: within its split a running sum, before its split the sum of one number per earlier
+    split. Most records are one line; only lines of longer ones are brought together.
+    An unclosed quote makes the rest of its file one record.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+    ).withColumn("odd", (F.length("value") - F.length(F.translate("value", '"', ""))) % 2)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"), F.min("id").alias("begin"))
+    open_ = open_.select("file", "split", "begin", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("file", "split").orderBy("id")
+    upto = F.coalesce(F.sum("odd").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(open_, ["file", "split"]).withColumn("inside", (F.col("before") + upto) % 2 == 1)
+    marked = marked.withColumn("first", (F.col("split") == 0) & (F.col("id") == F.col("begin")))
+    whole = ~F.col("inside") & (F.col("odd") == 0)
+    # A record of several lines is named by its first one, which may lie in an earlier split.
+    broken = marked.where(~whole).withColumn("start", F.when(~F.col("inside"), F.col("id")))
+    last = broken.groupBy("file", "split").agg(F.max("start").alias("start"))
+    carried = last.select("file", "split", F.last("start", ignorenulls=True).over(earlier).alias("carried"))
+    named = broken.join(carried, ["file", "split"]).withColumn("start", F.coalesce(F.max("start").over(own.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
+    parts = F.array_sort(F.collect_list(F.struct("split", "id", "value")))
+    joined = named.groupBy("file", "start").agg(F.array_join(F.transform(parts, lambda p: p.value), "\n").alias("value"), F.max("first").alias("first"))
+    return marked.where(whole).select("file", "value", "first").unionByName(joined.select("file", "value", "first"))
+
+
+def import_csv_logs(spark: SparkSession, path: str, ingest_us: int, delimiter: str = ",",
+                    max_rows: int | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV log files with a header row; ``multi_line`` keeps quoted line breaks inside a record, and large files are many tasks all the same."""
+    options = {"sep": delimiter, "escape": '"'}
+    rows = spark.read.options(header=True, **options).csv(path)
+    if multi_line:
+        records = quoted_records(spark, path).where("NOT first AND value <> ''")
+        fields = ", ".join(f"`{c}` string" for c in rows.columns)
+        rows = records.select(F.from_csv("value", fields, options).alias("c")).select("c.*")
     if max_rows is not None:
         rows = rows.limit(max_rows)
     return normalize_csv_rows(rows, ingest_us)

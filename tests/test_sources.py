@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +163,43 @@ def test_quoted_line_breaks_in_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('timestamp,username,message\n5,alice,"one\ntwo"\n6,bob,three\n')
     rows = J.import_csv_logs(spark, str(tmp_path / "a.csv"), NOW, multi_line=True).collect()
     assert sorted((r.user, r.msg) for r in rows) == [("alice", "one\ntwo"), ("bob", "three")]
+
+
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(['a', ' ', ',', '\n', '"', '\n\n', 'é']) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    for part in range(2):
+        with open(tmp_path / f"f{part}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n" if part else "\r\n", quoting=csv.QUOTE_ALL)
+            writer.writerow(["timestamp", "username", "message"])
+            writer.writerows((i, f"u{i}", f"<{m}>") for i, m in rows if i % 2 == part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 6
+        found = {r.user: r.msg for r in J.import_csv_logs(spark, str(tmp_path), NOW, multi_line=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert found == {f"u{i}": f"<{m}>" for i, m in rows}
+
+
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(['a', ' ', ',', '\n', '"', '\n\n', 'é']) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    for part in range(2):
+        with open(tmp_path / f"f{part}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n" if part else "\r\n", quoting=csv.QUOTE_ALL)
+            writer.writerow(["timestamp", "username", "message"])
+            writer.writerows((i, f"u{i}", f"<{m}>") for i, m in rows if i % 2 == part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 6
+        found = {r.user: r.msg for r in J.import_csv_logs(spark, str(tmp_path), NOW, multi_line=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert found == {f"u{i}": f"<{m}>" for i, m in rows}
