@@ -13,6 +13,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hubs and hot keys are split well before they fill a task's memory.
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     # Batches of long texts stay small in Python workers.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # CEF extensions may repeat a key; the last value wins.
