@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from auditlark.session import materialize
 
 from .bpe import byte_symbols
+from .texts import tidy
 
 #: Bytes of a range, fragments composed at once, links of a block, units a task remembers, longest remembered unit, characters of texts read at once.
 CHUNK = 1 << 16
@@ -375,7 +376,7 @@ def read_texts(chunks: DataFrame, files: tuple[str, str]) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(reader.read(rows), _ROWS)
         yield pa.RecordBatch.from_pylist(reader.block(), _ROWS)
 
-    return chunks.select("rid", "doc_id", "part", "text", "first", "start", "stop").mapInArrow(run, _DDL)
+    return chunks.select("rid", "doc_id", "part", "text", "first", "start", "stop").mapInArrow(tidy(run), _DDL)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[list[dict]]:
@@ -432,7 +433,7 @@ def finish(composed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out + (block() if blocks.links >= BLOCK_LINKS else []), _ROWS)
         yield pa.RecordBatch.from_pylist(block(), _ROWS)
 
-    return composed.select("rid", "doc_id", "fragment").mapInArrow(run, _DDL)
+    return composed.select("rid", "doc_id", "fragment").mapInArrow(tidy(run), _DDL)
 
 
 def cut_long(docs: DataFrame, chunk: int) -> DataFrame:
@@ -446,7 +447,7 @@ def cut_long(docs: DataFrame, chunk: int) -> DataFrame:
                     row = (rid, doc_id, part, piece.decode(), first, start, stop)
                     yield pa.RecordBatch.from_pylist([dict(zip(names, row))], pa.schema([(n, pa.string() if n == "text" else pa.int64()) for n in names]))
 
-    ranges = docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, part long, text string, first long, start long, stop long")
+    ranges = docs.select("rid", "doc_id", "text").mapInArrow(tidy(run), "rid long, doc_id long, part long, text string, first long, start long, stop long")
     return ranges.repartition("rid", "part")
 
 

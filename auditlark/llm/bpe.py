@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .texts import row_slices, text_buffers
+from .texts import row_slices, text_buffers, tidy
 
 #: Distinct words of each of the two generations a partition keeps; a full one becomes the older one.
 CACHE_WORDS = 75_000
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), lists], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -264,4 +264,4 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), strings), " ")
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

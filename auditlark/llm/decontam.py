@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from auditlark.session import materialize
 
-from .texts import mixed, text_buffers, text_key
+from .texts import mixed, text_buffers, text_key, tidy
 
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 8 << 20
@@ -157,7 +157,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield from _segment_rows(number, ids, keys, texts)
 
     narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
-    return materialize(narrow.mapInArrow(run, _INDEX))
+    return materialize(narrow.mapInArrow(tidy(run), _INDEX))
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:

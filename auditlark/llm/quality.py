@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .texts import mixed, row_slices, row_sums, text_buffers, token_hashes
+from .texts import mixed, row_slices, row_sums, text_buffers, tidy, token_hashes
 
 #: At most so many labelled rows train the model; the rows with the smallest hash of their id.
 TRAIN_ROWS = 6_000
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, docs: DataFrame, label: str = "quality", params: Ft
         model = train_stream((e for b in batches for e in examples_of(b, params)), params)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    found = passes.mapInArrow(run, "weights binary, bias double").collect()
+    found = passes.mapInArrow(tidy(run), "weights binary, bias double").collect()
     if not found:
         return QualityModel(np.zeros(params.buckets, np.float32), 0.0)
     return QualityModel(np.frombuffer(bytes(found[0]["weights"]), np.float32), float(found[0]["bias"]))
@@ -156,4 +156,4 @@ def score_texts(docs: DataFrame, model: QualityModel, out: str = "score", text:
                 found[a:b] = scores(data, offsets[a:b + 1], shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from auditlark.session import materialize
 
-from .texts import text_key
+from .texts import text_key, tidy
 
 BITS = 64
 #: Distinct fingerprints of one bucket that are searched in one piece.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, text_key long, fp long")
+    return narrow.mapInArrow(tidy(run), "doc_id long, text_key long, fp long")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -174,7 +174,7 @@ def near_edges(classes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame
         )
     )
     parted = parted.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
-    return parted.mapInArrow(lambda batches: _bucket_edges(batches, radius), "u long, v long").distinct()
+    return parted.mapInArrow(tidy(lambda batches: _bucket_edges(batches, radius)), "u long, v long").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
