@@ -30,101 +30,155 @@ ROW = StructType(
 )
 
 
-BUCKET = StructType([StructField("bucket", LongType())])
-BUCKET_ROWS = StructType([StructField("rows", ArrayType(ROW))])
+# A row that waits, with its key.
+WAITING = StructType([*ROW.fields, StructField("key", StringType())])
 
+#: Most rows of a chunk.
+CHUNK_ROWS = 512
 
-class Buckets:
-    """Rows of a key by time bucket; adding or dropping rows rewrites only the buckets they lie in."""
+# Key, first and last time of a chunk, its rows, and a number that tells equal ones apart.
+CHUNK = StructType([StructField("key", StringType()), *[StructField(c, LongType()) for c in ("first_us", "last_us", "n", "part")]])
+KEY = StructType([StructField("key", StringType())])
+NAMES = StructType([StructField("names", ArrayType(CHUNK))])
 
-    def __init__(self, state, width_us: int) -> None:
-        self.state, self.width_us = state, width_us
 
-    def _read(self, bucket: int) -> list[tuple]:
-        found = self.state.getValue((bucket,))
-        return [tuple(r) for r in found[0]] if found is not None else []
+def rows_of(row: StructType) -> StructType:
+    return StructType([StructField("rows", ArrayType(row))])
 
-    def _write(self, bucket: int, rows: list[tuple]) -> None:
-        if rows:
-            self.state.updateValue((bucket,), (rows,))
-        else:
-            self.state.removeKey((bucket,))
 
-    def _buckets(self) -> list[int]:
-        return sorted(k[0] for k in self.state.keys())
+class Chunks:
+    """Rows in chunks that follow their times.
 
-    def add(self, rows: list[tuple]) -> None:
-        own: dict[int, list[tuple]] = {}
-        for r in rows:
-            own.setdefault(r[0] // self.width_us, []).append(r)
-        for bucket, more in own.items():
-            self._write(bucket, self._read(bucket) + more)
-
-    def first(self) -> int | None:
-        """The earliest time."""
-        known = self._buckets()
-        return min(r[0] for r in self._read(known[0])) if known else None
-
-    def rows(self) -> list[tuple]:
-        return sorted(r for bucket in self._buckets() for r in self._read(bucket))
+    A call to the state moves a whole chunk, so the calls grow with the chunks and not
+    with the rows. New rows join a chunk that is less than half full, if there is one; what they
+    rewrite is bounded, and so is the number of small chunks.
+    """
 
-    def take(self, before_us: int) -> list[tuple]:
-        """Remove the rows before a time and return them in order."""
-        out = []
-        for bucket in self._buckets():
-            if bucket * self.width_us >= before_us:
-                break
-            own = self._read(bucket)
-            rest = [r for r in own if r[0] >= before_us]
-            out += [r for r in own if r[0] < before_us]
-            self._write(bucket, rest)
-        return sorted(out)
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def names(self) -> list[tuple]:
+        """Name of each chunk, the earliest first."""
+        return sorted((tuple(k) for k in self.state.keys()), key=lambda c: c[1:])
+
+    def read(self, name: tuple) -> list[tuple]:
+        return [tuple(r) for r in self.state.getValue(name)[0]]
+
+    def _pop(self, name: tuple) -> list[tuple]:
+        rows = self.read(name)
+        self.state.removeKey(name)
+        return rows
+
+    def add(self, rows: list[tuple], names: list[tuple], key: str | None = "") -> list[tuple]:
+        """Add rows beside the chunks ``names`` of the key; returns the new names."""
+        known = set(names)
+        for small in [c for c in names if c[3] < CHUNK_ROWS // 2]:
+            rows = rows + self._pop(small)
+            known.discard(small)
+        rows = sorted(rows, key=lambda r: r[:2])
+        for i in range(0, len(rows), CHUNK_ROWS):
+            own = rows[i:i + CHUNK_ROWS]
+            name = (key, own[0][0], own[-1][0], len(own), 0)
+            while name in known:
+                name = (*name[:4], name[4] + 1)
+            known.add(name)
+            self.state.updateValue(name, (own,))
+        return sorted(known, key=lambda c: c[1:])
+
+    def drop(self, before_us: int, names: list[tuple]) -> list[tuple]:
+        """Remove the chunks that end before a time; returns the names of the others."""
+        for name in names:
+            if name[2] < before_us:
+                self.state.removeKey(name)
+        return [c for c in names if c[2] >= before_us]
+
+    def take(self, before_us: int) -> tuple[list[tuple], int | None]:
+        """Remove the rows before a time; returns them, and the earliest time left."""
+        names = self.names()
+        passed = [c for c in names if c[1] < before_us]
+        rows = [r for name in passed for r in self._pop(name)]
+        left = names[len(passed):]
+        if rest := [r for r in rows if r[0] >= before_us]:
+            left = self.add(rest, left)
+        return [r for r in rows if r[0] < before_us], left[0][1] if left else None
+
+
+class Windows:
+    """The rows of each key's window; only the keys that get rows are read or written."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.chunks = Chunks(handle.getMapState("window", CHUNK, rows_of(ROW)))
+        self.held = handle.getMapState("held", KEY, NAMES)
+
+    def rows(self, key: str | None, since_us: int) -> tuple[list[tuple], list[tuple] | None]:
+        """The rows from a time on in order, and the key's chunks (None for a key never seen)."""
+        found = self.held.getValue((key,))
+        if found is None:
+            return [], None
+        names = [tuple(c) for c in found[0]]
+        return sorted(r for c in names for r in self.chunks.read(c) if r[0] >= since_us), names
+
+    def update(self, key: str | None, names: list[tuple] | None, since_us: int, rows: list[tuple]) -> None:
+        """Add rows and remove chunks that end before a time."""
+        names = self.chunks.drop(since_us, names or [])
+        self.held.updateValue((key,), (self.chunks.add(rows, names, key) if rows else names,))
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Releases rows of a key in (ts_us, event_id) order once the watermark is past them."""
+    """Releases rows of each key in (ts_us, event_id) order once the watermark is past them.
 
-    #: Width of the buckets that rows wait in.
-    bucket_us = 60 * US
+    A processor serves a share of the keys, whose rows wait together: what a batch costs in
+    calls depends on the share's chunks, not on its keys. Memory is kept by key.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = Buckets(handle.getMapState("pending", BUCKET, BUCKET_ROWS), self.bucket_us)
-        self.memory = handle.getListState("memory", ROW)
+        self.pending = Chunks(handle.getMapState("pending", CHUNK, rows_of(WAITING)))
+        self.memory = handle.getMapState("memory", KEY, rows_of(ROW))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.pending.first()
+        names = self.pending.names()
+        first = names[0][1] if names else None
         earliest = math.inf
         for pdf in rows:
-            new = list(pdf[["ts_us", "event_id", "member", "value"]].itertuples(index=False, name=None))
-            self.pending.add(new)
+            new = list(zip(*(pdf[c].tolist() for c in WAITING.names)))
+            names = self.pending.add(new, names)
             earliest = min(earliest, min(r[0] for r in new))
         if first is None or earliest < first:
             self.handle.registerTimer(int(earliest) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ready = self.pending.take(timerValues.getCurrentWatermarkInMs() * 1000)
-        rest = self.pending.first()
+        before_us = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, rest = self.pending.take(before_us)
         if rest is not None:
             self.handle.registerTimer(rest // 1000 + 1)
-        if not ready:
-            return
-        out = self.released(ready)
-        if len(out):
-            yield out.assign(key=key[0])[self.columns]
-
-    def released(self, ready: list[tuple]) -> pd.DataFrame:
-        out, memory = self.advance([tuple(r) for r in self.memory.get()], ready)
-        if memory:
-            self.memory.put(memory)
-        else:
-            self.memory.clear()
+        by_key: dict[str | None, list[tuple]] = {}
+        for r in ready:
+            by_key.setdefault(r[4], []).append(r[:4])
+        out = [(own, *row) for own, rows in by_key.items() for row in self.released(own, sorted(rows))]
+        self.settle(before_us)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def released(self, key: str | None, ready: list[tuple]) -> list[tuple]:
+        found = self.memory.getValue((key,))
+        out, memory = self.follow(key, [tuple(r) for r in found[0]] if found is not None else [], ready)
+        self.memory.updateValue((key,), (memory,))
         return out
 
-    def advance(self, memory: list[tuple], ready: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+    def follow(self, key: str | None, memory: list[tuple], ready: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         raise NotImplementedError
 
+    def settle(self, before_us: int) -> None:
+        """After a release; no later row is older than the time."""
+
+    def advance(self, memory: list[tuple], ready: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+        """One key by itself."""
+        out, memory = self.follow("", memory, ready)
+        self.settle(ready[-1][0])
+        return pd.DataFrame(out, columns=self.columns[1:]), memory
+
     def close(self) -> None:
         pass
 
@@ -142,23 +196,19 @@ class SlidingWindow(OrderedProcessor):
         self.min_distinct = min_distinct
         self.fire_from_us = fire_from_us
         self.max_per_member = max_per_member
-        # A window is some tens of buckets, so little is rewritten and little is read in vain.
-        self.bucket_us = max(60, window_s // 32) * US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.window = Buckets(handle.getMapState("window", BUCKET, BUCKET_ROWS), self.bucket_us)
-
-    def released(self, ready: list[tuple]) -> pd.DataFrame:
-        """Rows stay in the window's buckets until it has passed them."""
-        self.window.take(ready[0][0] - self.window_us)
-        out, kept = self.advance(self.window.rows(), ready)
-        if kept:
-            self.window.take(kept[0][0])
-            self.window.add([r for r in ready if r >= kept[0]])
+        self.window = Windows(handle)
+
+    def released(self, key, ready):
+        """Rows stay in the window's chunks until it has passed them."""
+        held, names = self.window.rows(key, ready[0][0] - self.window_us)
+        out, kept = self.follow(key, held, ready)
+        self.window.update(key, names, kept[0][0], [r for r in ready if r[0] >= kept[0][0]])
         return out
 
-    def advance(self, memory, ready):
+    def follow(self, key, memory, ready):
         rows = memory + ready
         counts: dict[str, int] = {}
         for r in memory:
@@ -184,49 +234,76 @@ class SlidingWindow(OrderedProcessor):
             if n >= self.min_rows and len(counts) >= self.min_distinct and now >= self.fire_from_us and not crowded:
                 out += [(rows[j][1], now, n, len(counts), rows[start][0]) for j in range(i, peers)]
             i = peers
-        return pd.DataFrame(out, columns=self.columns[1:]), rows[start:]
+        return out, rows[start:]
 
 
-TEXT = StructType([StructField("text", StringType())])
+TEXT = StructType([*KEY.fields, StructField("text", StringType())])
 TIME = StructType([StructField("ts_us", LongType())])
+COUNTS = StructType([StructField("counts", ArrayType(LongType()))])
+
+
+class Cached:
+    """Names and times of a key in a map state, each read once and written once however many rows ask for it.
+
+    A key that is ``new`` has nothing there to read.
+    """
+
+    def __init__(self, state, key: str | None, new: bool) -> None:
+        self.state, self.key, self.new = state, key, new
+        self.known: dict[str, int | None] = {}
+        self.changed: set[str] = set()
+
+    def get(self, name: str) -> int | None:
+        if name not in self.known:
+            found = None if self.new else self.state.getValue((self.key, name))
+            self.known[name] = found[0] if found is not None else None
+        return self.known[name]
+
+    def put(self, name: str, time: int) -> None:
+        self.known[name] = time
+        self.changed.add(name)
+
+    def write(self) -> None:
+        for name in sorted(self.changed):
+            self.state.updateValue((self.key, name), (self.known[name],))
 
 
 class SiteBlocks(OrderedProcessor):
     """The first time a source has enough hits on a site within the window.
 
     Each pattern text counts once per source, each request once per instant. Rows carry
-    ``{"site", "kind", "text"}``; the state is a bucketed window, the texts seen and the sites blocked.
+    ``{"site", "kind", "text"}``; the state is a window in chunks, the texts seen and the sites blocked.
     """
 
     columns = ["key", "event_id", "ts_us", "site", "hits"]
 
     def __init__(self, window_s: int, threshold: int) -> None:
         self.window_us, self.threshold = window_s * US, threshold
-        self.bucket_us = max(60, window_s // 32) * US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.window = Buckets(handle.getMapState("window", BUCKET, BUCKET_ROWS), self.bucket_us)
+        self.window = Windows(handle)
         self.seen = handle.getMapState("seen", TEXT, TIME)
         self.blocked = handle.getMapState("blocked", TEXT, TIME)
 
-    def released(self, ready: list[tuple]) -> pd.DataFrame:
-        self.window.take(ready[0][0] - self.window_us)
+    def released(self, key, ready):
+        held, names = self.window.rows(key, ready[0][0] - self.window_us)
         recent: dict[str, deque] = {}
-        for r in self.window.rows():
+        for r in held:
             recent.setdefault(r[2], deque()).append(r[0])
+        seen, blocked = Cached(self.seen, key, names is None), Cached(self.blocked, key, names is None)
         out, kept = [], []
-        for now, peers in groupby(sorted(ready), key=lambda r: r[0]):
+        for now, peers in groupby(ready, key=lambda r: r[0]):
             first: dict[str, int] = {}
             instant: set[tuple[str, str]] = set()
             for r in peers:
                 hit = json.loads(r[3])
                 same = (hit["kind"], hit["text"])
-                if same in instant or (hit["kind"] == "pattern" and self.seen.containsKey((hit["text"],))):
+                if same in instant or (hit["kind"] == "pattern" and seen.get(hit["text"]) is not None):
                     continue
                 instant.add(same)
                 if hit["kind"] == "pattern":
-                    self.seen.updateValue((hit["text"],), (now,))
+                    seen.put(hit["text"], now)
                 if hit.get("site") is not None:
                     first.setdefault(hit["site"], r[1])
                     recent.setdefault(hit["site"], deque()).append(now)
@@ -235,22 +312,25 @@ class SiteBlocks(OrderedProcessor):
                 hits = recent[site]
                 while hits[0] < now - self.window_us:
                     hits.popleft()
-                if len(hits) >= self.threshold and not self.blocked.containsKey((site,)):
-                    self.blocked.updateValue((site,), (now,))
+                if len(hits) >= self.threshold and blocked.get(site) is None:
+                    blocked.put(site, now)
                     out.append((event_id, now, site, len(hits)))
-        self.window.add([r for r in kept if r[0] >= ready[-1][0] - self.window_us])
-        return pd.DataFrame(out, columns=self.columns[1:])
+        seen.write()
+        blocked.write()
+        since = ready[-1][0] - self.window_us
+        self.window.update(key, names, since, [r for r in kept if r[0] >= since])
+        return out
 
 
 class EwmaSpikes(OrderedProcessor):
-    """Running mean and deviation of a key; state is one row whatever the history."""
+    """Running mean and deviation of a key; state is one row a key whatever the history."""
 
     columns = ["key", "event_id", "ts_us", "n_sample", "z", "spike"]
 
     def __init__(self, alpha: float = 0.3, threshold: float = 3.0, warmup: int = 10) -> None:
         self.alpha, self.threshold, self.warmup = alpha, threshold, warmup
 
-    def advance(self, memory, ready):
+    def follow(self, key, memory, ready):
         n, mean, var = 0, 0.0, 0.0
         if memory:
             mean, var = (float.fromhex(v) for v in memory[0][3].split())
@@ -267,7 +347,7 @@ class EwmaSpikes(OrderedProcessor):
                 mean, var = self.alpha * x + (1 - self.alpha) * mean, self.alpha * dev * dev + (1 - self.alpha) * var
             out.append((event_id, ts_us, n, z, n > self.warmup and z >= self.threshold))
         state = [(ready[-1][0], n, "", f"{mean.hex()} {var.hex()}")]
-        return pd.DataFrame(out, columns=self.columns[1:]), state
+        return out, state
 
 
 class SuppressRepeats(OrderedProcessor):
@@ -278,7 +358,7 @@ class SuppressRepeats(OrderedProcessor):
     def __init__(self, window_s: int = 900) -> None:
         self.window_s = window_s
 
-    def advance(self, memory, ready):
+    def follow(self, key, memory, ready):
         sent_at = memory[0][0] if memory else None
         out = []
         for ts_us, event_id, _, _ in ready:
@@ -286,15 +366,15 @@ class SuppressRepeats(OrderedProcessor):
             send = sent_at is None or second - sent_at > self.window_s
             sent_at = second if send else sent_at
             out.append((event_id, ts_us, "sent" if send else "deduped"))
-        return pd.DataFrame(out, columns=self.columns[1:]), [(sent_at, 0, "", "")]
+        return out, [(sent_at, 0, "", "")]
 
 
 class UserRisk(OrderedProcessor):
     """Risk of each authentication event from what the user did before.
 
     Known sources and hosts lie in map states with the time they were last seen; one
-    not seen for ``keep_s`` of event time is unknown again, and a sweep removes it. Hours are a
-    map of 24 counts; the last attempts and event times are a bounded list.
+    not seen for ``keep_s`` of event time is unknown again, and a sweep removes it. Hours are one
+    entry of 24 counts; the last attempts and event times are a bounded list.
     """
 
     columns = ["key", "event_id", "ts_us", "logins", "score", "factors"]
@@ -305,51 +385,61 @@ class UserRisk(OrderedProcessor):
         self.weights, self.min_logins = weights, min_logins
         self.attempt_span, self.event_span, self.burst_us = attempt_span, event_span, burst_s * US
         self.keep_us = keep_s * US
+        self.due = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.ips = handle.getMapState("ips", TEXT, TIME)
         self.hosts = handle.getMapState("hosts", TEXT, TIME)
-        self.hours = handle.getMapState("hours", TEXT, TIME)
+        self.hours = handle.getMapState("hours", KEY, COUNTS)
 
-    def _known(self, state, name: str, now: int) -> bool:
-        found = state.getValue((name,))
-        return found is not None and found[0] >= now - self.keep_us
+    def _known(self, names: Cached, name: str, now: int) -> bool:
+        seen = names.get(name)
+        return seen is not None and seen >= now - self.keep_us
 
     def _sweep(self, now: int) -> None:
         for state in (self.ips, self.hosts):
-            for name in [k[0] for k, v in state.iterator() if v[0] < now - self.keep_us]:
-                state.removeKey((name,))
+            for name in [tuple(k) for k, v in state.iterator() if v[0] < now - self.keep_us]:
+                state.removeKey(name)
+
+    def settle(self, before_us):
+        if self.due:
+            self._sweep(before_us)
+            self.due = False
 
-    def advance(self, memory, ready):
+    def follow(self, key, memory, ready):
         # Logins so far and the last sweep, then attempts, then event times.
         n, swept = (memory[0][1], memory[0][0]) if memory else (0, ready[0][0])
         fails = deque((r[1] for r in memory if r[2] == "attempt"), maxlen=self.attempt_span)
         times = deque((r[0] for r in memory if r[2] == "time"), maxlen=self.event_span)
+        ips, hosts = Cached(self.ips, key, not memory), Cached(self.hosts, key, not memory)
+        found = self.hours.getValue((key,)) if memory else None
+        hours = list(found[0]) if found is not None else [0] * 24
         out = []
         for ts_us, event_id, _, value in ready:
             event = json.loads(value)
-            hour = (str(ts_us // (3600 * US) % 24),)
+            hour = ts_us // (3600 * US) % 24
             kind, ip, host = event["event"], event["src_ip"], event["host"]
-            seen = self.hours.getValue(hour)
             if kind in ("AUTH_OK", "AUTH_FAIL"):
-                known = self._known(self.ips, ip, ts_us), self._known(self.hosts, host, ts_us)
-                found = self.factors(n, ts_us, ip, host, seen[0] if seen is not None else 0, *known, fails, times)
+                known = self._known(ips, ip, ts_us), self._known(hosts, host, ts_us)
+                found = self.factors(n, ts_us, ip, host, hours[hour], *known, fails, times)
                 score = min(100.0, sum(found.values()))
                 out.append((event_id, ts_us, n, score, ",".join(found)))
             times.append(ts_us)
             if kind == "AUTH_OK":
-                self.ips.updateValue((ip,), (ts_us,))
-                self.hosts.updateValue((host,), (ts_us,))
-                self.hours.updateValue(hour, ((seen[0] if seen is not None else 0) + 1,))
+                ips.put(ip, ts_us)
+                hosts.put(host, ts_us)
+                hours[hour] += 1
                 n += 1
             if kind in ("AUTH_OK", "AUTH_FAIL"):
                 fails.append(int(kind == "AUTH_FAIL"))
-            if ts_us - swept > self.keep_us // 8:
-                self._sweep(ts_us)
-                swept = ts_us
+        ips.write()
+        hosts.write()
+        self.hours.updateValue((key,), (hours,))
+        if ready[-1][0] - swept > self.keep_us // 8:
+            swept, self.due = ready[-1][0], True
         kept = [(swept, n, "logins", ""), *[(0, f, "attempt", "") for f in fails], *[(t, 0, "time", "") for t in times]]
-        return pd.DataFrame(out, columns=self.columns[1:]), kept
+        return out, kept
 
     def factors(self, n, now, ip, host, in_hour, ip_known, host_known, fails, times) -> dict[str, float]:
         found: dict[str, float] = {}

@@ -25,6 +25,8 @@ from .processors import EwmaSpikes, OrderedProcessor, SiteBlocks, SlidingWindow,
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "10 minutes"
+#: Shares of the keys with exact state; each is worked on as one. A checkpoint belongs to its number.
+SHARES = 2_048
 
 WINDOW_OUT = "key string, event_id long, ts_us long, n long, n_distinct long, first_us long"
 BLOCK_OUT = "key string, event_id long, ts_us long, site string, hits long"
@@ -84,11 +86,11 @@ def _keyed(rows: DataFrame, key: Column, processor: OrderedProcessor, schema: st
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     none = F.lit("")
     shaped = with_event_time(rows, delay).select(
-        "event_time", key.alias("key"), "ts_us", "event_id",
+        "event_time", F.pmod(F.xxhash64(key), F.lit(SHARES)).alias("share"), key.alias("key"), "ts_us", "event_id",
         (none if member is None else member.cast("string")).alias("member"),
         (none if value is None else value.cast("string")).alias("value"),
     )
-    return shaped.groupBy("key").transformWithStateInPandas(
+    return shaped.groupBy("share").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode="EventTime"
     )
 

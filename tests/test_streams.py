@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from auditlark.operators.folds import suppress_repeats
 from auditlark.session import checkpoint_root
 from auditlark.sources.json_lines import parse_jsonl_events
 from auditlark.streaming import stream as M
-from auditlark.streaming.processors import UserRisk
+from auditlark.streaming.processors import EwmaSpikes, SiteBlocks, SlidingWindow, UserRisk
 
 US = 1_000_000
 SCHEMA = "event_id long, ts_us long, event string, user string, src_ip string, host string, msg string"
@@ -171,3 +172,63 @@ def test_a_batch_writes_its_own_keys_only(spark, tmp_path):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class FakeHandle:
+    """Map and list states that count the calls made to them."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        handle = self
+
+        class Counted(FakeState):
+            def __getattribute__(self, attr):
+                if attr in ("getValue", "updateValue", "removeKey", "containsKey", "iterator", "keys"):
+                    handle.calls += 1
+                return super().__getattribute__(attr)
+
+        return self.states.setdefault(name, Counted())
+
+    def getListState(self, name, *_):  # noqa: N802
+        class Held(list):
+            get, put, clear = lambda s: iter(list(s)), lambda s, rows: s.__setitem__(slice(None), rows), list.clear
+
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+@pytest.mark.parametrize("processor, value", [
+    (EwmaSpikes(), lambda i: str(i % 7)),
+    (UserRisk({"new_ip": 35, "off_hours": 25, "failures": 20, "burst": 15, "new_host": 5}, 5, 50, 500, 600),
+     lambda i: json.dumps({"event": "AUTH_OK", "src_ip": f"a{i % 15}", "host": "h"})),
+    (SiteBlocks(3 * 86_400, 3), lambda i: json.dumps({"site": "s", "kind": "pattern", "text": f"t{i % 13}"})),
+    (SlidingWindow(3 * 86_400, 4), lambda i: ""),
+])
+def test_calls_to_the_state_do_not_follow_the_rows(processor, value):
+    handle = FakeHandle()
+    processor.init(handle)
+    rows = [(i * 3600 * US, i, "", value(i), "k") for i in range(2000)]
+    random.Random(1).shuffle(rows)
+    pdf = pd.DataFrame(rows, columns=["ts_us", "event_id", "member", "value", "key"])
+    list(processor.handleInputRows(("k",), iter([pdf]), None))
+    found = []
+    for hour in (1000, 3000):
+        timer = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: hour * 3_600_000})()
+        found += [out for out in processor.handleExpiredTimer(("k",), timer, None)]
+    # 500 hours of one row each lay in as many buckets before.
+    assert handle.calls < 200 and not handle.states["pending"]
+    assert found and all((f["key"] == "k").all() for f in found)
+
+
+def test_keys_of_one_share_do_not_mix(spark, shuffled, monkeypatch):
+    batch, stream = shuffled
+    monkeypatch.setattr(M, "SHARES", 1)
+    many = lambda rows: rows.withColumn("user", F.concat("user", F.col("event_id") % 5))
+    expected = D.bruteforce_windows(many(batch), keys=("user",), window_s=500, threshold=4).where(F.col("ts_us") < passed(batch))
+    found = M.run_available(M.sliding_window_stream(many(stream()), F.col("user"), 500, 4, delay="2 minutes")).where(F.col("ts_us") < passed(batch))
+    a = sorted(map(tuple, expected.select("event_id", "user", "n", "first_us").collect()))
+    assert a and a == sorted(map(tuple, found.select("event_id", "key", "n", "first_us").collect()))
