@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from auditlark.operators import windows as W
 from auditlark.operators.stats import exact_median, ewma_spikes
 from auditlark.operators.windows import Over, Total, carried, find_slices, row_blocks, running_totals, sliding_state
 
@@ -118,3 +119,16 @@ def test_ewma_blocks_equal_one_pass(spark):
         mean, var = alpha * x + (1 - alpha) * mean, alpha * (x - mean) ** 2 + (1 - alpha) * var
         assert row.z == pytest.approx(z, rel=1e-9) and row.mean == pytest.approx(mean, rel=1e-12)
         assert row.spike == (row.n_sample > 10 and z >= 3)
+
+
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(W, "TASK_ROWS", 100)
+    rows = spark.range(2000).selectExpr("id AS event_id", "id * 7 % 500 AS ts_us", "id % 90 AS k", "'h' AS host")
+    found = W.running_totals(rows, ["k"], {"n": W.Total(F.lit(1))})
+    assert found.rdd.getNumPartitions() >= 20
+    by_key = {}
+    for r in sorted(found.collect(), key=lambda r: (r.k, r.ts_us, r.event_id)):
+        by_key.setdefault(r.k, []).append(r.n)
+    assert len(by_key) == 90 and all(n == list(range(1, len(n) + 1)) for n in by_key.values())
+    few = W.running_totals(rows.where("event_id < 90"), ["k"], {"n": W.Total(F.lit(1))})
+    assert few.rdd.getNumPartitions() <= 4
