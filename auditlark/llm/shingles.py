@@ -1,11 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash fingerprints and the Jaccard similarity of word shingles.
 
-A text's set holds the XXH64 hashes of its shingles (``simhash.shingle_hashes``).
-``BANDS`` bands of ``ROWS`` min-hashes find candidates, and every link is verified
-on the whole sets before anything is contracted. A pair at similarity s shares no
+A text's set holds the XXH64 hashes of its shingles (``simhash.shingle_hashes``). Candidates
+come from two searches, and every link is verified on the whole sets before anything
+is contracted. The covering tables of ``simhash`` find the fingerprints within ``RADIUS`` bits,
+each a candidate with the one its bucket's search reached it from. What similar sets
+lie further apart is found by ``BANDS`` bands of ``ROWS`` min-hashes: a pair at similarity s shares no
 band with probability (1 - s^ROWS)^BANDS: 3 in a million at 0.8, less above.
 
-Texts with equal sets fold into one node first. A bucket is not compared pair by
+Texts with equal sets fold into one node first, nodes with equal fingerprints meet
+the smallest of them. A band's bucket is not compared pair by
 pair: all its nodes are verified against its smallest one and contracted; only
 buckets that then still hold several components are searched, in blocks, and
 there only nodes of different components are compared.
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 
 from auditlark.session import materialize
 
-from .simhash import components, keep_first, shingle_hashes
+from .simhash import CHUNK as HASHES
+from .simhash import components, fingerprint_of, keep_first, near_edges, shingle_hashes
 from .texts import text_key, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Bits that fingerprints of the covering search may differ in.
+RADIUS = 4
 BANDS, ROWS = 24, 4
 #: Nodes of a bucket that are searched in one piece.
 BLOCK = 256
@@ -43,10 +49,14 @@ _SCALE, _SHIFT = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 _BAND_COLUMNS = [f"band{i}" for i in range(BANDS)]
 
 
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    found = list(shingle_hashes(text, words))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    found = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return np.unique(_hashes(text, words))
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -68,19 +78,22 @@ def _node(own: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, node, band0, ...): ``node`` names the set."""
+    """(doc_id, text_key, node, fp, band0, ...): ``node`` names the set, ``fp`` is the fingerprint."""
 
     def run(batches):
         for batch in batches:
-            nodes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros((BANDS, batch.num_rows), np.uint64)
+            nodes, fps = np.zeros((2, batch.num_rows), np.uint64)
+            keys = np.zeros((BANDS, batch.num_rows), np.uint64)
             for i, text in enumerate(_bytes(batch.column(2))):
-                own = shingle_set(text, words)
+                all_hashes = _hashes(text, words)
+                own = np.unique(all_hashes)
                 nodes[i], keys[:, i] = _node(own), band_keys(own)
-            columns = [pa.array(x.view(np.int64)) for x in (nodes, *keys)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_key", "node", *_BAND_COLUMNS])
+                fps[i] = fingerprint_of(all_hashes[a:a + HASHES] for a in range(0, len(all_hashes), HASHES))
+            columns = [pa.array(x.view(np.int64)) for x in (nodes, fps, *keys)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_key", "node", "fp", *_BAND_COLUMNS])
 
     narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
-    return narrow.mapInArrow(tidy(run), "doc_id long, text_key long, node long, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS))
+    return narrow.mapInArrow(tidy(run), "doc_id long, text_key long, node long, fp long, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -128,19 +141,32 @@ def _across(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def covered_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(node, leader): candidates of the covering search over the fingerprints of ``classes`` (node, fp)."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = classes.join(heads, "fp").select("node", F.col("head").alias("leader"))
+    near = near_edges(heads.select("fp", F.col("fp").alias("node")), radius)
+    near = near.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("leader")), "u")
+    near = near.join(heads.select(F.col("fp").alias("v"), F.col("head").alias("node")), "v")
+    return equal.unionByName(near.select("node", "leader")).filter(F.col("node") != F.col("leader"))
+
+
+def similar_groups(
+    docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS
+) -> DataFrame:
     """(doc_id, text_key, group): rows that chains of texts at ``similarity`` or more link share a group."""
     spark = docs.sparkSession
     prints = materialize(signatures(docs, words))
-    classes = materialize(prints.groupBy("node").agg(F.min("text_key").alias("key"), *[F.min(b).alias(b) for b in _BAND_COLUMNS]))
+    classes = materialize(prints.groupBy("node").agg(F.min("text_key").alias("key"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in _BAND_COLUMNS]))
     bands = F.array(*[F.struct(F.lit(i).alias("t"), F.col(b).alias("k")) for i, b in enumerate(_BAND_COLUMNS)])
     rows = classes.select("node", F.explode(bands).alias("x")).select(F.xxhash64("x.t", "x.k").alias("bucket"), "node")
     leaders = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter(F.col("size") > 1)
     shared = materialize(rows.join(leaders, "bucket"))
-    wanted = classes.select("node", "key").join(shared.select("node").distinct(), "node", "left_semi")
-    sets = materialize(sets_of(docs, wanted, words))
+    covered = covered_pairs(classes.select("node", "fp"), radius)
+    pairs = materialize(covered.union(shared.filter(F.col("node") != F.col("leader")).select("node", "leader")).distinct())
+    named = shared.select("node").union(pairs.select("node")).union(pairs.select("leader")).distinct()
+    sets = materialize(sets_of(docs, classes.select("node", "key").join(named, "node", "left_semi"), words))
 
-    pairs = shared.filter(F.col("node") != F.col("leader")).select("node", "leader").distinct()
     compared = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("other")), "leader")
     edges = materialize(compared.filter(jaccard(F.col("grams"), F.col("other")) >= similarity).select(F.col("node").alias("u"), F.col("leader").alias("v")))
     roots = materialize(components(spark, edges))

@@ -22,7 +22,7 @@ extra columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +61,20 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(view[s:e], SEED) for s, e in pairs), np.uint64, min(CHUNK, len(starts) - a))
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Bit i is set if it is set in more than half of the shingle hashes."""
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """Bit i is set if it is set in more than half of the hashes."""
     counts, total = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         total += len(h)
     bits = np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)
     return int(bits[0]) if total else 0
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, text_key, fp): the fingerprint as a signed long."""
 

@@ -23,7 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """Keep the document with the smallest id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more.
+
+    SimHash fingerprints under covering tables find candidates, min-hashes those beyond their radius.
+    """
     return shingles.drop_similar(docs, words=5, similarity=0.8)
 
 

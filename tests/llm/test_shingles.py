@@ -65,3 +65,19 @@ def test_small_blocks_link_alike(spark):
         for i in sorted(found):
             smallest.setdefault(found[i], i)
         assert [smallest[found[i]] for i in sorted(found)] == want
+
+
+def test_the_stage_searches_fingerprints(spark, monkeypatch):
+    """What the covering tables reach is linked without any band."""
+    texts = planted(random.Random(4), 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Bands that no two sets share.
+    monkeypatch.setattr(S, "band_keys", lambda own: [S._node(own)] * S.BANDS)
+    fps = [S.fingerprint_of(S.shingle_hashes(t.lower().encode(), 5)) for t in texts]
+    near = [(a, b) for b in range(len(texts)) for a in range(b)
+            if bin(fps[a] ^ fps[b]).count("1") <= S.RADIUS and similarity(grams(texts[a]), grams(texts[b])) >= 0.8]
+    group = {r.doc_id: r.group for r in S.similar_groups(docs).collect()}
+    assert len(near) > 5 and sum(group[a] == group[b] for a, b in near) == len(near)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    roots = groups(texts)
+    assert {roots[i] for i in kept} == set(roots) and len(kept) < len(texts)
