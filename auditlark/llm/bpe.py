@@ -25,9 +25,10 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from .texts import row_slices, text_buffers, tidy
 
 #: Distinct words of each of the two generations a partition keeps; a full one becomes the older one.
-CACHE_WORDS = 75_000
+CACHE_WORDS = 150_000
 #: Bytes of text encoded at once, and characters of one text scanned at once.
 SLICE_BYTES = 1 << 20
 PIECE_CHARS = 1 << 19
@@ -103,6 +104,34 @@ class Vocabulary:
         )
 
 
+class Words:
+    """Words by number, and the ids of all of them in one array."""
+
+    def __init__(self, single: dict[str, int]):
+        self.number = defaultdict(count().__next__)
+        self.ids, self.starts = np.array(list(single.values()), np.int32), np.arange(len(single) + 1)
+        self.numbers(iter(single), len(single))
+
+    def numbers(self, words: Iterator[str], n: int) -> np.ndarray:
+        """The number of each word; one not met yet gets the next one."""
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, n)
+
+    def absent(self) -> list[str]:
+        """Words that have no ids yet, by number."""
+        return list(islice(reversed(self.number), len(self.number) - len(self.starts) + 1))[::-1]
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, end of each word)."""
+        first = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - first
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(sizes.sum())], ends
+
+
 class Encoder:
     """Encodes texts of one partition."""
 
@@ -111,8 +140,7 @@ class Encoder:
         self.ranks = dict(zip(v.codes.tolist(), v.code_ranks.tolist()))
         self.pairs = {r: (c >> _SHIFT, c & ((1 << _SHIFT) - 1)) for c, r in self.ranks.items()}
         self.merged = v.merged.tolist()
-        self.words: dict[str, tuple[int, ...]] = {t: (i,) for t, i in v.special.items()}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known, self.older = Words(v.special), Words({})
         self.special = regex.compile("|".join(map(regex.escape, v.special))) if v.special else None
 
     def split(self, text: str) -> Iterator[str]:
@@ -135,12 +163,14 @@ class Encoder:
         ids, counts, held, n_held = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), [], 0
 
         def flush():
-            self._learn(set(chain.from_iterable(words for _, words in held)))
-            look = self.words.__getitem__
-            for row, words in held:
-                found = np.fromiter(chain.from_iterable(map(look, words)), np.int32)
-                ids.append(found)
-                counts[row] += len(found)
+            self._renew()
+            sizes = np.fromiter((len(words) for _, words in held), np.int64, len(held))
+            numbers = self.known.numbers(chain.from_iterable(words for _, words in held), int(sizes.sum()))
+            self._learn()
+            found, ends = self.known.take(numbers)
+            ids.append(found)
+            of_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
+            np.add.at(counts, np.fromiter((row for row, _ in held), np.int64, len(held)), of_text)
             held.clear()
 
         for row, text in enumerate(texts):
@@ -158,18 +188,29 @@ class Encoder:
         flush()
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
+    def _renew(self) -> None:
+        if len(self.known.number) > CACHE_WORDS:
             # Words still in use come back from the older generation, the rest is forgotten.
-            self.older, self.words = self.words, {t: (i,) for t, i in self.vocabulary.special.items()}
-        absent = [w for w in words if w not in self.words]
-        known = self.older.get
-        self.words.update((w, ids) for w in absent if (ids := known(w)))
-        new = [w for w in absent if w not in self.words]
+            self.older, self.known = self.known, Words(self.vocabulary.special)
+
+    def _learn(self) -> None:
+        """The ids of the words that got a number but have none yet."""
+        absent = self.known.absent()
+        if not absent:
+            return
+        old = np.fromiter((self.older.number.get(w, -1) for w in absent), np.int64, len(absent))
+        ids, ends = self.older.take(old[old >= 0])
+        sizes = np.zeros(len(absent), np.int64)
+        sizes[old >= 0] = np.diff(ends, prepend=0)
+        new = [w for w, i in zip(absent, old.tolist()) if i < 0]
         if new:
-            ids, ends = self.merge(new)
-            ids = ids.tolist()
-            self.words.update((word, tuple(ids[a:b])) for word, a, b in zip(new, [0, *ends[:-1]], ends))
+            merged, ends = self.merge(new)
+            sizes[old < 0] = np.diff(ends, prepend=0)
+            both = np.empty(len(ids) + len(merged), np.int32)
+            at = np.repeat(old >= 0, sizes)
+            both[at], both[~at] = ids, merged
+            ids = both
+        self.known.add(ids, sizes)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         """(ids of all words, end of each word), by the pair occurrence index."""
@@ -202,27 +243,23 @@ class Encoder:
                 if sym[i] != left or j < 0 or sym[j] != right:
                     continue  # a merge since then took one of the two
                 sym[i], sym[j] = new, -1
-                k, p = after[j], before[i]
-                after[i] = k
+                after[i] = k = after[j]
                 if k >= 0:
                     before[k] = i
-                    self._add(index, active, lookup((new << _SHIFT) | sym[k]), i)
-                if p >= 0:
-                    self._add(index, active, lookup((sym[p] << _SHIFT) | new), p)
+                    if (r := lookup((new << _SHIFT) | sym[k])) is not None:
+                        if r not in index:
+                            index[r] = []
+                            heapq.heappush(active, r)
+                        index[r].append(i)
+                if (p := before[i]) >= 0 and (r := lookup((sym[p] << _SHIFT) | new)) is not None:
+                    if r not in index:
+                        index[r] = []
+                        heapq.heappush(active, r)
+                    index[r].append(p)
         done = np.array(sym, np.int64)
         kept = np.cumsum(done >= 0)
         return done[done >= 0], kept[ends - 1].tolist()
 
-    @staticmethod
-    def _add(index: dict[int, list[int]], active: list[int], rank: int | None, at: int) -> None:
-        if rank is None:
-            return
-        if rank in index:
-            index[rank].append(at)
-        else:
-            index[rank] = [at]
-            heapq.heappush(active, rank)
-
 
 def _with(docs: DataFrame, out: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
     docs = docs.drop(out)

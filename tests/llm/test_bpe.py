@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,6 +36,23 @@ def test_a_full_cache_starts_afresh(reference, monkeypatch):
         assert encoder.encode([text])[0].tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_a_usual_partition_are_merged_once(monkeypatch):
+    encoder = bpe.Encoder(bpe.Vocabulary.load(bpe.default_path()))
+    merged = []
+
+    def merge(words):
+        merged.extend(words)
+        return np.arange(len(words)), list(range(1, 1 + len(words)))
+
+    monkeypatch.setattr(encoder, "merge", merge)
+    letters = "abcdefghijklmnop"
+    words = ["".join(letters[i >> s & 15] for s in (16, 12, 8, 4, 0)) for i in range(200_000)]
+    texts = [" ".join(words[a:a + 5_000]) for a in range(0, len(words), 5_000)]
+    first, again = (encoder.encode(texts) for _ in range(2))
+    assert len(merged) == len(words) and (first[0] == again[0]).all() and (first[1] == again[1]).all()
+    assert first[1].tolist() == list(range(0, len(words) + 1, 5_000))
+
+
 def test_round_trip_over_a_table(spark, reference):
     rows = [(i, t, "kept") for i, t in enumerate([None, *CASES, *CASES[:2]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
