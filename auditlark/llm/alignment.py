@@ -12,7 +12,7 @@ Its task gets the text from the last break before the range to the first break
 after it. A break is a blank or a line end after a character that is neither; no token of
 either vocabulary crosses one (checked when they are loaded), so the text between
 two breaks has the same tokens alone as within its document. Such units are encoded
-once and remembered by the task.
+once, many as one text, and remembered by the task.
 
 Every elementary interval between neighbouring token ends is one link, a pair of
 tokens that overlap. Pair counts are taken per block of links (a few million) and
@@ -33,7 +33,7 @@ import io
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from itertools import chain
 
 import numpy as np
@@ -48,18 +48,22 @@ from auditlark.session import materialize
 from .bpe import byte_symbols
 from .texts import tidy
 
-#: Bytes of a range, fragments composed at once, links of a block, units a task remembers, longest remembered unit, characters of texts read at once.
+#: Bytes of a range, fragments composed at once, links of a block, units a task remembers, longest remembered unit, characters of texts read at once,
+#: characters of units encoded as one text, such texts encoded at once.
 CHUNK = 1 << 16
 FAN = 16
 BLOCK_LINKS = 1 << 22
 CACHE_UNITS = 300_000
 CACHED_LENGTH = 64
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
+JOINED_CHARS = 1 << 13
+JOINED = 16
 
 #: A blank or line end with all white space and the word behind it, up to the next break.
 _UNIT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _SHIFT = 16
+_DECIMALS = list(map(str, range(1 << _SHIFT)))
 
 
 def default_paths() -> tuple[str, str]:
@@ -69,6 +73,18 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass
+class Tokens:
+    """Of neighbouring units: whether both tokenizers spell them, the ids of those that are valid, how many each has, bytes."""
+
+    valid: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    lengths: np.ndarray
+
+
 class Encoders:
     """Both tokenizers of a task and the bytes of their tokens."""
 
@@ -107,6 +123,46 @@ class Encoders:
         spelt = zip(raw, (b"".join([self.a_bytes[i] for i in x]) for x in a), (b"".join([self.b_bytes[i] for i in x]) for x in b))
         return np.array([t == x == y for t, x, y in spelt], bool), a, b, np.array([len(t) for t in raw], np.int64)
 
+    def tokens(self, units: list[str]) -> Tokens:
+        """The tokens of texts that start with a break; those that neighbours may follow are encoded as one text."""
+        cuts, size = [0], 0
+        for i, unit in enumerate(units, 1):
+            size += len(unit)
+            if size >= JOINED_CHARS or unit[-1].isspace():
+                cuts.append(i)
+                size = 0
+        if size:
+            cuts.append(len(units))
+        found: list[Tokens] = []
+        for k in range(0, len(cuts) - 1, JOINED):
+            own = [units[i:j] for i, j in zip(cuts[k:k + JOINED], cuts[k + 1:k + JOINED + 1])]
+            texts = ["".join(p) for p in own]
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            b = self.b.encode(["\n" + t for t in texts], num_threads=1)
+            found += [self._apart(*p) for p in zip(own, texts, a, b)]
+        return Tokens(*(np.concatenate([getattr(t, f.name) for t in found]) if found else np.zeros(0, np.int64) for f in fields(Tokens)))
+
+    def _apart(self, units: list[str], text: str, a: list[int], b: list[int]) -> Tokens:
+        """The tokens of each unit from those of the units as one text; where these do not spell it, each is encoded by itself."""
+        del b[:2]
+        raw = text.encode()
+        stops = np.cumsum(np.fromiter(map(len, units if len(raw) == len(text) else map(str.encode, units)), np.int64, len(units)))
+        ids, sizes = [], []
+        for own, spelt, lengths in ((a, self.a_bytes, self.a_lengths), (b, self.b_bytes, self.b_lengths)):
+            if b"".join([spelt[i] for i in own]) == raw:
+                x = np.array(own, np.int64)
+                ends = np.cumsum(lengths[x])
+                at = np.searchsorted(ends, stops, side="right")
+                if (ends[at - 1] == stops).all():
+                    ids.append(x)
+                    sizes.append(np.diff(at, prepend=0))
+        if len(ids) == 2:
+            return Tokens(np.ones(len(units), bool), *ids, *sizes, np.diff(stops, prepend=0))
+        valid, *lists, lengths = self.encode(units)
+        lists = [[x if ok else [] for x, ok in zip(own, valid)] for own in lists]
+        ids = [np.fromiter(chain.from_iterable(own), np.int64) for own in lists]
+        return Tokens(valid, *ids, *(np.fromiter(map(len, own), np.int64, len(units)) for own in lists), lengths)
+
     def ends(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, their byte ends, ids of B, their byte ends) of neighbouring texts."""
         x, y = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
@@ -124,12 +180,15 @@ class Aligned:
 
 
 def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Aligned:
-    ends = np.unique(np.concatenate([a_ends, b_ends]))
+    first = min(a_ends[0], b_ends[0])
+    marked = np.zeros(max(a_ends[-1], b_ends[-1]) - first + 1, bool)
+    marked[a_ends - first] = marked[b_ends - first] = True
+    ends = np.flatnonzero(marked) + first
     i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     shared = (a_ends[i] == ends) & (b_ends[j] == ends)
     names = []
     for ids, at in ((a, i), (b, j)):
-        shown, cut = list(map(str, ids.tolist())), [0, *(at[shared] + 1).tolist()]
+        shown, cut = list(map(_DECIMALS.__getitem__, ids.tolist())), [0, *(at[shared] + 1).tolist()]
         names.append([shown[x] if y - x == 1 else ",".join(shown[x:y]) for x, y in zip(cut, cut[1:])])
     return Aligned(ends[shared], [f"{x}|{y}" for x, y in zip(*names)], ends, (b[j] << _SHIFT | a[i]).astype(np.int32))
 
@@ -288,18 +347,18 @@ class Reader:
         return self.blocks.row(np.concatenate([*self.flat, np.zeros(0, np.int32)]), np.concatenate([[0], self.sizes[3]]))
 
     def learn(self, units: list[str]) -> None:
-        valid, a, b, lengths = self.encoders.encode(units)
-        self.known |= dict.fromkeys((u for u, ok in zip(units, valid) if not ok), 0)
-        names, a, b = ([x for x, ok in zip(own, valid) if ok] for own in (units, a, b))
+        t = self.encoders.tokens(units)
+        self.known |= dict.fromkeys((u for u, ok in zip(units, t.valid) if not ok), 0)
+        names = units if t.valid.all() else [u for u, ok in zip(units, t.valid) if ok]
         if not names:
             return
-        ends = np.cumsum(lengths[valid])
-        found = aligned(*self.encoders.ends(a, b))
+        ends = np.cumsum(t.lengths[t.valid])
+        found = aligned(t.a, np.cumsum(self.encoders.a_lengths[t.a]), t.b, np.cumsum(self.encoders.b_lengths[t.b]))
         cut = np.searchsorted(found.common, ends, side="right")
         links = np.searchsorted(found.ends, ends, side="right")
         self.known |= zip(names, range(len(self.groups), len(self.groups) + len(names)))
         self.groups += [";".join(found.groups[x:y]) for x, y in zip([0, *cut.tolist()], cut.tolist())]
-        size = np.array([list(map(len, a)), list(map(len, b)), np.diff(cut, prepend=0), self.sizes[3, -1] + links])
+        size = np.array([t.n_a[t.valid], t.n_b[t.valid], np.diff(cut, prepend=0), self.sizes[3, -1] + links])
         self.sizes = np.concatenate([self.sizes, size], 1)
         self.flat.append(found.pairs)
 
@@ -309,25 +368,26 @@ class Reader:
         rows = [r for r in rows if r["part"] is None]
         found = [_UNIT.findall(" " + r["text"]) if r["text"] else [] for r in rows]
         known = self.known
-        new = list({u for units in found for u in units if u not in known})
+        met = set(chain.from_iterable(found))
+        new = list(met.difference(known))
         out = []
         if len(known) + len(new) > CACHE_UNITS:
             out = self.block()
             self.forget()
             known = self.known
-            new = list({u for units in found for u in units})
+            new = list(met)
         self.learn(new)
-        docs = [[known[u] for u in units] for units in found]
-        n = np.array([len(d) for d in docs], np.int64)
-        flat = np.fromiter(chain.from_iterable(docs), np.int64, int(n.sum()))
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        at = list(map(known.__getitem__, chain.from_iterable(found)))
+        flat = np.array(at, np.int64)
         first = np.cumsum(n) - n
         total = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(self.sizes[:3, flat], 1)], 1)
         n_a, n_b, n_groups = total[:, first + n] - total[:, first]
         broken = np.concatenate([[0], np.cumsum(flat == 0)])
         ok = (n > 0) & (broken[first + n] == broken[first])
-        groups = self.groups
-        for r, d, good, x, y, z in zip(rows, docs, ok.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist()):
-            own = {"n_a": x, "n_b": y, "n_groups": z, "groups_sha256": _digest(";".join([groups[u] for u in d]))} if good else _EMPTY
+        name = self.groups.__getitem__
+        for r, i, d, good, x, y, z in zip(rows, first.tolist(), n.tolist(), ok.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist()):
+            own = {"n_a": x, "n_b": y, "n_groups": z, "groups_sha256": _digest(";".join(map(name, at[i:i + d])))} if good else _EMPTY
             out.append({"rid": r["rid"], "doc_id": r["doc_id"]} | own)
         rids = np.array([r["rid"] for r in rows], np.int64)
         self.blocks.add(rids[ok], n[ok], flat[np.repeat(ok, n)], int((n_a + n_b - n_groups)[ok].sum()))

@@ -93,6 +93,37 @@ def test_small_blocks_give_the_same_sums(spark, monkeypatch):
     assert [tuple(r) for r in found[FIELDS].itertuples(index=False)] == brute(texts)
 
 
+@pytest.mark.parametrize("joined", [1, 40, 1 << 13])
+def test_units_encoded_together_have_the_tokens_of_each(monkeypatch, joined):
+    monkeypatch.setattr(alignment, "JOINED_CHARS", joined)
+    monkeypatch.setattr(alignment, "JOINED", 3)
+    encoders = alignment.Encoders(*alignment.default_paths())
+    units = [u for t in HOSTILE for u in alignment._UNIT.findall(" " + (t or ""))]
+    units += [f" x{i} naïve" for i in range(50)]
+    found = encoders.tokens(units)
+    valid, a, b, lengths = encoders.encode(units)
+    assert found.valid.tolist() == valid.tolist() and not valid.all() and found.lengths.tolist() == lengths.tolist()
+    for ids, flat, sizes in ((a, found.a, found.n_a), (b, found.b, found.n_b)):
+        ids = [x if ok else [] for x, ok in zip(ids, valid)]
+        assert flat.tolist() == [i for x in ids for i in x] and sizes.tolist() == [len(x) for x in ids]
+    assert not len(encoders.tokens([]).valid)
+
+
+def test_short_units_do_not_cost_a_call_each():
+    encoders = alignment.Encoders(*alignment.default_paths())
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    library, encoders.a = encoders.a, Counted()
+    reader = alignment.Reader(encoders, 0)
+    out = reader.read([{"rid": 1, "doc_id": 1, "part": None, "text": " ".join(f"w{i}" for i in range(5_000))}])
+    assert len(asked) < 20 and len(out) == 1 and out[0]["n_a"] >= 5_000
+
+
 def test_composition_is_associative():
     encoders = alignment.Encoders(*alignment.default_paths())
     valid, a, b, _ = encoders.encode([" incomprehensibilities-naïve_straße12345"])
