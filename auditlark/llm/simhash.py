@@ -163,7 +163,8 @@ def near_edges(classes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame
     tables = F.array(*[F.struct(F.lit(i).alias("t"), (F.col("fp").bitwiseAND(F.lit(m))).alias("k")) for i, m in enumerate(covering_masks(radius))])
     rows = classes.select("fp", "node", F.explode(tables).alias("x")).select(F.xxhash64("x.t", "x.k").alias("bucket"), "fp", "node")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    rows = rows.join(sizes, "bucket")
+    # The planner does not count what explode adds: the rows, 31 for each class, would look small enough to broadcast.
+    rows = rows.hint("merge").join(sizes, "bucket")
     # A bucket of up to ``block`` rows is one part. A larger one is cut into n blocks by node
     # and every pair of blocks is a part, so any two rows meet in one.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")

@@ -55,6 +55,35 @@ def test_spanning_edges_link_like_all_pairs():
         assert root == brute_groups([int(f) for f in fps], 4)
 
 
+def exploded_broadcasts(df):
+    """Broadcasts in the physical plan of ``df`` that hold exploded rows."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [re.search(r"[^ :+-]|$", line).start() for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        if " BroadcastExchange " in line and any(" Generate " in x for x in lines[i:below]):
+            found.append(line)
+    return found
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    rng = np.random.default_rng(8)
+    drawn = rng.integers(-1 << 62, 1 << 62, 700)
+    rows = [(int(x), int(x)) for x in np.concatenate([drawn, drawn ^ (1 << rng.integers(0, 60, 700))])]
+    classes = S.materialize(spark.createDataFrame(rows, "fp long, node long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # As the planner sees them the rows are below the threshold; they are 31 for each class.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "96k")
+        edges = S.near_edges(classes, 4)
+        assert len(edges.collect()) == 700
+        assert " Generate " in edges._jdf.queryExecution().executedPlan().toString()
+        assert not exploded_broadcasts(edges)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def texts():
     rng = random.Random(5)
     words = [f"Word{i}" for i in range(60)]
