@@ -161,7 +161,8 @@ def similar_groups(
     bands = F.array(*[F.struct(F.lit(i).alias("t"), F.col(b).alias("k")) for i, b in enumerate(_BAND_COLUMNS)])
     rows = classes.select("node", F.explode(bands).alias("x")).select(F.xxhash64("x.t", "x.k").alias("bucket"), "node")
     leaders = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter(F.col("size") > 1)
-    shared = materialize(rows.join(leaders, "bucket"))
+    # As in ``near_edges``: exploded rows look small to the planner, so the joins of both explodes are hinted.
+    shared = materialize(rows.hint("merge").join(leaders, "bucket"))
     covered = covered_pairs(classes.select("node", "fp"), radius)
     pairs = materialize(covered.union(shared.filter(F.col("node") != F.col("leader")).select("node", "leader")).distinct())
     named = shared.select("node").union(pairs.select("node")).union(pairs.select("leader")).distinct()
@@ -179,7 +180,7 @@ def similar_groups(
     left = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = (F.least("mine", "with") * F.col("blocks") + F.greatest("mine", "with")).cast("int").alias("part")
-    left = left.select("bucket", part, "node", "root").join(sets, "node")
+    left = left.select("bucket", part, "node", "root").hint("merge").join(sets, "node")
     more = materialize(left.groupBy("bucket", "part").applyInPandas(lambda rows: _across(rows, similarity), "u long, v long").distinct())
     if not more.isEmpty():
         roots = components(spark, edges.union(more))

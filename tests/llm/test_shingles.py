@@ -3,6 +3,8 @@ import random
 import corpus_pipeline
 from auditlark.llm import shingles as S
 
+from .test_simhash import exploded_broadcasts
+
 
 def grams(text, words=5):
     w = (text or "").lower().split()
@@ -81,3 +83,18 @@ def test_the_stage_searches_fingerprints(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
     roots = groups(texts)
     assert {roots[i] for i in kept} == set(roots) and len(kept) < len(texts)
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], S.materialize
+
+    def recorded(df):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), exploded_broadcasts(df)))
+        return write(df)
+
+    monkeypatch.setattr(S, "materialize", recorded)
+    docs = spark.createDataFrame(list(enumerate(planted(random.Random(4), 12))), "doc_id long, text string")
+    S.similar_groups(docs)
+    # The bands, the covering tables and the blocks of the buckets that are searched.
+    assert sum(" Generate " in plan for plan, _ in plans) == 3
+    assert [found for _, found in plans if found] == []
